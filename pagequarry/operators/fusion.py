@@ -126,3 +126,8 @@ def tone_reference(cells: DataFrame, clip_at: int = 250, tolerance: float = 0.02
     ok = per_shot.withColumn("_least", F.min("clipped").over(page)).filter(F.col("clipped") <= F.col("_least") + tolerance)
     ranked = ok.withColumn("_r", F.row_number().over(page.orderBy("bright", "shot")) - 1).withColumn("_n", F.count(F.lit(1)).over(page))
     return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2)).select("page_id", "shot", "clipped", "bright")
+
+
+def coverage_counted(cells: DataFrame) -> DataFrame:
+    """``cells`` with ``shots``, how many shots cover the cell."""
+    return cells.withColumn("shots", F.count(F.lit(1)).over(_over_cell()))

@@ -126,9 +126,9 @@ def box_mean(cells: DataFrame, keys: list[str], value: str, r: int, gw, gh) -> D
     full = on_dense(cells.select(*keys, "y", "x", value), keys, gw, gh)
     v = F.col(value).cast("double")
     sums = box_sums(full, keys, r, _n=F.when(v.isNotNull(), 1).otherwise(0), _s=F.coalesce(v, F.lit(0.0)), _q=F.coalesce(v * v, F.lit(0.0)))
-    mean = F.col("_s") / F.col("_n")
+    mean = F.try_divide("_s", "_n")
     return sums.filter(F.col(value).isNotNull()).select(
-        *keys, "y", "x", value, F.col("_n").alias("cells"), mean.alias("mean"), F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))).alias("deviation")
+        *keys, "y", "x", value, F.col("_n").alias("cells"), mean.alias("mean"), F.sqrt(F.greatest(F.try_divide("_q", "_n") - mean * mean, F.lit(0.0))).alias("deviation")
     )
 
 

@@ -44,4 +44,4 @@ def load() -> dict[str, Query]:
     return QUERIES
 
 
-MODULES = ["catalog", "grid"]
+MODULES = ["catalog", "grid", "light"]

@@ -204,16 +204,17 @@ def _(t: Tables):
     return s.select("page_id", F.col("ord").cast("bigint"), "pixels", "fx0", "fy0", "fx1", "fy1", *[F.col(c).cast("bigint") for c in ("px0", "py0", "px1", "py1")], "area", "location", F.concat_ws(",", "edges").alias("edges"))
 
 
-RESIDUAL = "res AS (SELECT page_id, y, x, max(score) / 100.0 AS residual FROM cell GROUP BY ALL)"
+# In 128ths, so that means are exact in any order.
+RESIDUAL = "res AS (SELECT page_id, y, x, max(score) / 128.0::DOUBLE AS residual FROM cell GROUP BY ALL)"
 
 
 def _residual(t: Tables):
-    return t.cell().groupBy("page_id", "y", "x").agg((F.max("score") / 100).alias("residual"))
+    return t.cell().groupBy("page_id", "y", "x").agg((F.max("score") / 128).alias("residual"))
 
 
 @query(
     "glare_regions", "D22 D21", "cell",
-    f"""WITH RECURSIVE {COVER}, {RESIDUAL}, src AS (SELECT page_id, y, x FROM res WHERE residual >= 0.8), {sql_regions('src', 0.004)},
+    f"""WITH RECURSIVE {COVER}, {RESIDUAL}, src AS (SELECT page_id, y, x FROM res WHERE residual >= 0.625), {sql_regions('src', 0.004)},
         why AS (SELECT rc.page_id, rc.component, count(*) FILTER (shots = 1) > 0.5 * count(*) AS single, avg(coalesce(residual, 0)) AS sev FROM rc LEFT JOIN cover c ON c.page_id = rc.page_id AND c.y = rc.y AND c.x = rc.x
           LEFT JOIN res r ON r.page_id = rc.page_id AND r.y = rc.y AND r.x = rc.x GROUP BY ALL),
         who AS (SELECT page_id, component, string_agg(CAST(shot AS VARCHAR), ',' ORDER BY shot) AS seen_by FROM (SELECT DISTINCT rc.page_id, rc.component, c.shot FROM rc JOIN cell c ON c.page_id = rc.page_id AND c.y = rc.y AND c.x = rc.x) GROUP BY ALL)
@@ -221,7 +222,7 @@ def _residual(t: Tables):
         FROM rs JOIN why ON why.page_id = rs.page_id AND why.component = rs.component LEFT JOIN who ON who.page_id = rs.page_id AND who.component = rs.component""",
 )
 def _(t: Tables):
-    g = R.glare_regions(_residual(t), t.cell(), PAGE, W, H, PAGE_W, PAGE_H, threshold=0.8, min_area=0.004)
+    g = R.glare_regions(_residual(t), t.cell(), PAGE, W, H, PAGE_W, PAGE_H, threshold=0.625, min_area=0.004)
     return g.select("page_id", "component", "pixels", "location", "cause", "severity", F.concat_ws(",", F.transform("shots", lambda s: s.cast("string"))).alias("seen_by"))
 
 
