@@ -1,9 +1,8 @@
 """Connected components: of grid cells, and of any graph.
 
-Grid components work on row runs. The runs of one page layer are bounded by
-the grid itself (at most half a million on a full 1000 x 1000 checker of
-runs), so one grouped task labels them with array operations; Spark spreads
-the page layers. Graph components have no such bound and run as rounds of
+The cells of one page layer are bounded by the grid itself (two integers for
+each of at most 1000 x 1000 cells), so one grouped task labels a layer with
+array operations on its row runs; Spark spreads the layers. Graph components have no such bound and run as rounds of
 joins with checkpoints.
 """
 
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .grid import cells_with_run
 
 _ROW = 1 << 12  # wider than any grid row, so that rows never meet in the run order
 
@@ -39,24 +37,39 @@ def _label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
             return label
 
 
-def grid_components(mask: DataFrame, keys: list[str]) -> DataFrame:
-    """Each set cell with the id of its 8-connected component.
+def _label_cells(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The component of each cell of one layer, as the raster position of its first cell. Cells come sorted by (y, x)."""
+    pos = y * _ROW + x
+    opens = np.ones(len(pos), bool)
+    opens[1:] = pos[1:] != pos[:-1] + 1
+    start = np.flatnonzero(opens)
+    end = np.append(start[1:], len(pos)) - 1
+    first = _label_runs(y[start], x[start], x[end])
+    return np.repeat(pos[start][first], end - start + 1)
+
+
+def grid_components(mask: DataFrame, keys: list[str], flag: str | None = None, unique: bool = False) -> DataFrame:
+    """Each set cell with the id of its 8-connected component and that component's ``pixels``.
 
     The id is the raster position of the component's first cell
-    (``y * 4096 + x``), unique within ``keys``.
+    (``y * 4096 + x``), unique within ``keys``. With ``flag``, a boolean column
+    of the mask, ``held`` says whether any cell of the component has it.
+    ``unique`` skips removing repeated cells where the caller has none.
     """
-    cells = cells_with_run(mask, keys)
-    runs = cells.groupBy(*keys, "y", "x0").agg(F.max("x").alias("x1"))
-    schema = runs.select(*keys, "y", "x0").schema.add("component", "long")
+    cells = mask.select(*keys, "y", "x", (F.col(flag) if flag else F.lit(False)).alias("held"))
+    if not unique:
+        cells = cells.groupBy(*keys, "y", "x").agg(F.bool_or("held").alias("held"))
+    schema = cells.select(*keys, "y", "x").schema.add("component", "long").add("pixels", "long").add("held", "boolean")
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
-        y, x0, x1 = (pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
-        first = _label_runs(y, x0, x1)
-        return pdf[[*keys, "y", "x0"]].assign(component=y[first] * _ROW + x0[first])
+        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
+        component = _label_cells(pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64))
+        _, which, pixels = np.unique(component, return_inverse=True, return_counts=True)
+        held = np.bincount(which, pdf["held"].to_numpy(bool)) > 0
+        return pdf[[*keys, "y", "x"]].assign(component=component, pixels=pixels[which], held=held[which])
 
-    labelled = runs.groupBy(*keys).applyInPandas(label, schema)
-    return cells.join(labelled, [*keys, "y", "x0"]).select(*keys, "y", "x", "component")
+    out = cells.groupBy(*keys).applyInPandas(label, schema)
+    return out if flag else out.drop("held")
 
 
 def graph_components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 200) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import photometry as P
 from ..limits import BACKGROUND_FRAC, GLARE_BIAS, GLARE_FLAG, GLARE_SEED, GLARE_WEAK
+from ..session import ensure_checkpoint_dir
 from .catalog import strided
 from .fusion import SHOT, coverage_counted
 from .grid import _line, box_mean, on_dense, smoothed
@@ -125,7 +126,9 @@ DETECTORS: dict[str, Callable[[DataFrame, int, int], DataFrame]] = {
 def detect(cells: DataFrame, gw: int, gh: int, detector: str = "features", **growing) -> DataFrame:
     if detector not in DETECTORS:
         raise ValueError(f"detector must be one of {', '.join(sorted(DETECTORS))}, got {detector!r}")
-    return glare_areas(DETECTORS[detector](cells, gw, gh), gw, gh, **growing)
+    # The scores are read as seeds, as weak cells and for their values: written out once.
+    ensure_checkpoint_dir(cells.sparkSession)
+    return glare_areas(DETECTORS[detector](cells, gw, gh).checkpoint(), gw, gh, **growing)
 
 
 def adapted_bias(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..limits import MIN_REGION_AREA, MIN_SINGLE_AREA, RESIDUAL_THRESHOLD
+from ..session import ensure_checkpoint_dir
 from .components import grid_components
 from .grid import closed, opened, opened_by, shrunk
 
@@ -21,10 +22,14 @@ def location_word(cx: Column, cy: Column) -> Column:
 
 
 def region_cells(mask: DataFrame, keys: list[str], gw: int, gh: int, min_area: float) -> DataFrame:
-    """Cells of the connected areas of the closed ``mask`` that are large enough, with ``component``."""
-    cells = grid_components(closed(mask, keys, 1, gw, gh), keys)
-    size = cells.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("pixels"))
-    return cells.join(size.filter(F.col("pixels") / (gw * gh) >= min_area), [*keys, "component"])
+    """Cells of the connected areas of the closed ``mask`` that are large enough, with ``component``.
+
+    Written out once (a checkpoint), since every reader joins it several times.
+    """
+    cells = grid_components(closed(mask, keys, 1, gw, gh), keys, unique=True)
+    found = cells.filter(F.col("pixels") / (gw * gh) >= min_area).drop("pixels")
+    ensure_checkpoint_dir(mask.sparkSession)
+    return found.checkpoint()
 
 
 def region_stats(cells: DataFrame, keys: list[str], gw: int, gh: int, page_w: int, page_h: int) -> DataFrame:
@@ -123,11 +128,10 @@ def uncovered_mask(coverage: DataFrame, keys: list[str], factor: int, gw: int, g
 
 def hysteresis(score: DataFrame, keys: list[str], value: str, seed: float, weak: float, min_seed: int, gw: int, gh: int) -> DataFrame:
     """Cells of the weak areas that hold a wide enough seed."""
-    weak_cells = score.filter(F.col(value) >= weak)
-    areas = grid_components(weak_cells, keys)
-    seeds = opened_by(score.filter(F.col(value) >= seed), keys, min_seed, gw, gh)
-    keep = areas.join(seeds, [*keys, "y", "x"], "left_semi").select(*keys, "component").distinct()
-    return areas.join(keep, [*keys, "component"], "left_semi").select(*keys, "y", "x")
+    at = [*keys, "y", "x"]
+    seeds = opened_by(score.filter(F.col(value) >= seed), keys, min_seed, gw, gh).withColumn("_seed", F.lit(True))
+    cells = score.filter(F.col(value) >= weak).select(*at).join(seeds, at, "left").withColumn("_seed", F.coalesce("_seed", F.lit(False)))
+    return grid_components(cells, keys, "_seed").filter("held").select(*at)
 
 
 def grown(seed_map: DataFrame, grow_map: DataFrame, keys: list[str], seed: float, weak: float, min_seed: int, min_area: float, gw: int, gh: int) -> DataFrame:
@@ -137,10 +141,7 @@ def grown(seed_map: DataFrame, grow_map: DataFrame, keys: list[str], seed: float
     """
     at = [*keys, "y", "x"]
     seeds = opened_by(seed_map.filter(F.col("value") >= seed), keys, min_seed, gw, gh)
-    weak_cells = grow_map.filter(F.col("value") >= weak).select(*at).unionByName(seeds)
-    areas = grid_components(weak_cells, keys)
-    size = areas.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_area * gw * gh)
-    keep = areas.join(seeds, at, "left_semi").select(*keys, "component").distinct().join(size, [*keys, "component"])
-    kept = areas.join(keep, [*keys, "component"], "left_semi").select(*at)
+    weak_cells = grow_map.filter(F.col("value") >= weak).select(*at, F.lit(False).alias("_seed")).unionByName(seeds.withColumn("_seed", F.lit(True)))
+    kept = grid_components(weak_cells, keys, "_seed").filter(F.col("held") & (F.col("pixels") >= min_area * gw * gh)).select(*at)
     both = seed_map.select(*at, "value").unionByName(grow_map.select(*at, "value")).groupBy(*at).agg(F.max("value").alias("value"))
     return kept.join(both, at, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))

@@ -9,6 +9,7 @@ from ..functions import photometry as P
 from ..limits import (
     SHADOW_B_TOL, SHADOW_CHROMA_TOL, SHADOW_DARK_LEVEL, SHADOW_DEPTH_RAMP, SHADOW_MIN_AREA, SHADOW_MIN_CORRELATION, SHADOW_MIN_DEPTH, SHADOW_SEED, SHADOW_WEAK,
 )
+from ..session import ensure_checkpoint_dir
 from .fusion import CELL, SHOT
 from .grid import box_sums, local_max_disk, on_dense
 from .regions import grown
@@ -123,6 +124,9 @@ def comparison_shadow(cells: DataFrame, gw: int, gh: int, glare: DataFrame | Non
     if glare is not None:
         keep = 1 - P.clamp01(F.col("_veto"))
         c = c.withColumn("cue", F.col("cue") * keep).withColumn("cue_grow", F.col("cue_grow") * keep)
+    # Read as seeds, as weak cells and for their values: written out once.
+    ensure_checkpoint_dir(cells.sparkSession)
+    c = c.filter((F.col("cue") > 0) | (F.col("cue_grow") > 0)).select(*AT, "cue", "cue_grow").checkpoint()
     seed_map, grow_map = c.select(*AT, F.col("cue").alias("value")), c.select(*AT, F.col("cue_grow").alias("value"))
     return grown(seed_map, grow_map, SHOT, SHADOW_SEED, SHADOW_WEAK, min_seed, min_area, gw, gh)
 
@@ -137,9 +141,8 @@ def reported_shadow(comparison: DataFrame, cue: DataFrame, alone: DataFrame, gw:
     from .components import grid_components
 
     seeds = comparison.select(*AT).distinct()
-    weak = cue.filter(F.col("value") >= SHADOW_WEAK).join(alone.select(*AT), AT, "left_semi").select(*AT)
-    areas = grid_components(weak.unionByName(seeds), SHOT)
-    hit = areas.join(seeds, AT, "left_semi").select(*SHOT, "component").distinct()
-    beyond = areas.join(hit, [*SHOT, "component"], "left_semi").select(*AT).join(seeds, AT, "left_anti")
+    weak = cue.filter(F.col("value") >= SHADOW_WEAK).join(alone.select(*AT), AT, "left_semi").select(*AT, F.lit(False).alias("_seed"))
+    areas = grid_components(weak.unionByName(seeds.withColumn("_seed", F.lit(True))), SHOT, "_seed")
+    beyond = areas.filter("held").select(*AT).join(seeds, AT, "left_anti")
     strong = grown(cue, cue, SHOT, SHADOW_SEED, SHADOW_WEAK, min_seed, min_area, gw, gh).filter(F.col("value") > 0).select(*AT)
     return beyond.unionByName(strong).distinct()

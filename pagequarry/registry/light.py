@@ -192,8 +192,8 @@ def _(t: Tables):
     "training_samples", "I11 E15", "cell",
     """WITH c AS (SELECT *, count(*) OVER w AS n, (g - min(g) OVER w) / 255.0 AS excess FROM cell WINDOW w AS (PARTITION BY page_id, y, x)),
        l AS (SELECT *, CASE WHEN (n = 1 AND score > 50) OR (n >= 2 AND excess > 0.08) THEN 1 WHEN (n = 1 AND score < 1) OR (n >= 2 AND excess < 0.02) THEN 0 END AS label FROM c),
-       k AS (SELECT *, row_number() OVER (PARTITION BY page_id, shot, label ORDER BY y, x) AS r FROM l WHERE label IS NOT NULL)
-       SELECT page_id, shot, y, x, label FROM k WHERE (r - 1) % CASE label WHEN 1 THEN 3 ELSE 15 END = 0""",
+       k AS (SELECT *, row_number() OVER (PARTITION BY page_id, shot, label ORDER BY y, x) AS rk FROM l WHERE label IS NOT NULL)
+       SELECT page_id, shot, y, x, label FROM k WHERE (rk - 1) % CASE label WHEN 1 THEN 3 ELSE 15 END = 0""",
 )
 def _(t: Tables):
     c = FU.coverage_counted(FU.excess_over_darkest(t.cell(), "g")).withColumn("excess", F.col("excess") / 255).withColumn("truth", F.col("score") / 100)
