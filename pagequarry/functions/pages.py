@@ -45,7 +45,8 @@ def print_plan(width: Column, height: Column, long_in: Column, short_in: Column,
 
 
 def percent(fraction: Column) -> Column:
-    return F.format_string("%.1f%%", fraction * 100)
+    """Percent with one decimal, a tie going to the even digit."""
+    return F.format_string("%.1f%%", F.bround(fraction * 100, 1))
 
 
 def place_word(location: Column, has_edges: Column) -> Column:
@@ -114,7 +115,7 @@ def shot_rect(box: Column, width: Column, height: Column) -> Column:
     """A box in shot pixels (right and bottom included) as fractions of the photo."""
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     at = lambda i: F.get(box, F.lit(i))
-    return F.when((width > 0) & (height > 0), F.array(clamp(at(0) / width), clamp(at(1) / height), clamp((at(2) + 1) / width), clamp((at(3) + 1) / height)))
+    return F.when(box.isNotNull() & (width > 0) & (height > 0), F.array(clamp(at(0) / width), clamp(at(1) / height), clamp((at(2) + 1) / width), clamp((at(3) + 1) / height)))
 
 
 def is_scan(software: Column) -> Column:

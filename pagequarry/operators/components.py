@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .ordered import spread_groups
 
 _ROW = 1 << 12  # wider than any grid row, so that rows never meet in the run order
 
@@ -68,7 +69,7 @@ def grid_components(mask: DataFrame, keys: list[str], flag: str | None = None, u
         held = np.bincount(which, pdf["held"].to_numpy(bool)) > 0
         return pdf[[*keys, "y", "x"]].assign(component=component, pixels=pixels[which], held=held[which])
 
-    out = cells.groupBy(*keys).applyInPandas(label, schema)
+    out = spread_groups(cells, keys).groupBy(*keys).applyInPandas(label, schema)
     return out if flag else out.drop("held")
 
 

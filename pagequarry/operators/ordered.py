@@ -146,3 +146,13 @@ def quantile_by_index(df: DataFrame, keys: list[str], value: str, index: Column,
     ranked = OrderedGroups(counts, keys, [value], hot_rows).running(_upto=("sum", F.col("_c")))
     picked = ranked.join(sizes.withColumn("_i", index), keys).filter(F.col("_upto") > F.col("_i"))
     return picked.groupBy(*keys).agg(F.min(value).alias(name))
+
+
+def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` hashed by ``keys`` into the session's full number of partitions.
+
+    Grouped Python work costs far more per byte than adaptive execution
+    expects, which would merge small inputs into one task. The grouping that
+    follows reuses this exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pages import is_scan, scan_dpi
 from ..functions.text import content_key, natural_key
+from ..operators.ordered import spread_groups
 
 
 def photo_lists(photos: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def isolated(fn: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], key
 def run_pages(pages: DataFrame, runner: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "page_id") -> DataFrame:
     """Run ``runner`` on each page's rows (its photos), one grouped task per page; ``schema`` without the error column."""
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return pages.groupBy(key).applyInPandas(isolated(runner, columns, key), f"{schema}, error string")
+    return spread_groups(pages, [key]).groupBy(key).applyInPandas(isolated(runner, columns, key), f"{schema}, error string")
 
 
 def run_album(decided: DataFrame, photos: DataFrame, runner, schema: str, key: str = "page_id") -> DataFrame:

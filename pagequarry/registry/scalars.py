@@ -86,7 +86,7 @@ def _(t: Tables):
     """WITH o AS (SELECT o_orderkey AS page_id, 1000 + o_orderkey % 1500 AS w, 1000 + o_custkey % 1500 AS h, CASE o_orderkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'fill' ELSE 'fit' END AS fit FROM orders),
        p AS (SELECT *, CASE WHEN w >= h THEN 12.0 ELSE 10.0 END AS w_in, CASE WHEN w >= h THEN 10.0 ELSE 12.0 END AS h_in, greatest(w, h) / 12.0 AS cap FROM o),
        q AS (SELECT *, abs((w / h) / (w_in / h_in) - 1) AS mis FROM p)
-       SELECT page_id, CAST(w_in * 300 AS INTEGER) AS px_w, CAST(h_in * 300 AS INTEGER) AS px_h, round(cap, 1) AS capture_dpi,
+       SELECT page_id, CAST(w_in * 300 AS INTEGER) AS px_w, CAST(h_in * 300 AS INTEGER) AS px_h, round_even(cap, 1) AS capture_dpi,
          CASE fit WHEN 'auto' THEN CASE WHEN mis <= 0.02 THEN 'stretch' ELSE 'fit' END ELSE fit END AS fit_used,
          concat_ws(',', CASE WHEN mis > 0.02 THEN 'aspect_mismatch' END, CASE WHEN cap < 300 THEN 'upsampled' END, CASE WHEN cap < 150 THEN 'low_resolution' END) AS codes FROM q""",
 )
@@ -94,7 +94,7 @@ def _(t: Tables):
     m = F.col("o_orderkey") % 3
     p = t.raw("orders").select(F.col("o_orderkey").alias("page_id"), (1000 + F.col("o_orderkey") % 1500).alias("w"), (1000 + F.col("o_custkey") % 1500).alias("h"), F.when(m == 0, "auto").when(m == 1, "fill").otherwise("fit").alias("fit"))
     plan = PG.print_plan(F.col("w"), F.col("h"), F.lit(12.0), F.lit(10.0), F.lit(300), F.col("fit"))
-    return p.select("page_id", plan["px_w"].alias("px_w"), plan["px_h"].alias("px_h"), F.round(plan["capture_dpi"], 1).alias("capture_dpi"), plan["fit_used"].alias("fit_used"), F.array_join(F.transform(plan["warnings"], lambda w: w["code"]), ",").alias("codes"))
+    return p.select("page_id", plan["px_w"].alias("px_w"), plan["px_h"].alias("px_h"), plan["capture_dpi"].alias("capture_dpi"), plan["fit_used"].alias("fit_used"), F.array_join(F.transform(plan["warnings"], lambda w: w["code"]), ",").alias("codes"))
 
 
 @query("upload_outcomes", "B16", "op",
@@ -132,7 +132,7 @@ def _(t: Tables):
 
 @query(
     "page_sources", "B21 B22 B23 B20", "",
-    """WITH p AS (SELECT l_orderkey AS page_id, CASE WHEN l_quantity > 8 THEN 'albumscan 1.2' ELSE 'camera' END AS software, CASE WHEN l_tax > 0.01 THEN CASE WHEN l_linenumber < 6 THEN 300.0 ELSE 600.0 END END AS res FROM lineitem),
+    """WITH p AS (SELECT l_orderkey AS page_id, CASE WHEN l_quantity > 8 THEN 'albumscan 1.2' ELSE 'camera' END AS software, CASE WHEN l_tax > 0.01 THEN CASE WHEN l_linenumber < 6 THEN 300.0::DOUBLE ELSE 600.0::DOUBLE END END AS res FROM lineitem),
        g AS (SELECT page_id, bool_and(software LIKE 'albumscan %') AS scan, count(DISTINCT res) AS n, bool_or(res IS NULL) AS unknown, min(res) AS dpi FROM p GROUP BY page_id)
        SELECT page_id, CASE WHEN scan THEN 'scan' ELSE 'photo' END AS source, CASE WHEN scan AND n = 1 AND NOT unknown THEN dpi END AS dpi, CASE WHEN scan THEN 'off' ELSE 'auto' END AS curvature FROM g""",
 )
@@ -182,13 +182,13 @@ def _(t: Tables):
 
 @query(
     "added_page_warnings", "B14 B15", "feedback",
-    """WITH f AS (SELECT page_id, code, round(page_id % 97 / 97.0, 4) + 0.02 AS coverage, CASE WHEN page_id % 4 = 0 THEN 2 ELSE 0 END AS dropped FROM feedback)
-       SELECT page_id, concat_ws('|', CASE WHEN coverage < 0.99 AND code <> 'incomplete_coverage' THEN printf('photos cover only %.1f%% of the page', coverage * 100) END,
-         CASE WHEN dropped > 0 AND code <> 'photos_dropped' THEN 'photos [1, 2] matched no other photo and were not used' END) AS added,
+    """WITH f AS (SELECT page_id, code, round(page_id % 97 / 97.0, 3) AS coverage, CASE WHEN page_id % 4 = 0 THEN 2 ELSE 0 END AS dropped FROM feedback)
+       SELECT page_id, concat_ws('|', CASE WHEN coverage < 0.99 AND f.code <> 'incomplete_coverage' THEN printf('photos cover only %.1f%% of the page', coverage * 100) END,
+         CASE WHEN dropped > 0 AND f.code <> 'photos_dropped' THEN 'photos [1, 2] matched no other photo and were not used' END) AS added,
          CASE WHEN state = 'ready' THEN 'captured at only 90 dpi (scanned at 90 dpi); scan at a higher resolution' ELSE 'captured at only 90 dpi; shoot closer or in overlapping parts' END AS low_resolution FROM f JOIN feedback USING (page_id)""",
 )
 def _(t: Tables):
-    f = t.feedback().withColumn("coverage", F.round(F.col("page_id") % 97 / 97.0, 4) + 0.02).withColumn("dropped", F.when(F.col("page_id") % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")))
+    f = t.feedback().withColumn("coverage", F.round(F.col("page_id") % 97 / 97.0, 3)).withColumn("dropped", F.when(F.col("page_id") % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")))
     added = PG.added_warnings(F.array("code"), F.col("coverage"), F.transform("dropped", lambda d: d.cast("string")))
     low = PG.scan_wording(F.lit("low_resolution"), F.lit("captured at only 90 dpi; shoot closer or in overlapping parts"), F.when(F.col("state") == "ready", "scan").otherwise("photo"), F.lit(90.0))
     return f.select("page_id", F.array_join(F.transform(added, lambda w: w["message"]), "|").alias("added"), low.alias("low_resolution"))
