@@ -49,13 +49,14 @@ def _label_cells(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.repeat(pos[start][first], end - start + 1)
 
 
-def grid_components(mask: DataFrame, keys: list[str], flag: str | None = None, unique: bool = False) -> DataFrame:
+def grid_components(mask: DataFrame, keys: list[str], flag: str | None = None, unique: bool = False, placed: bool = False) -> DataFrame:
     """Each set cell with the id of its 8-connected component and that component's ``pixels``.
 
     The id is the raster position of the component's first cell
     (``y * 4096 + x``), unique within ``keys``. With ``flag``, a boolean column
     of the mask, ``held`` says whether any cell of the component has it.
-    ``unique`` skips removing repeated cells where the caller has none.
+    ``unique`` skips removing repeated cells where the caller has none, ``placed``
+    hashing by ``keys`` where the caller has done it.
     """
     cells = mask.select(*keys, "y", "x", (F.col(flag) if flag else F.lit(False)).alias("held"))
     if not unique:
@@ -69,7 +70,7 @@ def grid_components(mask: DataFrame, keys: list[str], flag: str | None = None, u
         held = np.bincount(which, pdf["held"].to_numpy(bool)) > 0
         return pdf[[*keys, "y", "x"]].assign(component=component, pixels=pixels[which], held=held[which])
 
-    out = spread_groups(cells, keys).groupBy(*keys).applyInPandas(label, schema)
+    out = (cells if placed else spread_groups(cells, keys)).groupBy(*keys).applyInPandas(label, schema)
     return out if flag else out.drop("held")
 
 

@@ -13,6 +13,7 @@ from ..session import ensure_checkpoint_dir
 from .catalog import strided
 from .fusion import SHOT, coverage_counted
 from .grid import _line, box_mean, on_dense, smoothed
+from .ordered import spread_groups
 from .regions import hysteresis
 
 AT = [*SHOT, "y", "x"]
@@ -49,7 +50,7 @@ def background(cells: DataFrame, gw: int, gh: int, **values: tuple[str, float])
     for name, (_, scale) in values.items():
         v = F.coalesce(name, F.when(F.col("_m") > 1e-3, F.try_divide(f"_s_{name}", "_m")), F.col(f"_far_{name}"))
         q.append(F.floor(F.least(F.greatest(v * scale + 0.5, F.lit(0.0)), F.lit(255.0))).cast("int").alias(name))
-    quantised = filled.select(*AT, *q)
+    quantised = spread_groups(filled.select(*AT, *q), SHOT)
     size = max(3, int(round(win / k)) | 1)
     r = size // 2
     rows = quantised.select(*AT, *[F.collect_list(n).over(_line(SHOT, "x").rangeBetween(-r, r)).alias(n) for n in names])
@@ -76,7 +77,7 @@ def _spread_means(inside: DataFrame, names: list[str], sigma: float, gw: int, gh
     reach = max(1, round(3 * sigma))
     taps = F.array(*[F.struct(F.lit(d - reach).alias("d"), F.lit(w).alias("w")) for d, w in enumerate(gaussian_weights(sigma, reach))])
     sums = ["_m", *[f"_s_{n}" for n in names]]
-    m = inside.select(*AT, F.lit(1.0).alias("_m"), *[F.col(n).alias(f"_s_{n}") for n in names])
+    m = spread_groups(inside, SHOT).select(*AT, F.lit(1.0).alias("_m"), *[F.col(n).alias(f"_s_{n}") for n in names])
     for along, size in (("x", gw), ("y", gh)):
         m = m.withColumn("_t", F.explode(taps)).withColumn(along, F.col(along) + F.col("_t.d")).filter((F.col(along) >= 0) & (F.col(along) < size))
         m = m.groupBy(*AT).agg(*[F.sum(F.col(c) * F.col("_t.w")).alias(c) for c in sums])
@@ -94,7 +95,9 @@ def features(cells: DataFrame, gw: int, gh: int, raw: tuple[str, str, str] = ("b
     c = cells.withColumn("_mn", P.darkest(b, g, r).cast("double")).withColumn("_ch", P.chroma(b, g, r)).withColumn("_l", lightness).withColumn("_cl", P.clipped_share(*[F.col(n) for n in raw]))
     tex = box_mean(c, SHOT, "_l", 2, gw, gh).select(*AT, F.col("deviation").alias("_tx"))
     clip = smoothed(c.select(*AT, "_cl"), SHOT, "_cl", 1.5, gw, gh, "clip").drop("_cl")
-    c = c.drop("_l", "_cl").join(tex, AT).join(clip, AT)
+    # The background reads its cells for the coarse grid and for the answer: written out once.
+    ensure_checkpoint_dir(cells.sparkSession)
+    c = c.drop("_l", "_cl").join(tex, AT).join(clip, AT).checkpoint()
     c = background(c, gw, gh, _mn0=("_mn", 1.0), _ch0=("_ch", 1.0), _tx0=("_tx", 4.0))
     return (
         c.withColumn("veil", P.clamp01((F.col("_mn") - F.col("_mn0")) / 255))

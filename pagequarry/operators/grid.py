@@ -6,6 +6,10 @@ value; both carry ``keys`` (for instance page and shot) with integer ``y`` and
 ``GRID_MAX_SIDE`` cells on its long side, so a row or a column of one key is at
 most that many rows: windows here run over one row or one column of one key,
 never over a whole page. Cells outside the grid do not count in any operator.
+
+Neighbourhood operators first hash the cells by ``keys`` alone (a key's cells
+are bounded by its grid). Every window and grouping that follows holds those
+keys, so the widened rows are combined where they are and never shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..limits import GRID_MAX_SIDE
+from .ordered import spread_groups
 
 
 def _lit(v: int | Column) -> Column:
@@ -37,15 +42,12 @@ def _spread(cells: DataFrame, along: str, r: int, size: Column) -> DataFrame:
     return cells.withColumn(along, F.explode(at))
 
 
-def dilate(mask: DataFrame, keys: list[str], r: int, gw: int | Column, gh: int | Column) -> DataFrame:
-    """Every cell within ``r`` cells (a square) of a set cell; one direction after the other."""
-    m = mask.select(*keys, "y", "x")
-    m = _spread(m, "x", r, _lit(gw)).distinct()
+def _dilate(mask: DataFrame, keys: list[str], r: int, gw, gh) -> DataFrame:
+    m = _spread(mask.select(*keys, "y", "x"), "x", r, _lit(gw)).distinct()
     return _spread(m, "y", r, _lit(gh)).distinct()
 
 
-def erode(mask: DataFrame, keys: list[str], r: int, gw: int | Column, gh: int | Column) -> DataFrame:
-    """Set cells all of whose neighbours within ``r`` cells on the grid are set."""
+def _erode(mask: DataFrame, keys: list[str], r: int, gw, gh) -> DataFrame:
     m = mask.select(*keys, "y", "x").distinct()
     for along, size in (("x", _lit(gw)), ("y", _lit(gh))):
         here = F.col(along)
@@ -55,12 +57,22 @@ def erode(mask: DataFrame, keys: list[str], r: int, gw: int | Column, gh: int |
     return m
 
 
+def dilate(mask: DataFrame, keys: list[str], r: int, gw: int | Column, gh: int | Column) -> DataFrame:
+    """Every cell within ``r`` cells (a square) of a set cell; one direction after the other."""
+    return _dilate(spread_groups(mask, keys), keys, r, gw, gh)
+
+
+def erode(mask: DataFrame, keys: list[str], r: int, gw: int | Column, gh: int | Column) -> DataFrame:
+    """Set cells all of whose neighbours within ``r`` cells on the grid are set."""
+    return _erode(spread_groups(mask, keys), keys, r, gw, gh)
+
+
 def opened(mask: DataFrame, keys: list[str], r: int, gw, gh) -> DataFrame:
-    return dilate(erode(mask, keys, r, gw, gh), keys, r, gw, gh)
+    return _dilate(_erode(spread_groups(mask, keys), keys, r, gw, gh), keys, r, gw, gh)
 
 
 def closed(mask: DataFrame, keys: list[str], r: int, gw, gh) -> DataFrame:
-    return erode(dilate(mask, keys, r, gw, gh), keys, r, gw, gh)
+    return _erode(_dilate(spread_groups(mask, keys), keys, r, gw, gh), keys, r, gw, gh)
 
 
 def opened_by(mask: DataFrame, keys: list[str], size: int, gw, gh) -> DataFrame:
@@ -74,7 +86,7 @@ def opened_by(mask: DataFrame, keys: list[str], size: int, gw, gh) -> DataFrame:
 
 def local_max(cells: DataFrame, keys: list[str], value: str, r: int, gw, gh, name: str) -> DataFrame:
     """The largest value within ``r`` cells (a square), on every grid cell some value reaches."""
-    m = cells.select(*keys, "y", "x", F.col(value).alias(name))
+    m = spread_groups(cells.select(*keys, "y", "x", F.col(value).alias(name)), keys)
     m = _spread(m, "x", r, _lit(gw)).groupBy(*keys, "y", "x").agg(F.max(name).alias(name))
     return _spread(m, "y", r, _lit(gh)).groupBy(*keys, "y", "x").agg(F.max(name).alias(name))
 
@@ -90,7 +102,7 @@ def disk_offsets(r: int) -> list[tuple[int, int]]:
 def local_max_disk(cells: DataFrame, keys: list[str], value: str, r: int, gw, gh, name: str) -> DataFrame:
     """The largest value within an ellipse of radius ``r``: rows of the ellipse unrolled, then combined by ``max``."""
     rows = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in disk_offsets(r)])
-    m = cells.select(*keys, "y", "x", F.col(value).alias(name), F.explode(rows).alias("_o"))
+    m = spread_groups(cells.select(*keys, "y", "x", F.col(value).alias(name)), keys).withColumn("_o", F.explode(rows))
     m = m.withColumn("y", F.col("y") + F.col("_o.dy")).filter((F.col("y") >= 0) & (F.col("y") < _lit(gh)))
     at = F.sequence(F.greatest(F.col("x") - F.col("_o.w"), F.lit(0)), F.least(F.col("x") + F.col("_o.w"), _lit(gw) - 1))
     return m.withColumn("x", F.explode(at)).groupBy(*keys, "y", "x").agg(F.max(name).alias(name))
@@ -123,7 +135,7 @@ def box_mean(cells: DataFrame, keys: list[str], value: str, r: int, gw, gh) -> D
     The two-pass windows need the full grid: a cell that is not set still lies
     between set ones in its column.
     """
-    full = on_dense(cells.select(*keys, "y", "x", value), keys, gw, gh)
+    full = spread_groups(on_dense(cells.select(*keys, "y", "x", value), keys, gw, gh), keys)
     v = F.col(value).cast("double")
     sums = box_sums(full, keys, r, _n=F.when(v.isNotNull(), 1).otherwise(0), _s=F.coalesce(v, F.lit(0.0)), _q=F.coalesce(v * v, F.lit(0.0)))
     mean = F.try_divide("_s", "_n")
@@ -144,7 +156,7 @@ def smoothed(cells: DataFrame, keys: list[str], value: str, sigma: float, gw, gh
     """Gaussian mean of ``value`` over the cells of ``cells``, normalised by the kernel mass on them."""
     reach = max(1, round(3 * sigma)) if reach is None else reach
     kernel = gaussian_weights(sigma, reach)
-    m = cells.select(*keys, "y", "x", F.col(value).cast("double").alias("_v"), F.lit(1.0).alias("_m"))
+    m = spread_groups(cells.select(*keys, "y", "x", F.col(value).cast("double").alias("_v"), F.lit(1.0).alias("_m")), keys)
     for along, size in (("x", _lit(gw)), ("y", _lit(gh))):
         taps = F.array(*[F.struct(F.lit(d - reach).alias("d"), F.lit(w).alias("w")) for d, w in enumerate(kernel)])
         m = m.withColumn("_t", F.explode(taps)).withColumn(along, F.col(along) + F.col("_t.d"))
@@ -169,7 +181,7 @@ def feather(mask: DataFrame, keys: list[str], reach: int, gw, gh) -> DataFrame:
     The border around the grid counts as not set. Works in two exact steps:
     along the row, then over the rows within reach.
     """
-    full = on_dense(mask.select(*keys, "y", "x", F.lit(True).alias("_set")), keys, gw, gh)
+    full = spread_groups(on_dense(mask.select(*keys, "y", "x", F.lit(True).alias("_set")), keys, gw, gh), keys)
     free = F.when(F.col("_set").isNull(), F.col("x"))
     row = Window.partitionBy(*keys, "y").orderBy("x")
     left = F.coalesce(F.max(free).over(row.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..limits import GLARE_FLAG
+from ..session import ensure_checkpoint_dir
 from .fusion import CELL, SHOT, coverage_counted, low_percentile
 from .grid import erode, local_max, opened
 
@@ -58,13 +59,15 @@ def relit(cells: DataFrame, gw: int, gh: int, glare: float = GLARE_FLAG, step: i
     out what is much brighter than the reference, and once more without the
     outliers of the first fit.
     """
+    ensure_checkpoint_dir(cells.sparkSession)
     x, y = F.col("x") / gw - 0.5, F.col("y") / gh - 0.5
     use = F.col("sel") & (F.col("ref") > 0.1) & (F.col("lum") - F.col("ref") < glare)
     sparse = cells.filter((F.col("y") % step == 0) & (F.col("x") % step == 0) & use)
     z = F.log((F.col("lum") + 0.02) / (F.col("ref") + 0.02))
     rows = sparse.select(*AT, z.alias("_z"), *[t.cast("double").alias(f"_b{i}") for i, t in enumerate(_basis(x, y))])
     enough = rows.groupBy(*SHOT).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_cells).select(*SHOT)
-    rows = rows.join(enough, SHOT, "left_semi")
+    # The sparse sample is read by both fits and both residuals: written out once.
+    rows = rows.join(enough, SHOT, "left_semi").checkpoint()
     first = _with_residual(rows, _fit(rows))
     # The cells of one shot on the sparse grid are bounded by the grid, so an exact median per shot is small.
     spread = first.groupBy(*SHOT).agg(F.greatest(3 * F.percentile("_res", 0.5), F.lit(0.01)).alias("_cut"))
@@ -92,10 +95,12 @@ def overlap_labels(
     since shots never line up exactly beside an edge.
     """
     c = coverage_counted(cells).withColumn("sel", F.col("shots") >= min_shots)
-    c = _with_reference(c, percentile)
+    ensure_checkpoint_dir(cells.sparkSession)
+    # Every round reads its cells several times: written out once a round.
+    c = _with_reference(c, percentile).checkpoint()
     if relight:
         for _ in range(2):
-            c = _with_reference(relit(c, gw, gh, glare, step, min_cells), percentile)
+            c = _with_reference(relit(c, gw, gh, glare, step, min_cells).checkpoint(), percentile).checkpoint()
     reference = c.select(*CELL, "ref").distinct()
     high = local_max(reference, ["page_id"], "ref", shift, gw, gh, "ref_high")
     c = c.join(high, CELL)

@@ -26,7 +26,7 @@ def region_cells(mask: DataFrame, keys: list[str], gw: int, gh: int, min_area: f
 
     Written out once (a checkpoint), since every reader joins it several times.
     """
-    cells = grid_components(closed(mask, keys, 1, gw, gh), keys, unique=True)
+    cells = grid_components(closed(mask, keys, 1, gw, gh), keys, unique=True, placed=True)
     found = cells.filter(F.col("pixels") / (gw * gh) >= min_area).drop("pixels")
     ensure_checkpoint_dir(mask.sparkSession)
     return found.checkpoint()

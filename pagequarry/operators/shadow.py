@@ -12,6 +12,7 @@ from ..limits import (
 from ..session import ensure_checkpoint_dir
 from .fusion import CELL, SHOT
 from .grid import box_sums, local_max_disk, on_dense
+from .ordered import spread_groups
 from .regions import grown
 
 AT = [*SHOT, "y", "x"]
@@ -44,6 +45,7 @@ def window_fit(pairs: DataFrame, radius: int, gw: int, gh: int) -> DataFrame:
     sides' contrast, so noise on both does not pull it towards 0.
     """
     full = on_dense(pairs.select(*AT, *[f"{s}_{c}" for s in "iq" for c in "bgr"], "others"), SHOT, gw, gh)
+    full = spread_groups(full, SHOT)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     sums = {"_n": F.when(F.col("others").isNotNull(), 1).otherwise(0)}
     for c in "bgr":
