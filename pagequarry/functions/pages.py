@@ -176,3 +176,8 @@ def metadata_errors(name: Column, size_ok: Column, pages: Column, created: Colum
             rule(F.size(unknown) > 0, "unknown key"),
         )
     )
+
+
+def page_options(own: dict[str, Column], album: dict[str, str]) -> dict[str, Column]:
+    """The album's options with a page's own ones over them."""
+    return {name: F.coalesce(own[name], F.lit(default)) if name in own else F.lit(default) for name, default in album.items()}

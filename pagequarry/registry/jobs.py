@@ -133,3 +133,26 @@ def _(t: Tables):
     text = F.when(F.col("c_acctbal") < 0, "{").otherwise('{"title": "good", "page_size": "a4", "pages": ["p1", {"folder": "p2", "name": "Two", "rotate": 90}]}')
     p = manifest_pages(t.raw("customer").select(F.col("c_custkey").cast("string").alias("album"), text.alias("text")))[0]
     return p.select("album", "index", "folder", "name", "rotate", F.round(p["size"]["a_in"], 4).alias("a_in"))
+
+
+@query("page_quality_warnings", "I2 B13 D16 D17", "")
+def _(t: Tables):
+    from ..mappings import GRID_H, GRID_W
+    from ..plans.quality import assess
+
+    c = t.cell().select("page_id", "shot", "y", "x", (F.col("r") + 1).cast("double").alias("weight"), (F.col("score") / 100).alias("glare"), (F.col("b") / 256).alias("shadow"))
+    return assess(c, GRID_W, GRID_H, 1000, 800, threshold=0.75, min_region=0.01).warnings
+
+
+@query(
+    "page_options", "B24 B23", "",
+    """SELECT o_orderkey AS page_id, coalesce(CASE o_orderkey % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'force' END, 'auto') AS curvature, coalesce(CASE WHEN o_custkey % 2 = 0 THEN 'left' END, 'auto') AS binding,
+       coalesce(CASE WHEN o_orderstatus = 'F' THEN 'off' END, 'auto') AS sleeve, coalesce(CASE WHEN o_orderstatus = 'O' THEN 'sleeve' END, 'paper') AS crop FROM orders""",
+)
+def _(t: Tables):
+    from ..functions.pages import page_options
+
+    k, status = F.col("o_orderkey") % 3, F.col("o_orderstatus")
+    own = {"curvature": F.when(k == 0, "off").when(k == 1, "force"), "binding": F.when(F.col("o_custkey") % 2 == 0, "left"), "sleeve": F.when(status == "F", "off"), "crop": F.when(status == "O", "sleeve")}
+    opt = page_options(own, {"curvature": "auto", "binding": "auto", "sleeve": "auto", "crop": "paper"})
+    return t.raw("orders").select(F.col("o_orderkey").alias("page_id"), *[c.alias(n) for n, c in opt.items()])
