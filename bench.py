@@ -14,10 +14,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "album_overview", "album_status", "page_states", "pages_reordered", "album_work_left", "shots_in_order", "photo_warning_lines",
-    "upload_outcomes_by_id", "idle_islands", "queue_drained", "integrity_report", "album_run_decisions", "album_assembly",
-    "coverage_counts", "low_percentiles", "leave_one_out_reference", "fused_page", "mask_closed", "smoothed_luminance", "connected_components", "glare_regions",
-    "shot_pair_shares", "prompted_shots", "replay_summary",
+    "album_overview", "album_status", "album_work_left", "shots_in_order", "upload_outcomes_by_id", "idle_islands", "integrity_report", "album_run_decisions",
+    "coverage_counts", "low_percentiles", "leave_one_out_reference", "fused_page", "mask_closed", "connected_components", "shot_pair_shares", "replay_summary",
 ]
 
 
@@ -38,6 +36,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name].run(tables).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total seconds of the headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
 
 

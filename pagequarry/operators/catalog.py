@@ -90,7 +90,7 @@ def album_summary(album: DataFrame, page: DataFrame, op: DataFrame) -> DataFrame
     )
 
 
-def reordered(listed: DataFrame, existing: DataFrame, max_pages: int = MAX_PAGES_PER_ALBUM) -> DataFrame:
+def reordered(listed: DataFrame, existing: DataFrame, max_pages: int = MAX_PAGES_PER_ALBUM, census: DataFrame | None = None) -> DataFrame:
     """New page order: listed pages as listed, then left-out pages with shots by first shot.
 
     ``listed`` is (album_id, page_id, ord), ``existing`` (album_id, page_id,
@@ -102,7 +102,7 @@ def reordered(listed: DataFrame, existing: DataFrame, max_pages: int = MAX_PAGES
     kept = existing.filter("has_shots").join(listed.select("album_id", "page_id"), ["album_id", "page_id"], "left_anti")
     # A page without a first shot sorts before every time, as an empty text would.
     tail = kept.select("album_id", "page_id", F.lit(1).alias("_part"), F.col("first_shot").alias("_at"), F.col("position").alias("_ord"))
-    rows = numbered(head.unionByName(tail), ["album_id"], ["_part", F.col("_at").asc_nulls_first(), "_ord", "page_id"], "position")
+    rows = numbered(head.unionByName(tail), ["album_id"], ["_part", F.col("_at").asc_nulls_first(), "_ord", "page_id"], "position", census=census)
     size = rows.groupBy("album_id").agg((F.max("position") > max_pages).alias("refused"))
     return rows.join(size, "album_id").select("album_id", "page_id", "position", "refused")
 
@@ -177,9 +177,9 @@ def session_meta(server: DataFrame, local: DataFrame) -> DataFrame:
     return joined.select("album_id", *[F.when(F.col("_own"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fields])
 
 
-def shot_ordinals(shot: DataFrame, order: list) -> DataFrame:
+def shot_ordinals(shot: DataFrame, order: list, census: DataFrame | None = None) -> DataFrame:
     """0-based ordinal of each shot on its page, as page reports number them."""
-    return numbered(shot, ["page_id"], order, "_n").withColumn("ordinal", (F.col("_n") - 1)).drop("_n")
+    return numbered(shot, ["page_id"], order, "_n", census=census).withColumn("ordinal", (F.col("_n") - 1)).drop("_n")
 
 
 def keys_to_shot_ids(entries: DataFrame, ordinals: DataFrame, keep_unknown: bool) -> DataFrame:

@@ -34,12 +34,14 @@ class OrderedGroups:
     """Rows of ``df`` ordered by ``order`` inside the groups given by ``keys``.
 
     ``order`` must be total inside a group (end it with a unique column) for
-    results to be reproducible. Keys must not be null in hot groups.
+    results to be reproducible. Keys must not be null in hot groups. Groups are
+    counted on ``census`` where given: a cheaper table with at least as many
+    rows of every key, such as the base table before joins.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list, hot_rows: int = HOT_ROWS):
+    def __init__(self, df: DataFrame, keys: list[str], order: list, hot_rows: int = HOT_ROWS, census: DataFrame | None = None):
         self.keys, self.order = keys, _order(order)
-        hot = _hot_groups(df, keys, hot_rows)
+        hot = _hot_groups(df if census is None else census, keys, hot_rows)
         self.split = hot is not None
         if self.split:
             ensure_checkpoint_dir(df.sparkSession)
@@ -125,8 +127,8 @@ class OrderedGroups:
         return self._merge(cold, hot)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list, name: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    return OrderedGroups(df, keys, order, hot_rows).number(name)
+def numbered(df: DataFrame, keys: list[str], order: list, name: str = "n", hot_rows: int = HOT_ROWS, census: DataFrame | None = None) -> DataFrame:
+    return OrderedGroups(df, keys, order, hot_rows, census).number(name)
 
 
 def first_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "n") -> DataFrame:

@@ -12,15 +12,10 @@ KEY = ["album_id", "page_id", "shot_id"]
 
 def integrity(indexed: DataFrame, files: DataFrame) -> DataFrame:
     """Photos missing from the folder, files the index does not know, and photos whose hash changed: (kind, keys)."""
-    missing = indexed.select(*KEY).join(files.select(*KEY), KEY, "left_anti")
-    extra = files.select(*KEY).join(indexed.select(*KEY), KEY, "left_anti")
-    changed = indexed.select(*KEY, F.col("sha").alias("_sha")).join(files, KEY).filter(F.col("sha") != F.col("_sha")).select(*KEY)
-    kinds = [("missing", missing), ("extra", extra), ("changed", changed)]
-    out = None
-    for kind, df in kinds:
-        part = df.select(F.lit(kind).alias("kind"), *KEY)
-        out = part if out is None else out.unionByName(part)
-    return out
+    # One pass over both sides; the keys are those of single photos, so no key is heavy.
+    both = indexed.select(*KEY, F.col("sha").alias("_indexed")).join(files.select(*KEY, F.col("sha").alias("_file")), KEY, "full_outer")
+    kind = F.when(F.col("_file").isNull(), "missing").when(F.col("_indexed").isNull(), "extra").when(F.col("_indexed") != F.col("_file"), "changed")
+    return both.select(kind.alias("kind"), *KEY).filter("kind IS NOT NULL")
 
 
 def removable(files: DataFrame, album: DataFrame, page: DataFrame, shot: DataFrame) -> DataFrame:

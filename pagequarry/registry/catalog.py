@@ -204,7 +204,8 @@ def _(t: Tables):
     first = shot.groupBy("page_id").agg(F.min("taken").alias("first_shot"))
     existing = page.join(first, "page_id", "left").withColumn("has_shots", F.col("first_shot").isNotNull())
     listed = numbered(page.filter("total >= 250000"), ["album_id"], [F.col("total").desc(), "page_id"], "ord").select("album_id", "page_id", "ord")
-    return C.reordered(listed, existing)
+    # Listed and kept pages are pages of the album, so its page table bounds both.
+    return C.reordered(listed, existing, census=t.page_base())
 
 
 @query(
@@ -224,7 +225,7 @@ def _(t: Tables):
 
 @query("shots_in_order", "E4", "shot", "SELECT page_id, shot_id, row_number() OVER (PARTITION BY page_id ORDER BY taken, shot_id) AS number FROM shot")
 def _(t: Tables):
-    return numbered(t.shot(), ["page_id"], ["taken", "shot_id"], "number").select("page_id", "shot_id", "number")
+    return numbered(t.shot(), ["page_id"], ["taken", "shot_id"], "number", census=t.upload()).select("page_id", "shot_id", "number")
 
 
 @query("cover_shots", "E5", "shot", "SELECT page_id, shot_id AS cover FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY taken, shot_id) AS n FROM shot) WHERE n = 1")
@@ -314,12 +315,12 @@ def _entries(t: Tables):
 
 @query("box_keys_to_shots", "C6", "shot", _ENTRIES + " SELECT e.page_id, e.key, coalesce(o.shot_id, e.key) AS shot_id FROM entries e LEFT JOIN ords o ON o.page_id = e.page_id AND o.ordinal = TRY_CAST(e.key AS BIGINT)")
 def _(t: Tables):
-    return C.keys_to_shot_ids(_entries(t), C.shot_ordinals(t.shot(), ["shot_id"]), keep_unknown=True)
+    return C.keys_to_shot_ids(_entries(t), C.shot_ordinals(t.shot(), ["shot_id"], census=t.upload()), keep_unknown=True)
 
 
 @query("outline_keys_to_shots", "C6", "shot", _ENTRIES + " SELECT e.page_id, e.key, o.shot_id FROM entries e JOIN ords o ON o.page_id = e.page_id AND o.ordinal = TRY_CAST(e.key AS BIGINT)")
 def _(t: Tables):
-    return C.keys_to_shot_ids(_entries(t), C.shot_ordinals(t.shot(), ["shot_id"]), keep_unknown=False)
+    return C.keys_to_shot_ids(_entries(t), C.shot_ordinals(t.shot(), ["shot_id"], census=t.upload()), keep_unknown=False)
 
 
 @query(

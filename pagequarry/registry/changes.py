@@ -20,7 +20,7 @@ ORDER = ["arrival_a", "arrival_b", "arrival_c", "sha", "bytes", "taken"]
 )
 def _(t: Tables):
     puts = t.upload().distinct().withColumn("kind", F.lit("put"))
-    return OL.idempotent_puts(puts, ["page_id", "shot_id"], ORDER).groupBy("page_id", "shot_id", "outcome").agg(F.count(F.lit(1)).alias("uploads"))
+    return OL.idempotent_puts(puts, ["page_id", "shot_id"], ORDER, census=t.upload().select("page_id", "shot_id")).groupBy("page_id", "shot_id", "outcome").agg(F.count(F.lit(1)).alias("uploads"))
 
 
 @query(

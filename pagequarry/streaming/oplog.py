@@ -14,7 +14,7 @@ from ..limits import MAX_SHOTS_PER_PAGE
 from ..operators.ordered import OrderedGroups, numbered
 
 
-def idempotent_puts(op: DataFrame, key: list[str], order: list[str], hot_rows: int | None = None) -> DataFrame:
+def idempotent_puts(op: DataFrame, key: list[str], order: list[str], hot_rows: int | None = None, census: DataFrame | None = None) -> DataFrame:
     """Each put as ``stored``, ``repeat`` (same hash again) or ``conflict`` (another hash).
 
     ``op`` has ``kind`` (put or delete) and ``sha``. A deleted id may come
@@ -22,7 +22,7 @@ def idempotent_puts(op: DataFrame, key: list[str], order: list[str], hot_rows: i
     """
     kw = {} if hot_rows is None else {"hot_rows": hot_rows}
     deleted = (F.col("kind") == "delete").cast("int")
-    lives = OrderedGroups(op, key, order, **kw).running(_life=("sum", deleted)).filter("kind = 'put'")
+    lives = OrderedGroups(op, key, order, census=census, **kw).running(_life=("sum", deleted)).filter("kind = 'put'")
     rank = F.struct(*order)
     first = lives.groupBy(*key, "_life").agg(F.min_by(F.struct("sha", *[F.col(o).alias(f"_{o}") for o in order]), rank).alias("_f"))
     j = lives.join(first, [*key, "_life"])
