@@ -323,3 +323,15 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return FU.tone_reference(t.cell()).select("page_id", "shot", F.round("clipped", 6).alias("clipped"), F.round("bright", 4).alias("bright"))
+
+
+@query(
+    "cell_layers", "C16", "cell",
+    f"""WITH {COVER}, m AS (SELECT page_id, y, x, min(g) AS darkest FROM cell GROUP BY ALL)
+        SELECT c.page_id, c.shot, c.y, c.x, k.shots, g - darkest AS excess, d.s_acctbal > 0 AS truth FROM cell c JOIN cover k ON k.page_id = c.page_id AND k.y = c.y AND k.x = c.x
+        JOIN m ON m.page_id = c.page_id AND m.y = c.y AND m.x = c.x JOIN supplier d ON d.s_suppkey = c.page_id""",
+)
+def _(t: Tables):
+    truth = t.raw("supplier").select(F.col("s_suppkey").alias("page_id"), (F.col("s_acctbal") > 0).alias("truth"))
+    layers = FU.coverage_counted(FU.excess_over_darkest(t.cell(), "g")).join(truth, "page_id")
+    return layers.select("page_id", "shot", "y", "x", "shots", "excess", "truth")

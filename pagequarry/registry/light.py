@@ -18,7 +18,9 @@ from . import query
 from .grid import sql_components, sql_dilate, sql_erode
 
 AT = ["page_id", "shot", "y", "x"]
-BGR = [F.col(c) for c in "bgr"]
+def _bgr():
+    return [F.col(c) for c in "bgr"]
+
 
 
 def lin(c: str) -> str:
@@ -36,8 +38,8 @@ def lin(c: str) -> str:
 )
 def _(t: Tables):
     return t.cell().select(
-        *AT, F.round(P.luminance(*[P.linear(c) for c in BGR]), 6).alias("luminance"), P.darkest(*BGR).alias("darkest"),
-        F.round(P.chroma(*BGR), 3).alias("chroma"), F.round(P.clipped_share(*BGR), 6).alias("clipped"),
+        *AT, F.round(P.luminance(*[P.linear(c) for c in _bgr()]), 6).alias("luminance"), P.darkest(*_bgr()).alias("darkest"),
+        F.round(P.chroma(*_bgr()), 3).alias("chroma"), F.round(P.clipped_share(*_bgr()), 6).alias("clipped"),
     )
 
 
@@ -170,7 +172,7 @@ def _(t: Tables):
 
 @query("relit_overlap_labels", "I8 I9", "")
 def _(t: Tables):
-    c = t.cell().withColumn("lum", P.grey(*BGR))
+    c = t.cell().withColumn("lum", P.grey(*_bgr()))
     l = LB.overlap_labels(c, W, H, shift=1, step=1, min_cells=20)
     return LB.cleaned_labels(l, W, H, rim=1).select(*AT, F.round("lum", 6).alias("lum"), F.col("label").cast("string"))
 
@@ -213,3 +215,17 @@ def _(t: Tables):
     gains = cells.select("page_id", "shot").distinct().withColumn("gains", F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)))
     c = TN.tone_curves(cells, gains, FU.tone_reference(cells), min_agree=10, min_bin=2)
     return c.withColumn("value", F.round("value", 5))
+
+
+@query(
+    "composition_glare", "I12 H1 H2", "cell",
+    "WITH src AS (SELECT page_id, y, x, max(g) / 255.0 AS lum, min(g) / 255.0 AS ref FROM cell GROUP BY ALL), hi AS (SELECT a.page_id, a.y, a.x, max(b.ref) AS h FROM src a JOIN src b ON b.page_id = a.page_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL), "
+    "one AS (SELECT s.page_id, s.y, s.x FROM src s JOIN hi ON hi.page_id = s.page_id AND hi.y = s.y AND hi.x = s.x WHERE lum - h >= -0.6), " + sql_erode("inn", "src") + ", " + sql_erode("oe", "one") + ", " + sql_dilate("solid", "oe")
+    + " SELECT o.page_id, o.y, o.x FROM one o JOIN inn ON inn.page_id = o.page_id AND inn.y = o.y AND inn.x = o.x JOIN solid d ON d.page_id = o.page_id AND d.y = o.y AND d.x = o.x",
+)
+def _(t: Tables):
+    # The threshold is low because neighbouring cells of these tables have nothing in common.
+    c = t.cell()
+    page = c.groupBy("page_id", F.lit(0).alias("shot"), "y", "x").agg((F.max("g") / 255).alias("lum"))
+    ref = c.groupBy("page_id", "y", "x").agg((F.min("g") / 255).alias("lum"))
+    return LB.composition_glare(page, ref, W, H, glare=-0.6, shift=1, rim=1, min_cells=10**9).select("page_id", "y", "x")

@@ -1,6 +1,7 @@
 """The album state machine and the other stateful streams, run over files that are there now."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ def _run(spark, tmp_path, batches, idle=10):
             seq += 1
             lines.append(json.dumps(dict(album_id=1, seq=seq, us=int(t * S), kind=kind, page_id=page, shot_id=shot, sha=sha, gen=0, pages=",".join(pages[0]) if pages else "")))
         (src / f"{i}.json").write_text("\n".join(reversed(lines)))
+        os.utime(src / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken oldest first
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(src))
     out = ST.run_to_table(ST.album_transitions(stream, idle), str(tmp_path / "out"), str(tmp_path / "cp"))
     return [(r.event, r.page_id, r.state) for r in out.orderBy("seq").collect()], out
