@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Corner words, scan marker, resolution unit code for centimetres.
+# Corner words, resolution unit code for centimetres, choices.
 CORNERS = ("top-left", "top-right", "bottom-left", "bottom-right")
-SCAN_MARKER = "albumscan "
 PER_CENTIMETRE = 3
 FITS = ("auto", "stretch", "fit", "fill")
 ROTATIONS = (0, 90, 180, 270)
@@ -118,8 +117,9 @@ def shot_rect(box: Column, width: Column, height: Column) -> Column:
     return F.when(box.isNotNull() & (width > 0) & (height > 0), F.array(clamp(at(0) / width), clamp(at(1) / height), clamp((at(2) + 1) / width), clamp((at(3) + 1) / height)))
 
 
-def is_scan(software: Column) -> Column:
-    return F.coalesce(software.startswith(SCAN_MARKER), F.lit(False))
+def is_scan(software: Column, marker: str) -> Column:
+    """Whether a photo's software text starts with the mark the scanner writes."""
+    return F.coalesce(software.startswith(marker), F.lit(False))
 
 
 def scan_dpi(resolution: Column, unit: Column) -> Column:

@@ -20,10 +20,10 @@ def photo_lists(photos: DataFrame) -> DataFrame:
     return one.groupBy("page_id").agg(listed.alias("l")).select("page_id", F.transform("l", lambda s: s["photo"]).alias("photos"), F.transform("l", lambda s: s["sha"]).alias("shas"))
 
 
-def page_sources(photo: DataFrame) -> DataFrame:
+def page_sources(photo: DataFrame, marker: str) -> DataFrame:
     """``scan`` for pages all of whose photos carry the scan mark, with their common resolution if known."""
     dpi = scan_dpi(F.col("resolution"), F.col("unit"))
-    g = photo.groupBy("page_id").agg(F.bool_and(is_scan(F.col("software"))).alias("_scan"), F.min(dpi).alias("_lo"), F.max(dpi).alias("_hi"), F.bool_or(F.col("resolution").isNull()).alias("_unknown"))
+    g = photo.groupBy("page_id").agg(F.bool_and(is_scan(F.col("software"), marker)).alias("_scan"), F.min(dpi).alias("_lo"), F.max(dpi).alias("_hi"), F.bool_or(F.col("resolution").isNull()).alias("_unknown"))
     scan = F.col("_scan")
     return g.select("page_id", F.when(scan, "scan").otherwise("photo").alias("source"), F.when(scan & ~F.col("_unknown") & (F.col("_lo") == F.col("_hi")), F.col("_lo")).alias("dpi"))
 
