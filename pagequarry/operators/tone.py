@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..limits import MAX_SHOTS_PER_PAGE
 from ..session import ensure_checkpoint_dir
 from .fusion import CELL, SHOT
 from .grid import gaussian_weights
+from .ordered import spread_groups
 
 CHANNELS = ("b", "g", "r")
 BINS, LOW, HIGH = 280, 0.25, 4.0
@@ -25,12 +28,13 @@ def exposure_gains(cells: DataFrame, reference: DataFrame, rounds: int = 3, min_
 
     ``reference`` is (page_id, shot): that shot stays at 1. Shots are taken in
     turn, each against the others at their current gains, for three rounds.
-    Every step is one pass over the stacked cells of all pages at once; only
-    histogram counts are shuffled, and the small gain table is checkpointed.
+    Every step is one pass over the stacked cells of all pages at once; no cell
+    is shuffled again, and the small gain table is checkpointed.
     """
     spark = cells.sparkSession
     ensure_checkpoint_dir(spark)
-    stack = stacked(cells, bright).persist()
+    # Hashed by page, so that every step joins, counts and gathers a page's cells where they are.
+    stack = spread_groups(stacked(cells, bright), ["page_id"]).persist()
     shots = cells.select(*SHOT).distinct()
     turn = Window.partitionBy("page_id").orderBy("shot")  # the shots of one page
     ref = reference.select("page_id", F.col("shot").alias("_ref"))
@@ -68,15 +72,36 @@ def _step(stack: DataFrame, table: DataFrame, k: int, min_cells: int, bright: in
     bin_of = lambda c: F.least(F.floor((F.log(ratio(c)) - F.log(F.lit(LOW))) / width), F.lit(BINS - 1)).cast("int")
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), bin_of(c).alias("bin")) for i, c in enumerate(CHANNELS)]))
     counts = fair.select("page_id", "mine", each.alias("e")).groupBy("page_id", "mine", "e.ch", "e.bin").agg(F.count(F.lit(1)).alias("n"))
-    enough = counts.groupBy("page_id", "mine", "ch").agg(F.sum("n").alias("_all")).filter(F.col("_all") >= min_cells)
-    reach = 6
-    taps = F.array(*[F.struct(F.lit(d - reach).alias("d"), F.lit(w).alias("w")) for d, w in enumerate(gaussian_weights(2.0, reach))])
-    spread = counts.withColumn("t", F.explode(taps)).withColumn("bin", F.col("bin") + F.col("t.d")).filter((F.col("bin") >= 0) & (F.col("bin") < BINS))
-    smooth = spread.groupBy("page_id", "mine", "ch", "bin").agg(F.round(F.sum(F.col("n") * F.col("t.w")), 9).alias("h"))
-    mode = smooth.join(enough, ["page_id", "mine", "ch"]).groupBy("page_id", "mine", "ch").agg(F.max_by("bin", F.struct("h", (-F.col("bin")).alias("first"))).alias("bin"))
-    gain = F.least(F.greatest(F.exp(F.log(F.lit(LOW)) + (F.col("bin") + 0.5) * width), F.lit(0.6)), F.lit(1.6))
-    fresh = mode.groupBy("page_id", F.col("mine").alias("shot")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", gain.alias("v")))), lambda s: s["v"]).alias("_new"))
-    return table.join(fresh, SHOT, "left").withColumn("gains", F.coalesce("_new", "gains")).drop("_new")
+    # At most three histograms of a page's one shot.
+    hist = counts.groupBy("page_id", "mine").agg(F.collect_list(F.struct("ch", "bin", "n")).alias("h"))
+    part = lambda f: F.transform("h", lambda e: e[f])
+    fresh = hist.select("page_id", F.col("mine").alias("shot"), _mode_gains(min_cells)(part("ch"), part("bin"), part("n")).alias("_new"))
+    new = F.transform(F.arrays_zip("_new", "gains"), lambda p: F.coalesce(p["_new"], p["gains"]))
+    return table.join(fresh, SHOT, "left").withColumn("gains", F.when(F.col("_new").isNull(), F.col("gains")).otherwise(new)).drop("_new")
+
+
+def _mode_gains(min_cells: int):
+    """The gain at the peak of each channel's smoothed histogram of log ratios; null with too few cells."""
+
+    @F.pandas_udf("array<double>")
+    def modes(ch: pd.Series, bins: pd.Series, n: pd.Series) -> pd.Series:
+        kernel = gaussian_weights(2.0, 6)
+        width = (np.log(HIGH) - np.log(LOW)) / BINS
+        out = []
+        for c, b, k in zip(ch, bins, n):
+            h = np.zeros((3, BINS))
+            np.add.at(h, (np.asarray(c, int), np.asarray(b, int)), np.asarray(k, float))
+            row = []
+            for counts in h:
+                if counts.sum() < min_cells:
+                    row.append(None)
+                    continue
+                top = int(np.argmax(np.round(np.convolve(counts, kernel, "same"), 9)))
+                row.append(float(np.clip(np.exp(np.log(LOW) + (top + 0.5) * width), 0.6, 1.6)))
+            out.append(row)
+        return pd.Series(out)
+
+    return modes
 
 
 def tone_curves(cells: DataFrame, gains: DataFrame, reference: DataFrame, min_agree: int = 2000, min_bin: int = 50) -> DataFrame:
