@@ -53,6 +53,20 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(small) if few else small
 
 
+def look_up(big: DataFrame, small: DataFrame, on: str, salt: Column, parts: int = 64) -> DataFrame:
+    """Inner join of ``big`` with one row of ``small`` for each key, nulls equal, when a key may hold most of ``big``.
+
+    A saved ``small`` of few rows is broadcast; else its rows are repeated for each part into which ``salt`` (an
+    integer column of ``big``) splits a key.
+    """
+    key = small.withColumnRenamed(on, "_on")
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(key), big[on].eqNullSafe(F.col("_on"))).drop("_on")
+    left = big.withColumn("_part", F.pmod(salt, F.lit(parts)).cast("int"))
+    right = key.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, left[on].eqNullSafe(F.col("_on")) & (F.col("_part") == F.col("_of"))).drop("_on", "_of", "_part")
+
+
 def same(left: list[Column], right: list[Column]) -> Column:
     """Null-safe equality, column by column."""
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right, strict=True)])

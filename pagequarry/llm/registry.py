@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets
-from .common import documents
+from . import bpe, mixing, quality, secrets, toxicity
+from .common import documents, table
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +18,24 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_toxicity": op4_toxicity,
+    "op6_source_mix": op6_source_mix,
 }
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_source_mix": mixing.mix_sql()}
