@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, secrets, toxicity
+from . import bpe, merkle, mixing, quality, secrets, sharding, toxicity
 from .common import documents, table
 
 
@@ -26,16 +26,26 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.with_next(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
+    "op5_balanced_shards": op5_balanced_shards,
     "op6_source_mix": op6_source_mix,
+    "op7_merkle_fingerprints": op7_merkle_fingerprints,
 }
 #: DuckDB SQL for the queries that SQL can express.
 SQL: dict[str, str] = {"op6_source_mix": mixing.mix_sql()}
