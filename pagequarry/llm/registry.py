@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, merkle, mixing, quality, secrets, sharding, toxicity
+from . import bpe, debruijn, embeddings, merkle, mixing, ngram_join, quality, secrets, sharding, toxicity
 from .common import documents, table
 
 
@@ -38,6 +38,18 @@ def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_next(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.deduplicated(documents(spark, sf_dir))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -46,6 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_balanced_shards": op5_balanced_shards,
     "op6_source_mix": op6_source_mix,
     "op7_merkle_fingerprints": op7_merkle_fingerprints,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {"op6_source_mix": mixing.mix_sql()}
+SQL: dict[str, str] = {"op6_source_mix": mixing.mix_sql(), "op9_embedding_near_dedup": embeddings.cosine_sql()}
