@@ -265,20 +265,22 @@ def _encoder(path: str | None) -> Callable[[], Encoder]:
     return make
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``ids`` (array of int) and ``n_tokens`` of every text.
+def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
+    """``ids`` (array of int) and ``n_tokens`` of every text; with ``check`` also the SHA-256 of the decoded ids.
 
     ``vocabulary`` is the path of a word-end BPE file; by default the public 49k one. A null text counts as
-    empty and gets no ids. Texts are worked on in pieces, so their length doesn't matter; repeated rows repeat
-    results; only ``keep`` and the text column are read.
+    empty and gets no ids. Texts are worked on in pieces; repeated rows repeat results; only ``keep`` and the
+    text column are read.
     """
 
     def work(texts: list[str], encoder: Encoder) -> dict:
         ids = [np.frombuffer(b"".join(x), "<u4").astype("i4") for x in encoder([t.encode() for t in texts])]
-        return {"n_tokens": [len(x) for x in ids], "ids": ids}
+        decoded = [hashlib.sha256(encoder.bpe.decode(x.tolist())).hexdigest() for x in ids] if check else None
+        return {"n_tokens": [len(x) for x in ids], "ids": ids, "decoded_sha256": decoded}
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
-    return by_text(docs, work, fields, text, keep, _encoder(vocabulary))
+    more = [T.StructField("decoded_sha256", T.StringType())] if check else []
+    return by_text(docs, work, fields + more, text, keep, _encoder(vocabulary))
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:

@@ -133,6 +133,21 @@ def pieces(data: bytes, size: int = PIECE) -> Iterator[bytes]:
         start = end
 
 
+class Sent:
+    """A value sent to the executors once, with a name of its own. Its classes travel with it, by value."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        from pyspark import cloudpickle
+
+        self.data, self.name = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    @property
+    def value(self):
+        import pickle
+
+        return pickle.loads(self.data.value)
+
+
 def worker_store(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, across its tasks."""
     module = sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store"))

@@ -73,39 +73,63 @@ def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", "budget", F.coalesce("bucket", F.lit(1 << KEY_BITS)).alias("limit"))
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """How many words of each document a mix takes: doc_id, size, source_size, target, taken, and ``keep`` columns.
+def measured(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The given columns, ``source``, and each document's size and hash key."""
+    named = [F.col(c) for c in columns if c != "source"]
+    return docs.select(*named, "source", word_count(F.col(text)).alias("size"), hash_key(F.col("doc_id")).alias("key"))
 
-    The size of a text is its number of words (a null text: 0); sources (null is one of its own) get targets by
-    ``targets``. A target above its source's size takes every document once and fills the rest with second
-    copies. Documents are chosen by hash: those whose key lies below the budget's threshold. What the budget
-    still leaves goes, in ``PASSES`` passes, to documents that fit into it. Equal ids share a key, so they are
-    taken or left together; repeated rows count as often as they stand there; reruns agree. Without rows there
-    is no result. Text is read once; everything after works on a narrow saved table.
+
+def budgets(narrow: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """One row a source: total, target, and for each pass its budget and the key limit below which documents fit it.
+
+    ``narrow`` has source, size and key, and is read several times: it should be saved.
     """
-    kept = [F.col(k) for k in keep]
-    narrow = saved(docs.select("doc_id", *kept, F.col("source"), word_count(F.col(text)).alias("size"), hash_key(F.col("doc_id")).alias("key")))
     wanted = saved(targets(narrow.groupBy("source").agg(F.sum("size").alias("total")), share, most, weights))
     spare = F.when(F.col("target") > F.col("total"), F.col("target") - F.col("total")).otherwise(F.col("target"))
     state = wanted.select("source", "total", "target", spare.alias("budget_1"))
-    chosen = F.lit(False)
     for p in range(1, PASSES + 1):
-        fits = F.col("size") <= F.col(f"budget_{p}")
-        rows = look_up(narrow, state, "source", F.col("key")).where(fits & (F.col("size") > 0) & ~chosen).select("source", "size", "key")
+        fits = (F.col("size") <= F.col(f"budget_{p}")) & (F.col("size") > 0) & ~_before(p)
+        rows = look_up(narrow, state, "source", F.col("key")).where(fits).select("source", "size", "key")
         limits = _threshold(rows, state.select("source", F.col(f"budget_{p}").alias("budget"))).select(F.col("source").alias("_s"), F.col("limit").alias(f"limit_{p}"))
-        state = state.join(limits, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        chosen = chosen | (fits & (F.col("key") < F.col(f"limit_{p}")))
+        state = saved(state.join(limits, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
         if p < PASSES:
-            used = look_up(narrow, saved(state), "source", F.col("key")).where(fits & (F.col("key") < F.col(f"limit_{p}")) & ~_before(p)).groupBy("source").agg(F.sum("size").alias("used"))
-            used = used.withColumnRenamed("source", "_s")
-            state = state.join(used, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-            state = state.withColumn(f"budget_{p + 1}", F.col(f"budget_{p}") - F.coalesce("used", F.lit(0))).drop("used")
-        state = saved(state)
-    once = (F.col("target") > F.col("total")).cast("long")
-    return look_up(narrow, state, "source", F.col("key")).select(
-        "doc_id", *[k for k in keep if k != "doc_id"], "size", F.col("total").alias("source_size"), "target",
-        (F.col("size") * (once + (chosen & (F.col("size") > 0)).cast("long"))).alias("taken"),
-    )
+            used = look_up(narrow, state, "source", F.col("key")).where(fits & (F.col("key") < F.col(f"limit_{p}"))).groupBy("source").agg(F.sum("size").alias("used"))
+            state = state.join(used.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+            state = saved(state.withColumn(f"budget_{p + 1}", F.col(f"budget_{p}") - F.coalesce("used", F.lit(0))).drop("used"))
+    return state
+
+
+def copies() -> Column:
+    """How often a document is taken, from its size and key and its source's row of ``budgets``."""
+    return (F.col("target") > F.col("total")).cast("long") + (_before(PASSES + 1) & (F.col("size") > 0)).cast("long")
+
+
+def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, text: str = "text") -> DataFrame:
+    """How many words of each document a mix takes: doc_id, size, source_size, target and taken.
+
+    The size of a text is its number of words (a null text: 0); sources (null is one of its own) get targets by
+    ``targets``. A target above its source's size takes every document once and fills the rest with second
+    copies. Documents are chosen by hash: those whose key lies below the budget's threshold. What the budget
+    still leaves goes, in ``PASSES`` passes, to documents that fit into it. Equal ids share a key, so they are
+    taken or left together; repeated rows count as often as they stand there; reruns agree. Without rows there
+    is no result. Text is read once; everything after works on a narrow saved table.
+    """
+    narrow = saved(measured(docs, ["doc_id"], text))
+    found = look_up(narrow, budgets(narrow, share, most, weights), "source", F.col("key"))
+    return found.select("doc_id", "size", F.col("total").alias("source_size"), "target", (F.col("size") * copies()).alias("taken"))
+
+
+def mixed(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, text: str = "text") -> DataFrame:
+    """``docs`` as the mix has them: rows that it takes twice stand there twice, rows that it leaves are gone.
+
+    Texts without words have nothing to take and are gone too. The columns stay as they are. Only narrow columns
+    are saved or moved; texts are read again and their copies made in place.
+    """
+    names = docs.columns
+    state = budgets(saved(measured(docs, [], text)), share, most, weights)
+    whole = docs.select(F.struct(*names).alias("_row"), "source", word_count(F.col(text)).alias("size"), hash_key(F.col("doc_id")).alias("key"))
+    taken = look_up(whole, state, "source", F.col("key")).select("_row", F.when(F.col("size") > 0, copies()).otherwise(0).alias("_n"))
+    return taken.where("_n > 0").select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select("_row.*")
 
 
 def _before(p: int) -> Column:

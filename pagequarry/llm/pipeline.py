@@ -1,10 +1,40 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and all but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents, written
+from . import bpe, mixing, ngram_join, quality, secrets
+from .common import checked_broadcast, documents, saved, table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the compression classifier, fitted on the labelled documents, scores below its threshold."""
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the least id, of each class of the n-gram join. Rows without an id, and rows that repeat one, stay."""
+    found = ngram_join.classes(docs)
+    gone = saved(found.where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks every secret in the texts and counts their characters anew."""
+    clean = secrets.redacted(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents never, once or twice, so that the sources' words come to their targets."""
+    return mixing.mixed(docs)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, number of tokens, their ids, and the digest of the text that these decode to."""
+    return bpe.encode(docs, keep=("doc_id", "lang", "source"), check=True)
 
 
 def run(stages: list, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_text
+from .common import Sent, by_text
 from .labelled import Logistic, fit_logistic, held_out, sample, training_labels, with_labels
 
 #: Texts are compressed in blocks of so many bytes, each against the dictionary, so that long texts count as short ones do.
@@ -97,12 +97,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> QualityModel:
     blocks = rows(learn.where(apart), DICTIONARY_ROWS, "dictionary").select("text", "y").mapInArrow(cut, "y int, block binary").collect()
     made = [_dictionary(sorted(bytes(b.block) for b in blocks if b.y == y and len(b.block))) for y in (1, 0)]
     model = QualityModel(*made)
-    shared = spark.sparkContext.broadcast(model)
+    shared = Sent(spark, model)
     found = by_text(rows(learn.where(~apart), CURVE_ROWS, "curve"), _features, [T.StructField("x", T.ArrayType(T.DoubleType()))], "text", ("doc_id", "y"), lambda: shared.value.sizes()).orderBy("doc_id").collect()
     x = np.array([r.x for r in found]).reshape(len(found), FEATURES)
     return QualityModel(*made, fit_logistic(x, np.array([r.y for r in found])))
 
 
+def _state(model: QualityModel) -> tuple[Sizes, Logistic]:
+    return model.sizes(), model.curve
+
+
 def _features(texts: list[str], sizes: Sizes) -> dict:
     return {"x": [sizes(t) for t in texts]}
 
@@ -112,13 +116,28 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: tuple[
 
     Repeated rows get equal scores; only ``keep`` and the text column are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
 
     def work(texts: list[str], state: tuple[Sizes, Logistic]) -> dict:
         sizes, curve = state
         return {"quality": curve(np.array([sizes(t) for t in texts])).tolist() if texts else []}
 
-    return by_text(docs, work, [T.StructField("quality", T.DoubleType())], text, keep, lambda: (shared.value.sizes(), shared.value.curve))
+    return by_text(docs, work, [T.StructField("quality", T.DoubleType())], text, keep, lambda: _state(shared.value))
+
+
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose whole text scores at least ``threshold``; the columns stay as they are."""
+    shared, at = Sent(docs.sparkSession, model), docs.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        sizes, curve = _state(shared.value)
+        for batch in batches:
+            x = np.array([sizes(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(curve(x) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_text, slices, worker_store
+from .common import Sent, by_text, slices, worker_store
 from .labelled import Logistic, fit_logistic, held_out, sample, training_labels, with_labels
 
 ORDER, BITS = 5, 5
@@ -176,23 +176,10 @@ class Ratios:
 
 def _worker_ratios(shared) -> Ratios:
     kept = worker_store("toxicity")
-    if shared.id not in kept:
+    if shared.name not in kept:
         kept.clear()
-        kept[shared.id] = Ratios(shared.value)
-    return kept[shared.id]
-
-
-class _Shared:
-    """A broadcast model with a name of its own."""
-
-    def __init__(self, spark, model: ToxicityModel):
-        import uuid
-
-        self.sent, self.id = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-
-    @property
-    def value(self) -> ToxicityModel:
-        return self.sent.value
+        kept[shared.name] = Ratios(shared.value)
+    return kept[shared.name]
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel:
@@ -205,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel
     counts = gram_counts(with_labels(docs, learn, text)).toPandas().sort_values("gram")
     grams, *by = (counts[c].to_numpy(np.int64) for c in counts.columns)
     known = by[2] + by[3] > 0
-    rest = _Shared(docs.sparkSession, ToxicityModel(grams[known], by[2][known], by[3][known]))
+    rest = Sent(docs.sparkSession, ToxicityModel(grams[known], by[2][known], by[3][known]))
     some = sample(learn.where("aside"), 0, CURVE_ROWS, "curve").unionAll(sample(learn.where("aside"), 1, CURVE_ROWS, "curve"))
     found = by_text(with_labels(docs, some, text), _features, [T.StructField("x", T.ArrayType(T.DoubleType()))], "text", ("doc_id", "y"), lambda: _worker_ratios(rest)).orderBy("doc_id").collect()
     x = np.array([r.x for r in found]).reshape(len(found), FEATURES)
@@ -221,7 +208,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
 
     Repeated rows get equal scores; only ``keep`` and the text column are read.
     """
-    shared, curve = _Shared(docs.sparkSession, model), model.curve
+    shared, curve = Sent(docs.sparkSession, model), model.curve
 
     def work(texts: list[str], ratios: Ratios) -> dict:
         return {"toxicity": curve(ratios(texts)).tolist()}
