@@ -1,0 +1,135 @@
+"""Row-wise operators: secrets, encoding, fingerprints."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from pagequarry.llm import bpe, merkle, secrets
+
+from .helpers import awkward_texts, rows, table
+
+SPACES = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_base(text):
+    """The base rules one by one, as they are stated."""
+    out = []
+    for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [x for *_, x in sorted(out)]
+
+
+SECRETS = [
+    (21, "PASSWORD = 'abcdef' paſsword=abcdefgh API_KEY:abc api_key: abc-def.1"), (22, "é AKIA" + "A1" * 8 + " and AKIA12"),
+    (23, "token=" + "0123456789abcdef" * 2), (24, "f" * 23 + " " + "f" * 24), (25, "key q8Zr2Lk0Vx7Tn4Bw9Yc3Hs6Pd1Mf5Jg end"),
+]
+
+
+def test_secrets_base_rules_and_windows(spark):
+    data = awkward_texts() + SECRETS
+    got = {(r.doc_id, r.base_sha256): r for r in secrets.digests(secrets.secret_spans(table(spark, data))).collect()}
+    assert len(got) == len(set(data))
+    for i, t in data:
+        want = plain_base(t or "")
+        r = got[i, hashlib.sha256(",".join(want).encode()).hexdigest()]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex")]
+        assert set(want) <= set(r.spans.split(",")) | {""}
+    assert any("entropy_base64:4:36" in r.spans for r in got.values())
+
+
+def test_windows_match_a_plain_entropy():
+    r = random.Random(3)
+    s = "".join(r.choice("abcd01") for _ in range(60)) + "".join(r.choice("abcdefghijklmnop0123456789ABCDEFG") for _ in range(60))
+    entropy = lambda x: -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values())
+    covered = set()
+    for i in range(len(s) - 23):
+        if entropy(s[i : i + 24]) >= 3.9:
+            covered |= set(range(i, i + 24))
+    assert covered and covered == {k for a, b in secrets.entropy_windows(s, 24, 3.9) for k in range(a, b)}
+
+
+@pytest.mark.parametrize("text", ["550e8400-e29b-41d4-a716-446655440000", "EXAMPLEq8Zr2Lk0Vx7Tn4Bw9Yc3Hs6", "just-a-long-slug-of-plain-words-12"])
+def test_allow_list(text):
+    assert secrets.find_secrets(text)[1] == []
+
+
+def test_redaction_leaves_columns_and_clean_texts(spark):
+    docs = table(spark, [*awkward_texts(), *SECRETS])
+    out = secrets.redacted(docs)
+    assert out.schema == docs.schema
+    assert all(not secrets.find_secrets(r.text or "")[0] for r in out.collect())
+    before, after = rows(docs.where("doc_id < 20"), "doc_id", "text"), rows(out.where("doc_id < 20"), "doc_id", "text")
+    assert before == after
+
+
+def test_encoding_is_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    data = awkward_texts()
+    docs = table(spark, data)
+    got = rows(bpe.round_trip_digests(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    want = []
+    for i, t in data:
+        e = library.encode(t or "", add_special_tokens=False)
+        d = library.decode(e.ids, skip_special_tokens=False)
+        want.append([i, len(e.ids), hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(d.encode()).hexdigest()])
+    assert got == sorted(want, key=str)
+    whole = bpe.decode(bpe.encode(docs, check=True)).collect()
+    assert all(hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256 and len(r.ids) == r.n_tokens for r in whole)
+
+
+def test_trie_on_random_words():
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(bpe.default_vocabulary()), bpe.Encoder(bpe.WordBPE(bpe.default_vocabulary()))
+    r = random.Random(5)
+    texts = ["".join(r.choice(["th", "in", "an", "e", "s", "ing", "İ", "ß", "'s", "'LL", " ", "\x85", "1", "é", "!!", "漢", "<|endoftext|>"]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts += ["a" * 2000, "aaab" * 300]
+    got = [np.frombuffer(b"".join(x), "<u4").tolist() for x in mine([t.encode() for t in texts])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_fingerprints_follow_ids_across_partitions(spark):
+    data = [(i, t) for i, t in awkward_texts() if i not in (9, None)]
+    got = {r.doc_id: r for r in merkle.with_next(table(spark, data).repartition(5)).collect()}
+    ids = sorted(i for i, _ in data)
+    texts = {i: t or "" for i, t in data}
+    assert sorted(got) == ids
+    for i, j in zip(ids, [*ids[1:], ids[0]], strict=True):
+        t, k = texts[i], len(texts[i]) // 4
+        edited, r = t[: len(t) - k] + texts[j][:k], got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == merkle.fingerprint(t) and r.edited_fingerprint == merkle.fingerprint(edited)
+        assert r.near_next == merkle.likeness(r.fingerprint, merkle.fingerprint(texts[j])) and 0 <= r.near_edited <= 1
+        if len(t) > 400 and " " in t:
+            assert 0.6 < r.near_edited < 0.9
+    assert got[5].fingerprint == got[6].fingerprint and got[5].near_next == 1
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    assert merkle.with_next(table(spark, awkward_texts())).count() == len(awkward_texts())
+    one = merkle.with_next(table(spark, [(None, "ab cd")])).collect()
+    assert [(r.n_chars, r.near_next) for r in one] == [(5, 1.0)]
+
+
+def test_trees_locate_edits():
+    a = "\n".join(f"line {i} of the text" for i in range(60))
+    b = a.replace("line 30 of", "line thirty of")
+    ((s, e, s2, e2),) = merkle.differing(a, b)
+    assert a[s:e].strip() == "line 30 of the text" and b[s2:e2].strip() == "line thirty of the text"
+    assert merkle.differing(a, a) == [] and merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) > 0.9
+
+
+def test_empty_tables(spark):
+    docs = table(spark, [(1, "x")]).where("doc_id > 1")
+    for f in (secrets.secret_spans, secrets.redacted, bpe.round_trip_digests, bpe.encode, merkle.fingerprints, merkle.with_next):
+        assert f(docs).count() == 0
