@@ -74,7 +74,7 @@ def grid_components(mask: DataFrame, keys: list[str], flag: str | None = None, u
     return out if flag else out.drop("held")
 
 
-def graph_components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 200) -> DataFrame:
+def graph_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """The smallest node id each node can reach: (keys, node, component).
 
     ``nodes`` is (keys, node), ``edges`` (keys, a, b), taken as undirected. Each
@@ -87,7 +87,7 @@ def graph_components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_ro
     ensure_checkpoint_dir(spark)
     both = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select(*keys, "node", F.col("node").alias("component")).distinct().checkpoint()
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so it ends; rounds grow with the logarithm of the longest chain
         seen = both.join(labels.select(*keys, F.col("node").alias("b"), "component"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("component").alias("_near"))
         low = labels.join(seen, [*keys, "node"], "left").select(*keys, "node", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("component"))
         low = low.checkpoint()
@@ -97,4 +97,3 @@ def graph_components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_ro
         jump = low.join(wanted, [*keys, "node"], "left_semi").filter(F.col("component") < F.col("node"))
         jump = jump.select(*keys, F.col("node").alias("component"), F.col("component").alias("_to"))
         labels = low.join(jump, [*keys, "component"], "left").select(*keys, "node", F.coalesce("_to", "component").alias("component")).checkpoint()
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

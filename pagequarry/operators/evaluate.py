@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .ordered import quantile_by_index
 
+#: Settings of a sweep packed into one row, and how many may be broadcast.
+SETTINGS_A_ROW, MOST_BROADCAST = 1000, 100_000
+
 
 def _share(part, whole):
     """Mask scores divide by at least 1, so that an empty class scores 0."""
@@ -49,16 +52,16 @@ def setting_report(cases: DataFrame, keys: list[str], deep: float = 0.35) -> Dat
 def sweep(cases: DataFrame, settings: DataFrame, score, keys: list[str]) -> DataFrame:
     """Every case under every setting, scored by ``score`` (DataFrame to DataFrame) in one pass and reported.
 
-    ``settings`` is a short table the caller writes down; it is repeated on
-    each case as an array, so no join is needed.
+    Settings are packed into rows of about ``SETTINGS_A_ROW``. A case meets each of those rows once and is repeated
+    for its settings in place. The rows are broadcast while there are few settings; any number works.
     """
-    rows = settings.collect()  # the settings tried, a handful
-    if len(rows) > 1000:
-        raise ValueError("too many settings for one sweep")
     names = settings.columns
-    listed = F.array(*[F.struct(*[F.lit(r[n]).alias(n) for n in names]) for r in rows])
-    tried = cases.withColumn("_s", F.explode(listed)).select(*cases.columns, *[F.col(f"_s.{n}").alias(n) for n in names])
-    return setting_report(score(tried), [*names, *keys])
+    n = settings.count()
+    blocks = max(1, -(-n // SETTINGS_A_ROW))
+    packed = settings.withColumn("_block", F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")).groupBy("_block").agg(F.collect_list(F.struct(*names)).alias("_settings"))
+    sent = cases.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tried = sent.join(F.broadcast(packed) if n <= MOST_BROADCAST else packed, "_block").withColumn("_s", F.explode("_settings"))
+    return setting_report(score(tried.select(*cases.columns, *[F.col(f"_s.{c}").alias(c) for c in names])), [*names, *keys])
 
 
 def image_error(cells: DataFrame, keys: list[str], strip=None) -> DataFrame:

@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..limits import MAX_SHOTS_PER_PAGE
-from ..session import ensure_checkpoint_dir
 from .fusion import CELL, SHOT
 from .grid import gaussian_weights
 from .ordered import spread_groups
@@ -17,91 +15,67 @@ CHANNELS = ("b", "g", "r")
 BINS, LOW, HIGH = 280, 0.25, 4.0
 
 
-def stacked(cells: DataFrame, bright: int = 235) -> DataFrame:
-    """One row per cell with every usable shot's channels (at most the shots of one page)."""
-    usable = cells.filter(F.greatest(*CHANNELS) <= bright)
-    return usable.groupBy(*CELL).agg(F.collect_list(F.struct("shot", *CHANNELS)).alias("stack"))
-
-
 def exposure_gains(cells: DataFrame, reference: DataFrame, rounds: int = 3, min_cells: int = 500, bright: int = 235) -> DataFrame:
     """Gain per shot and channel that brings it to the others: (page_id, shot, gains[b, g, r]).
 
     ``reference`` is (page_id, shot): that shot stays at 1. Shots are taken in
-    turn, each against the others at their current gains, for three rounds.
-    Every step is one pass over the stacked cells of all pages at once; no cell
-    is shuffled again, and the small gain table is checkpointed.
+    turn, each against the others at their current gains, for ``rounds`` rounds,
+    which makes a page one sequential fit. A page is bounded by its grid and its
+    shots, so each page is one grouped task over its cells, whatever the number
+    of pages, and there is one job in all.
     """
-    spark = cells.sparkSession
-    ensure_checkpoint_dir(spark)
-    # Hashed by page, so that every step joins, counts and gathers a page's cells where they are.
-    stack = spread_groups(stacked(cells, bright), ["page_id"]).persist()
-    shots = cells.select(*SHOT).distinct()
-    turn = Window.partitionBy("page_id").orderBy("shot")  # the shots of one page
     ref = reference.select("page_id", F.col("shot").alias("_ref"))
-    table = shots.join(ref, "page_id").withColumn("turn", F.row_number().over(turn)).withColumn("gains", F.array(*[F.lit(1.0)] * 3)).checkpoint()
-    last = table.agg(F.max("turn")).first()[0] or 0
-    if last > MAX_SHOTS_PER_PAGE:
-        raise ValueError(f"a page has {last} shots, more than {MAX_SHOTS_PER_PAGE}")
-    try:
+    rows = cells.select("page_id", "shot", "y", "x", *CHANNELS).join(ref, "page_id")
+    schema = f"page_id {cells.schema['page_id'].dataType.simpleString()}, shot {cells.schema['shot'].dataType.simpleString()}, gains array<double>"
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        shots = np.sort(pdf["shot"].unique())
+        value = _planes(pdf, shots, bright)
+        gains = np.ones((len(shots), len(CHANNELS)))
         for _ in range(rounds):
-            for k in range(1, last + 1):
-                table = _step(stack, table, k, min_cells, bright).checkpoint()
-    finally:
-        stack.unpersist()
-    return table.select(*SHOT, "gains")
-
-
-def _step(stack: DataFrame, table: DataFrame, k: int, min_cells: int, bright: int) -> DataFrame:
-    """The gain table after the shots whose turn is ``k`` were matched to the others."""
-    per_page = table.groupBy("page_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("shot", "gains"))).alias("g"), F.max(F.when((F.col("turn") == k) & (F.col("shot") != F.col("_ref")), F.col("shot"))).alias("mine")
-    ).filter(F.col("mine").isNotNull())
-    cells = stack.join(per_page, "page_id")
-    own = F.get(F.filter("stack", lambda s: s["shot"] == F.col("mine")), F.lit(0))
-    others = F.filter("stack", lambda s: s["shot"] != F.col("mine"))
-    cells = cells.withColumn("own", own).withColumn("oth", others).filter(F.col("own").isNotNull() & (F.size("oth") > 0))
-
-    def other_mean(i: int, c: str):
-        return F.try_divide(F.aggregate("oth", F.lit(0.0), lambda acc, s: acc + s[c] * F.get(F.element_at("g", s["shot"]), F.lit(i))), F.size("oth"))
-
-    cells = cells.select("page_id", "mine", *[other_mean(i, c).alias(f"o_{c}") for i, c in enumerate(CHANNELS)], *[F.col(f"own.{c}").alias(c) for c in CHANNELS])
-    o = [F.col(f"o_{c}") for c in CHANNELS]
-    fair = cells.filter((F.least(*o) > 20) & (F.greatest(*o) < bright))
-    width = (F.log(F.lit(HIGH)) - F.log(F.lit(LOW))) / BINS
-    ratio = lambda c: F.least(F.greatest(F.col(f"o_{c}") / F.greatest(F.col(c), F.lit(1)), F.lit(LOW)), F.lit(HIGH))
-    bin_of = lambda c: F.least(F.floor((F.log(ratio(c)) - F.log(F.lit(LOW))) / width), F.lit(BINS - 1)).cast("int")
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), bin_of(c).alias("bin")) for i, c in enumerate(CHANNELS)]))
-    counts = fair.select("page_id", "mine", each.alias("e")).groupBy("page_id", "mine", "e.ch", "e.bin").agg(F.count(F.lit(1)).alias("n"))
-    # At most three histograms of a page's one shot.
-    hist = counts.groupBy("page_id", "mine").agg(F.collect_list(F.struct("ch", "bin", "n")).alias("h"))
-    part = lambda f: F.transform("h", lambda e: e[f])
-    fresh = hist.select("page_id", F.col("mine").alias("shot"), _mode_gains(min_cells)(part("ch"), part("bin"), part("n")).alias("_new"))
-    new = F.transform(F.arrays_zip("_new", "gains"), lambda p: F.coalesce(p["_new"], p["gains"]))
-    return table.join(fresh, SHOT, "left").withColumn("gains", F.when(F.col("_new").isNull(), F.col("gains")).otherwise(new)).drop("_new")
-
-
-def _mode_gains(min_cells: int):
-    """The gain at the peak of each channel's smoothed histogram of log ratios; null with too few cells."""
-
-    @F.pandas_udf("array<double>")
-    def modes(ch: pd.Series, bins: pd.Series, n: pd.Series) -> pd.Series:
-        kernel = gaussian_weights(2.0, 6)
-        width = (np.log(HIGH) - np.log(LOW)) / BINS
-        out = []
-        for c, b, k in zip(ch, bins, n):
-            h = np.zeros((3, BINS))
-            np.add.at(h, (np.asarray(c, int), np.asarray(b, int)), np.asarray(k, float))
-            row = []
-            for counts in h:
-                if counts.sum() < min_cells:
-                    row.append(None)
-                    continue
-                top = int(np.argmax(np.round(np.convolve(counts, kernel, "same"), 9)))
-                row.append(float(np.clip(np.exp(np.log(LOW) + (top + 0.5) * width), 0.6, 1.6)))
-            out.append(row)
-        return pd.Series(out)
-
-    return modes
+            for k, shot in enumerate(shots):
+                if shot != pdf["_ref"].iloc[0]:
+                    gains[k] = _matched(value, gains, k, min_cells, bright)
+        return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "shot": shots, "gains": list(gains)})
+
+    return spread_groups(rows, ["page_id"]).groupBy("page_id").applyInPandas(solve, schema)
+
+
+def _planes(pdf: pd.DataFrame, shots: np.ndarray, bright: int) -> np.ndarray:
+    """Channels of the usable cells that any shot covers: (shot, channel, cell), nan where the shot has none."""
+    colour = pdf[list(CHANNELS)].to_numpy(np.float32)
+    usable = colour.max(1) <= bright
+    _, cell = np.unique(pdf["y"].to_numpy(np.int64)[usable] << 32 | pdf["x"].to_numpy(np.int64)[usable], return_inverse=True)
+    value = np.full((len(shots), len(CHANNELS), cell.max() + 1 if len(cell) else 0), np.nan, np.float32)
+    at = np.searchsorted(shots, pdf["shot"].to_numpy()[usable])
+    for c in range(len(CHANNELS)):
+        value[at, c, cell] = colour[usable, c]
+    return value
+
+
+def _matched(value: np.ndarray, gains: np.ndarray, k: int, min_cells: int, bright: int) -> np.ndarray:
+    """The gains of shot ``k`` against the mean of the others where that is neither dark nor bright."""
+    others = [s for s in range(len(value)) if s != k]
+    total, n = np.zeros(value.shape[1:]), np.zeros(value.shape[2])
+    for s in others:
+        there = ~np.isnan(value[s, 0])
+        total[:, there] += value[s][:, there] * gains[s][:, None]
+        n += there
+    both = (n > 0) & ~np.isnan(value[k, 0])
+    mean, own = total[:, both] / n[both], value[k][:, both]
+    fair = (mean.min(0) > 20) & (mean.max(0) < bright)
+    return np.array([_mode_gain(mean[c, fair], own[c, fair], min_cells, gains[k, c]) for c in range(len(CHANNELS))])
+
+
+def _mode_gain(mean: np.ndarray, own: np.ndarray, min_cells: int, before: float) -> float:
+    """The gain at the peak of the smoothed histogram of log ratios; the one before with too few cells."""
+    if len(mean) < min_cells:
+        return before
+    width = (np.log(HIGH) - np.log(LOW)) / BINS
+    ratio = np.clip(mean / np.maximum(own, 1), LOW, HIGH)
+    counts = np.bincount(np.minimum((np.log(ratio) - np.log(LOW)) / width, BINS - 1).astype(int), minlength=BINS)
+    top = int(np.argmax(np.round(np.convolve(counts, gaussian_weights(2.0, 6), "same"), 9)))
+    return float(np.clip(np.exp(np.log(LOW) + (top + 0.5) * width), 0.6, 1.6))
 
 
 def tone_curves(cells: DataFrame, gains: DataFrame, reference: DataFrame, min_agree: int = 2000, min_bin: int = 50) -> DataFrame:

@@ -128,9 +128,18 @@ def _(t: Tables):
     return OL.run_outcomes(r).select("page_id", "outcome", "next_state")
 
 
-@query("recovered_pages", "J10", "page", "SELECT page_id, CASE WHEN state = 'processing' THEN CASE WHEN total > 250000 THEN 'ready' ELSE 'changed' END ELSE state END AS state FROM page")
+@query("recovered_pages", "J10", "page", "SELECT page_id, CASE WHEN state = 'processing' THEN 'changed' ELSE state END AS state FROM page")
 def _(t: Tables):
-    return OL.recovered(t.page_base().withColumn("ready_at", F.when(F.col("total") > 250000, F.lit(1)))).select("page_id", "state")
+    return OL.recovered(t.page_base()).select("page_id", "state")
+
+
+@query(
+    "abandoned_pages", "J10", "page",
+    "SELECT page_id, CASE WHEN state = 'processing' AND priority <> '5-LOW' THEN CASE WHEN total > 150000 THEN 'ready' ELSE 'changed' END ELSE state END AS state FROM page",
+)
+def _(t: Tables):
+    p = t.page_base().withColumn("ready_at", F.when(F.col("total") > 150000, F.col("changed_at"))).withColumn("abandoned", F.col("priority") != "5-LOW")
+    return OL.abandoned(p).select("page_id", "state")
 
 
 @query(
@@ -172,33 +181,38 @@ def _(t: Tables):
 
 @query(
     "newly_warned_by_poll", "J12", "op",
-    """WITH o AS (SELECT DISTINCT album_id, CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts)) AS BIGINT) AS poll, page_no AS page_id, kind FROM op), w AS (SELECT DISTINCT album_id, poll, page_id FROM o WHERE kind = 'PUT_SHOT'), p AS (SELECT DISTINCT album_id, poll FROM o)
-       SELECT album_id, poll, page_id FROM w WHERE (album_id, poll - 1, page_id) NOT IN (SELECT (album_id, poll, page_id) FROM w) AND (album_id, poll - 1) IN (SELECT (album_id, poll) FROM p)""",
+    """WITH o AS (SELECT DISTINCT album_id, CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts)) AS BIGINT) AS poll, page_no AS page_id, kind FROM op), w AS (SELECT DISTINCT album_id, poll, page_id FROM o WHERE kind = 'PUT_SHOT'), p AS (SELECT album_id, poll, lag(poll) OVER (PARTITION BY album_id ORDER BY poll) AS last FROM (SELECT DISTINCT album_id, poll FROM o))
+       SELECT w.album_id, w.poll, w.page_id FROM w JOIN p ON p.album_id = w.album_id AND p.poll = w.poll WHERE p.last IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w AS v WHERE v.album_id = w.album_id AND v.poll = p.last AND v.page_id = w.page_id)""",
 )
 def _(t: Tables):
     o = t.op().select("album_id", F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("poll"), F.col("page_no").alias("page_id"), "kind")
     return OL.newly_warned_by_poll(o.filter("kind = 'PUT_SHOT'").drop("kind").distinct(), o.select("album_id", "poll").distinct())
 
 
-_QUEUE = """WITH q AS (SELECT seq, album_id, kind, album_id || '/' || shot_no AS shot_id, value > 90 AS in_flight FROM op WHERE kind <> 'MOVE_SHOTS'), ml AS (SELECT album_id, max(seq) AS l FROM q WHERE kind = 'ALBUM_META' GROUP BY album_id),
-       q2 AS (SELECT q.* FROM q LEFT JOIN ml ON ml.album_id = q.album_id WHERE kind <> 'ALBUM_META' OR in_flight OR seq = l),
-       pu AS (SELECT shot_id, min(seq) AS p, bool_or(in_flight) AS sent FROM q2 WHERE kind = 'PUT_SHOT' GROUP BY shot_id), de AS (SELECT shot_id, min(seq) AS d FROM q2 WHERE kind = 'DELETE_SHOT' GROUP BY shot_id),
-       c AS (SELECT pu.shot_id, p, d FROM pu JOIN de ON de.shot_id = pu.shot_id WHERE p < d AND NOT sent)
-       SELECT seq, album_id, kind, shot_id FROM q2 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.shot_id = q2.shot_id AND (q2.seq = c.p AND q2.kind = 'PUT_SHOT' {extra}))"""
+_QUEUE = """WITH RECURSIVE q AS (SELECT seq, album_id, kind, album_id || '/' || shot_no AS shot_id, value > 90 AS in_flight FROM op WHERE kind <> 'MOVE_SHOTS'), ml AS (SELECT album_id, max(seq) AS l FROM q WHERE kind = 'ALBUM_META' GROUP BY album_id),
+       q2 AS (SELECT q.* FROM q LEFT JOIN ml ON ml.album_id = q.album_id WHERE kind <> 'ALBUM_META' OR in_flight OR seq = l)"""
+
+# One operation after another, for all shots at once: what waits is a list of (seq, in flight), oldest first.
+_ONE_BY_ONE = """, o AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY seq) AS i FROM q2 WHERE kind IN ('PUT_SHOT', 'DELETE_SHOT')),
+       st AS (SELECT DISTINCT shot_id, 0::BIGINT AS i, []::STRUCT(s BIGINT, f BOOLEAN)[] AS waiting, NULL::BIGINT AS put, NULL::BIGINT AS del FROM o
+              UNION ALL SELECT o.shot_id, o.i, CASE WHEN o.kind = 'PUT_SHOT' THEN list_append(waiting, {'s': o.seq, 'f': o.in_flight}) WHEN len(waiting) > 0 AND NOT waiting[1].f THEN waiting[2:] ELSE waiting END,
+                               CASE WHEN o.kind = 'DELETE_SHOT' AND len(waiting) > 0 AND NOT waiting[1].f THEN waiting[1].s END, CASE WHEN o.kind = 'DELETE_SHOT' AND len(waiting) > 0 AND NOT waiting[1].f THEN o.seq END
+                        FROM st JOIN o ON o.shot_id = st.shot_id AND o.i = st.i + 1)
+       SELECT seq, album_id, kind, shot_id FROM q2 WHERE seq NOT IN (SELECT put FROM st WHERE put IS NOT NULL) AND seq NOT IN (SELECT del FROM st WHERE del IS NOT NULL)"""
 
 
 def _queue(t: Tables):
     return t.op().filter("kind <> 'MOVE_SHOTS'").select("seq", "album_id", "kind", F.concat("album_id", F.lit("/"), "shot_no").alias("shot_id"), (F.col("value") > 90).alias("in_flight"))
 
 
-@query("phone_queue_compacted", "J13", "op", _QUEUE.format(extra=""))
+@query("phone_queue_compacted", "J13", "op", _QUEUE + """ SELECT seq, album_id, kind, shot_id FROM q2 WHERE kind <> 'PUT_SHOT' OR in_flight OR NOT EXISTS (SELECT 1 FROM q d WHERE d.kind = 'DELETE_SHOT' AND d.shot_id = q2.shot_id AND d.seq > q2.seq)""")
 def _(t: Tables):
-    return OL.compacted(_queue(t), keep_delete=True).drop("in_flight")
+    return OL.phone_compacted(_queue(t)).drop("in_flight")
 
 
-@query("scanner_queue_compacted", "J13", "op", _QUEUE.format(extra="OR q2.seq = c.d AND q2.kind = 'DELETE_SHOT'"))
+@query("scanner_queue_compacted", "J13", "op", _QUEUE + _ONE_BY_ONE)
 def _(t: Tables):
-    return OL.compacted(_queue(t), keep_delete=False).drop("in_flight")
+    return OL.scanner_compacted(_queue(t)).drop("in_flight")
 
 
 @query(

@@ -23,9 +23,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a session without one gets a folder of its own (tests)."""
+    """Use the cluster's shared checkpoint folder, ``spark.checkpoint.dir``.
+
+    Only a local session without one gets a folder of its own: on a cluster, executors don't share the driver's disk.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pagequarry-checkpoint-"))
+    if not shared:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="pagequarry-checkpoint-")
+    sc.setCheckpointDir(shared)

@@ -5,39 +5,53 @@ from __future__ import annotations
 import os
 from urllib.parse import urlparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of a partitioned sink.
+BUCKETS = 64
+
 
 def write_album_reports(entries: DataFrame, path: str) -> None:
-    """Page entries of album reports, partitioned by album, with the album's counters in a table beside them."""
+    """Page entries of album reports, partitioned by a bucket of the album, and a table of one row an album with its counters."""
     from ..operators.catalog import report_counters
 
-    entries.write.mode("overwrite").partitionBy("album_id").json(f"{path}/pages")
+    entries.withColumn("bucket", _bucket("album_id", BUCKETS)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(f"{path}/pages")
     report_counters(entries).write.mode("overwrite").json(f"{path}/albums")
 
 
 def write_layers(cells: DataFrame, path: str) -> None:
-    """Mask layers as cells, partitioned by page and layer."""
-    cells.write.mode("overwrite").partitionBy("page_id", "layer").parquet(path)
+    """Mask layers as cells, partitioned by layer and a bucket of the page; page and cell stay columns."""
+    cells.withColumn("bucket", _bucket("page_id", BUCKETS)).repartition("layer", "bucket").write.mode("overwrite").partitionBy("layer", "bucket").parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table is written at a path; errors other than a missing or empty folder are raised."""
     try:
-        spark.read.parquet(path).limit(1).collect()
+        spark.read.parquet(path)
         return True
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
 def add_training_pages(samples: DataFrame, path: str) -> None:
-    """Append pages that are not in the training set yet; pages already there are left as they are."""
+    """Append pages that are not in the training set yet; pages already there are left as they are.
+
+    The folder is partitioned by a bucket of the page, so it holds ``BUCKETS`` folders however many pages there are.
+    """
     spark = samples.sparkSession
-    new = samples.withColumn("page", F.col("page").cast("string"))
+    new = samples.withColumn("page", F.col("page").cast("string")).withColumn("bucket", _bucket("page", BUCKETS))
     if _exists(spark, path):
-        known = spark.read.option("basePath", path).parquet(path).select(F.col("page").cast("string").alias("page")).distinct()
-        new = new.join(known, "page", "left_anti")
-    new.write.mode("append").partitionBy("page").parquet(path)
+        known = spark.read.parquet(path).select("bucket", "page").distinct()
+        new = new.join(known, ["bucket", "page"], "left_anti")
+    new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def write_numbers(df: DataFrame, path: str, source_tree: str) -> None:

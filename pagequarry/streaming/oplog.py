@@ -90,9 +90,14 @@ def run_outcomes(run: DataFrame) -> DataFrame:
 
 
 def recovered(page: DataFrame) -> DataFrame:
-    """Interrupted runs did not happen: their pages wait again (ready if a later page came meanwhile)."""
+    """After a restart, interrupted runs did not happen: their pages are changed again, whatever came meanwhile."""
+    return page.withColumn("state", F.when(F.col("state") == "processing", "changed").otherwise(F.col("state")))
+
+
+def abandoned(page: DataFrame) -> DataFrame:
+    """A run that was stopped: its page (``abandoned``) waits again, ready if a later page came meanwhile."""
     back = F.when(F.col("ready_at").isNotNull(), "ready").otherwise("changed")
-    return page.withColumn("state", F.when(F.col("state") == "processing", back).otherwise(F.col("state")))
+    return page.withColumn("state", F.when(F.col("abandoned") & (F.col("state") == "processing"), back).otherwise(F.col("state")))
 
 
 def next_page_ready(page: DataFrame, newest: DataFrame) -> DataFrame:
@@ -130,31 +135,55 @@ def confirmed_changes(op: DataFrame) -> DataFrame:
 
 
 def newly_warned_by_poll(warned: DataFrame, polls: DataFrame) -> DataFrame:
-    """Pages that became warned at each poll: warned now, not at the poll before; nothing at the first poll.
+    """Pages that became warned at each poll: warned now, not at the album's poll before, whatever its number.
 
-    ``warned`` is (album_id, poll, page_id), ``polls`` (album_id, poll) every poll made.
+    Nothing is new at an album's first poll. ``warned`` is (album_id, poll, page_id), ``polls`` (album_id, poll)
+    every poll made, once each.
     """
-    before = warned.select("album_id", (F.col("poll") + 1).alias("poll"), "page_id")
-    looked = polls.select("album_id", (F.col("poll") + 1).alias("poll"))
-    return warned.join(before, ["album_id", "poll", "page_id"], "left_anti").join(looked, ["album_id", "poll"], "left_semi")
+    looked = OrderedGroups(polls, ["album_id"], ["poll"]).shifted(-1, _last=F.col("poll")).filter(F.col("_last").isNotNull())
+    now = warned.join(looked, ["album_id", "poll"])
+    before = warned.select("album_id", F.col("poll").alias("_last"), "page_id")
+    return now.join(before, ["album_id", "_last", "page_id"], "left_anti").select("album_id", "poll", "page_id")
+
 
+def _last_metadata(queue: DataFrame) -> DataFrame:
+    """The queue without metadata that newer metadata of the album replaced before it was sent."""
+    last = queue.filter("kind = 'ALBUM_META'").groupBy("album_id").agg(F.max("seq").alias("_last"))
+    kept = (F.col("kind") != "ALBUM_META") | F.col("in_flight") | (F.col("seq") == F.col("_last"))
+    return queue.join(last, "album_id", "left").filter(kept).drop("_last")
 
-def compacted(queue: DataFrame, keep_delete: bool) -> DataFrame:
-    """The queue after newer operations replaced unsent ones.
 
-    ``queue`` has (seq, album_id, kind, shot_id, in_flight). Newer metadata
-    replaces unsent metadata. A delete removes the shot's unsent put; with
-    ``keep_delete`` (the phone) it is still sent, without (the scanner) both go.
-    Operations in flight stay, and a delete of one in flight is kept.
+def phone_compacted(queue: DataFrame) -> DataFrame:
+    """The phone's queue (seq, album_id, kind, shot_id, in_flight) after newer operations replaced unsent ones.
+
+    A delete drops every put of its shot queued before it, and is itself sent; operations in flight stay.
     """
-    meta_last = queue.filter("kind = 'ALBUM_META'").groupBy("album_id").agg(F.max("seq").alias("_last"))
-    q = queue.join(meta_last, "album_id", "left").filter((F.col("kind") != "ALBUM_META") | F.col("in_flight") | (F.col("seq") == F.col("_last"))).drop("_last")
-    puts = q.filter("kind = 'PUT_SHOT'").groupBy("shot_id").agg(F.min("seq").alias("_put"), F.max("in_flight").alias("_sent"))
-    dels = q.filter("kind = 'DELETE_SHOT'").groupBy("shot_id").agg(F.min("seq").alias("_del"))
-    j = q.join(puts.join(dels, "shot_id", "full_outer"), "shot_id", "left")
-    cancels = F.col("_put").isNotNull() & F.col("_del").isNotNull() & (F.col("_put") < F.col("_del")) & ~F.coalesce("_sent", F.lit(False))
-    gone = F.coalesce(cancels, F.lit(False)) & (((F.col("kind") == "PUT_SHOT") & (F.col("seq") == F.col("_put"))) | (F.lit(not keep_delete) & (F.col("kind") == "DELETE_SHOT") & (F.col("seq") == F.col("_del"))))
-    return j.filter(~gone).select(*queue.columns)
+    last = queue.filter("kind = 'DELETE_SHOT'").groupBy("shot_id").agg(F.max("seq").alias("_deleted"))
+    gone = (F.col("kind") == "PUT_SHOT") & ~F.col("in_flight") & F.coalesce(F.col("_deleted") > F.col("seq"), F.lit(False))
+    return _last_metadata(queue).join(last, "shot_id", "left").filter(~gone).select(*queue.columns)
+
+
+def scanner_compacted(queue: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """The scanner's queue after newer operations replaced unsent ones: a delete and the oldest waiting put of its shot cancel out.
+
+    A delete that finds no put waiting is sent. So is one whose oldest waiting put is in flight, and then every
+    later one, as that put stays the oldest. Puts wait in order, so the n-th delete that finds one takes the n-th put.
+    """
+    kw = {} if hot_rows is None else {"hot_rows": hot_rows}
+    q = _last_metadata(queue)
+    put, delete = (F.col("kind") == "PUT_SHOT").cast("int"), (F.col("kind") == "DELETE_SHOT").cast("int")
+    shots = q.filter("kind in ('PUT_SHOT', 'DELETE_SHOT')")
+    counted = OrderedGroups(shots, ["shot_id"], ["seq"], census=queue, **kw).running(_balance=("sum", put - delete), _puts=("sum", put), _deletes=("sum", delete))
+    lowest = OrderedGroups(counted, ["shot_id"], ["seq"], census=queue, **kw).running(_low=("min", F.least("_balance", F.lit(0))))
+    steps = OrderedGroups(lowest, ["shot_id"], ["seq"], census=queue, **kw).shifted(-1, _before=F.col("_low"))
+    met = (F.col("kind") == "DELETE_SHOT") & (F.col("_low") == F.coalesce("_before", F.lit(0)))
+    steps = steps.withColumn("_met", F.when(met, F.col("_deletes") + F.col("_low")))
+    held = F.min(F.when(F.col("in_flight") & (F.col("kind") == "PUT_SHOT"), F.col("_puts")))
+    ends = steps.groupBy("shot_id").agg(F.max("_met").alias("_all"), held.alias("_held"))
+    taken = F.least(F.coalesce("_all", F.lit(0)), F.coalesce(F.col("_held") - 1, F.lit((1 << 63) - 1)))
+    j = steps.join(ends, "shot_id").withColumn("_taken", taken)
+    gone = F.when(F.col("kind") == "PUT_SHOT", F.col("_puts") <= F.col("_taken")).otherwise(F.coalesce(F.col("_met") <= F.col("_taken"), F.lit(False)))
+    return q.filter("kind not in ('PUT_SHOT', 'DELETE_SHOT')").unionByName(j.filter(~gone).select(*queue.columns))
 
 
 def drained(op: DataFrame, hot_rows: int | None = None) -> DataFrame:

@@ -216,7 +216,7 @@ class AlbumState(StatefulProcessor):
     def _recover(self, op) -> None:
         for pid, p in self.pages.items():
             if p["state"] == "processing":
-                p["state"], p["run_gen"] = ("ready" if p["ready_us"] else "changed"), None
+                p["state"], p["run_gen"] = "changed", None
                 self._emit(pid, "recovered")
 
     def _tick(self, op) -> None:

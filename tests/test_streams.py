@@ -1,6 +1,7 @@
 """The album state machine and the other stateful streams, run over files that are there now."""
 
 import json
+import random
 import os
 
 from pyspark.sql import functions as F
@@ -76,8 +77,8 @@ def test_throttle_and_late_feedback(spark, tmp_path):
 
 def test_queue_compaction_and_drain(spark):
     q = spark.createDataFrame([(1, "a", "ALBUM_META", None, False), (2, "a", "PUT_SHOT", "s1", False), (3, "a", "PUT_SHOT", "s2", True), (4, "a", "ALBUM_META", None, False), (5, "a", "DELETE_SHOT", "s1", False), (6, "a", "DELETE_SHOT", "s2", False)], "seq long, album_id string, kind string, shot_id string, in_flight boolean")
-    assert sorted(r.seq for r in OL.compacted(q, keep_delete=False).collect()) == [3, 4, 6]
-    assert sorted(r.seq for r in OL.compacted(q, keep_delete=True).collect()) == [3, 4, 5, 6]
+    assert sorted(r.seq for r in OL.scanner_compacted(q).collect()) == [3, 4, 6]
+    assert sorted(r.seq for r in OL.phone_compacted(q).collect()) == [3, 4, 5, 6]
     o = spark.createDataFrame([(1, "a", "done"), (2, "a", "drop"), (3, "a", "retry"), (4, "a", "done")], "seq long, album_id string, outcome string")
     want = {1: "sent", 2: "dropped", 3: "tried", 4: "waiting"}
     assert {r.seq: r.step for r in OL.drained(o).collect()} == want
@@ -88,3 +89,29 @@ def test_idle_gap_of_exactly_the_limit_closes(spark):
     df = spark.createDataFrame([("p", i, t) for i, t in enumerate((0, 9, 19, 20))], "page string, seq long, t long").withColumn("ts", F.timestamp_seconds("t"))
     rows = OL.idle_islands(df, ["page"], 10, hot_rows=2).orderBy("start_us").collect()
     assert [(r.start_us // S, r.end_us // S, r.changes, r.ready_us // S) for r in rows] == [(0, 9, 2, 19), (19, 20, 2, 30)]
+
+
+def test_scanner_queue_one_operation_after_another(spark):
+    r = random.Random(6)
+    rows = [(i, "a", r.choice(["PUT_SHOT", "DELETE_SHOT"]), f"s{r.randrange(12)}", r.random() < 0.04) for i in range(300)]
+    rows += [(1000 + i, "b", ("PUT_SHOT", "DELETE_SHOT")[i % 2], "cycle", False) for i in range(8)]
+    waiting, kept = {}, set()
+    for seq, _, kind, shot, flying in rows:
+        puts = waiting.setdefault(shot, [])
+        if kind == "PUT_SHOT":
+            puts.append((seq, flying))
+            kept.add(seq)
+        elif puts and not puts[0][1]:
+            kept.discard(puts.pop(0)[0])
+        else:
+            kept.add(seq)
+    q = spark.createDataFrame(rows, "seq long, album_id string, kind string, shot_id string, in_flight boolean")
+    for hot in (None, 5):
+        assert {x.seq for x in OL.scanner_compacted(q, hot_rows=hot).collect()} == kept
+    assert not any(seq >= 1000 for seq in kept)
+
+
+def test_newly_warned_looks_at_the_last_poll_made(spark):
+    polls = spark.createDataFrame([("a", 1), ("a", 5), ("a", 6), ("b", 2)], "album_id string, poll long")
+    warned = spark.createDataFrame([("a", 1, "p"), ("a", 5, "p"), ("a", 5, "q"), ("a", 6, "p"), ("b", 2, "p")], "album_id string, poll long, page_id string")
+    assert [tuple(r) for r in OL.newly_warned_by_poll(warned, polls).collect()] == [("a", 5, "q")]
