@@ -196,3 +196,14 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {x.node: x.root for x in linking.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert got == {x: y for x, y in root.items() if x in got} and all(root[x] == x for x in root if x not in got)
+
+
+def test_sketches_never_overstate_differences():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        pool = r.integers(0, 1 << 62, 600).astype(np.uint64)
+        a = np.unique(pool[: r.integers(1, 500)])
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.8], pool[500 : 500 + r.integers(0, 100)]]))
+        assert ngram_join.least_difference(ngram_join.sketch(a), ngram_join.sketch(b)) <= len(np.setxor1d(a, b))
