@@ -28,12 +28,12 @@ def _(t: Tables):
 @query(
     "album_pages_numbered", "D2 E1", "page shot",
     """SELECT p.album_id, row_number() OVER (PARTITION BY p.album_id ORDER BY p.position) AS number, p.page_id,
-       count(s.shot_id) AS shots FROM page p LEFT JOIN shot s ON s.page_id = p.page_id WHERE p.priority <> '2-HIGH'
+       count(s.shot_id) AS shots FROM page p LEFT JOIN shot s ON s.page_id = p.page_id
        GROUP BY p.album_id, p.position, p.page_id""",
 )
 def _(t: Tables):
-    # Positions of the remaining pages have gaps, so the numbers differ from them.
-    return C.album_pages(t.page().filter("priority <> '2-HIGH'"), t.shot())
+    # Positions with gaps, so that the numbers differ from them.
+    return C.album_pages(t.page().withColumn("position", F.col("position") * 3), t.shot())
 
 
 @query(
@@ -365,7 +365,7 @@ def _(t: Tables):
     "photo_warning_lines", "I18 G3", "shot feedback",
     """WITH w AS (SELECT page_id, 0 AS ord, code, 'Look again at page ' || page_id || '.' AS message FROM feedback),
        r AS (SELECT l_orderkey AS page_id, 0 AS ord, l_linenumber AS region, CASE l_partkey % 4 WHEN 0 THEN 'top' WHEN 1 THEN 'left' WHEN 2 THEN 'centre' END AS location,
-             concat(l_orderkey, '-', l_linenumber) AS shot_id, l_quantity < 10 AS boxed FROM lineitem WHERE l_quantity < 25),
+             concat(l_orderkey, '-', l_linenumber) AS shot_id, l_quantity < 10 AS boxed FROM lineitem),
        loc AS (SELECT page_id, location, min(region) AS first_at FROM r WHERE location IS NOT NULL GROUP BY page_id, location),
        pl AS (SELECT page_id, string_agg(location, ', ' ORDER BY first_at, location) AS places FROM loc GROUP BY page_id)
        SELECT s.page_id, s.shot_id, w.code, CASE WHEN w.code IN ('glare', 'incomplete_coverage', 'single_coverage') AND pl.places IS NOT NULL
@@ -375,7 +375,7 @@ def _(t: Tables):
 def _(t: Tables):
     warning = t.feedback().select("page_id", F.lit(0).alias("ord"), "code", F.concat(F.lit("Look again at page "), "page_id", F.lit(".")).alias("message"))
     m = F.col("l_partkey") % 4
-    region = t.raw("lineitem").filter("l_quantity < 25").select(
+    region = t.raw("lineitem").select(
         F.col("l_orderkey").alias("page_id"), F.lit(0).alias("ord"), F.col("l_linenumber").alias("region"),
         F.when(m == 0, "top").when(m == 1, "left").when(m == 2, "centre").alias("location"),
         F.when(F.col("l_quantity") < 10, F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("shot_id"),

@@ -30,12 +30,12 @@ def _(t: Tables):
     return MA.ratio_matches(_descriptors(t), ratio=0.95).withColumn("distance", F.round("distance", 6))
 
 
-_PAIRS = "pr AS (SELECT l_suppkey AS page_id, l_linenumber AS a, CAST(l_partkey % 7 + 1 AS INTEGER) AS b, count(*) AS inliers FROM lineitem WHERE l_linenumber < l_partkey % 7 + 1 AND l_quantity < 4 GROUP BY ALL)"
+_PAIRS = "pr AS (SELECT l_suppkey AS page_id, l_linenumber AS a, CAST(l_partkey % 7 + 1 AS INTEGER) AS b, count(*) AS inliers FROM lineitem WHERE l_linenumber < l_partkey % 7 + 1 GROUP BY ALL)"
 
 
 def _pairs(t: Tables):
     b = (F.col("l_partkey") % 7 + 1).cast("int")
-    li = t.raw("lineitem").filter((F.col("l_linenumber") < b) & (F.col("l_quantity") < 4))
+    li = t.raw("lineitem").filter(F.col("l_linenumber") < b)  # a pair names its lower photo first
     return li.groupBy(F.col("l_suppkey").alias("page_id"), F.col("l_linenumber").alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("inliers"))
 
 
@@ -260,9 +260,13 @@ def _(t: Tables):
 @query("glare_replays", "I13 D27 K2", "")
 def _(t: Tables):
     cells = t.cell().withColumn("lum", F.col("g") / 255)
-    pairs = RP.stitch_pairs(RP.pair_shares(cells), limit=2, min_union=0.3, min_own=0.1)
+    pairs = RP.stitch_pairs(RP.pair_shares(cells), limit=6, min_union=0.3, min_own=0.1)
     rules = F.explode(F.array(F.lit("best"), F.lit("worst")))
-    starts = pairs.select("page_id", F.concat_ws("-", "a", "b").alias("start"), F.explode(F.array("a", "b")).alias("shot")).withColumn("rule", rules).withColumn("rid", F.concat_ws("/", "start", "rule")).drop("start")
+    stitched = pairs.select("page_id", F.concat_ws("-", "a", "b").alias("start"), F.explode(F.array("a", "b")).alias("shot"))
+    covered = cells.groupBy("page_id", "shot").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "shot"))), 1, 4)  # of the shots of one page, the four that cover most
+    whole = covered.groupBy("page_id").agg(largest.alias("s")).select("page_id", F.explode("s.shot").alias("shot")).select("page_id", F.col("shot").cast("string").alias("start"), "shot")
+    starts = stitched.unionByName(whole).withColumn("rule", rules).withColumn("rid", F.concat_ws("/", "start", "rule")).drop("start")
     r = RP.replays(starts, cells, W, H, RP.darkest_composer(cells, 0.08), min_area=0.004)
     return r.withColumn("shots", F.array_join(F.transform("shots", lambda s: s.cast("string")), ","))
 
@@ -310,7 +314,7 @@ def _(t: Tables):
 @query(
     "warned_measures", "D27", "cell",
     """WITH gl AS (SELECT DISTINCT page_id, y, x FROM cell WHERE b >= 200), si AS (SELECT page_id, y, x FROM cell GROUP BY ALL HAVING count(*) = 1), wa AS (SELECT DISTINCT page_id, y, x FROM cell WHERE score >= 50),
-       rg AS (SELECT DISTINCT page_id, y, x, y // 5 AS region FROM cell WHERE y // 5 < 3), j AS (SELECT gl.*, si.y IS NOT NULL AS s, wa.y IS NOT NULL AS w, rg.y IS NOT NULL AS f FROM gl LEFT JOIN si USING (page_id, y, x) LEFT JOIN wa USING (page_id, y, x) LEFT JOIN rg USING (page_id, y, x)),
+       rg AS (SELECT DISTINCT page_id, y, x, y // 5 AS region FROM cell WHERE score >= 30), j AS (SELECT gl.*, si.y IS NOT NULL AS s, wa.y IS NOT NULL AS w, rg.y IS NOT NULL AS f FROM gl LEFT JOIN si USING (page_id, y, x) LEFT JOIN wa USING (page_id, y, x) LEFT JOIN rg USING (page_id, y, x)),
        pr AS (SELECT rg.page_id, region, count(l.y) AS g, count(*) AS n FROM rg LEFT JOIN (SELECT page_id, y, x FROM gl JOIN si USING (page_id, y, x)) l ON l.page_id = rg.page_id AND l.y = rg.y AND l.x = rg.x GROUP BY ALL),
        rr AS (SELECT page_id, count(*) AS regions_flagged, count(*) FILTER (g < 0.001 * n) AS regions_flagged_clean FROM pr GROUP BY page_id)
        SELECT page_id, count(*) FILTER (w) AS glare_in_warned_px, count(*) FILTER (s AND NOT w) AS single_glare_unwarned_px, count(*) FILTER (NOT s AND NOT w) AS overlap_glare_unwarned_px, count(*) FILTER (s AND f) AS single_glare_flagged_px,
@@ -320,7 +324,7 @@ def _(t: Tables):
     c = t.cell()
     at = ["page_id", "y", "x"]
     single = c.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(*at)
-    regions = c.withColumn("region", F.floor(F.col("y") / 5)).filter("region < 3").select(*at, "region").distinct().withColumn("glare_seen", F.lit(0.5))
+    regions = c.withColumn("region", F.floor(F.col("y") / 5)).filter("score >= 30").select(*at, "region").distinct().withColumn("glare_seen", F.lit(0.5))
     return RP.warned_measures(c.filter("b >= 200").select(*at).distinct(), single, c.filter("score >= 50").select(*at), regions, ["page_id"])
 
 

@@ -153,12 +153,12 @@ def _(t: Tables):
 
 @query(
     "box_fill", "H14 G2", "",
-    f"""WITH b AS (SELECT l_suppkey AS page_id, l_discount * 5 AS x0, l_tax * 5 AS y0, l_discount * 5 + l_quantity / 200 AS x1, l_tax * 5 + l_quantity / 250 AS y1 FROM lineitem WHERE l_quantity < 10)
+    f"""WITH b AS (SELECT l_suppkey AS page_id, l_discount * 5 AS x0, l_tax * 5 AS y0, l_discount * 5 + l_quantity / 200 AS x1, l_tax * 5 + l_quantity / 250 AS y1 FROM lineitem)
         SELECT DISTINCT page_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM b,
           LATERAL (SELECT unnest(range(CAST(greatest(floor(y0 * {H}), 0) AS BIGINT), CAST(least(ceil(y1 * {H}), {H}) AS BIGINT))) AS y), LATERAL (SELECT unnest(range(CAST(greatest(floor(x0 * {W}), 0) AS BIGINT), CAST(least(ceil(x1 * {W}), {W}) AS BIGINT))) AS x)""",
 )
 def _(t: Tables):
-    b = t.raw("lineitem").filter("l_quantity < 10").select(
+    b = t.raw("lineitem").select(
         F.col("l_suppkey").alias("page_id"), (F.col("l_discount") * 5).alias("x0"), (F.col("l_tax") * 5).alias("y0"),
         (F.col("l_discount") * 5 + F.col("l_quantity") / 200).alias("x1"), (F.col("l_tax") * 5 + F.col("l_quantity") / 250).alias("y1"),
     )
