@@ -169,6 +169,22 @@ def session_pages(server_pages: DataFrame, local_pages: DataFrame) -> DataFrame:
     return numbered(rows, ["album_id"], ["_side", "ord", "page_id"], "number").drop("_side", "ord")
 
 
+def taken_time(exif, arrival):
+    """When a photo was taken: its EXIF time, else its arrival."""
+    return F.coalesce(exif, arrival)
+
+
+def session_shots(server_shots: DataFrame, local_shots: DataFrame, unsent: DataFrame) -> DataFrame:
+    """Shots of an opened album: the server's, and behind each page's those waiting here that the server doesn't know.
+
+    ``server_shots`` and ``local_shots`` are (page_id, shot_id, ord); ``unsent`` (shot_id) are the ids that still wait.
+    """
+    waiting = local_shots.join(unsent.select("shot_id").distinct(), "shot_id", "left_semi")
+    new = waiting.join(server_shots.select("page_id", "shot_id"), ["page_id", "shot_id"], "left_anti")
+    rows = server_shots.select("page_id", "shot_id", "ord", F.lit(0).alias("_side")).unionByName(new.select("page_id", "shot_id", "ord", F.lit(1).alias("_side")))
+    return numbered(rows, ["page_id"], ["_side", "ord", "shot_id"], "number").withColumn("unsent", F.col("_side") == 1).drop("_side", "ord")
+
+
 def session_meta(server: DataFrame, local: DataFrame) -> DataFrame:
     """Album metadata with the unsent local values in place of the server's."""
     fields = [c for c in server.columns if c != "album_id"]

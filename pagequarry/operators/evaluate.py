@@ -33,6 +33,14 @@ def pooled_rates(rows: DataFrame, key: str) -> DataFrame:
     return rows.rollup(key).agg(_share(F.count_if(p & g), ng).alias("recall"), _share(F.count_if(p & c), nc).alias("false_alarms"), _share(ng, ng + nc).alias("glare_share"))
 
 
+def split_samples(samples: DataFrame, split: DataFrame, key: str = "page", default: str = "train") -> DataFrame:
+    """``samples`` with the ``split`` of their page; a page that ``split`` (key, split) doesn't name goes to ``default``.
+
+    Whole pages are split, never single shots, so no page is on both sides.
+    """
+    return samples.join(split.select(key, "split"), key, "left").withColumn("split", F.coalesce("split", F.lit(default)))
+
+
 def residual_detection(cells: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """Detected share of truly glared cells and false share of clean ones; ``truth`` is the share of glare in a cell."""
     det = F.col("residual") >= threshold

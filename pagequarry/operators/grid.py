@@ -175,6 +175,15 @@ def shrunk(cells: DataFrame, keys: list[str], factor: int, gw: int, gh: int, **c
     return sums.select(*keys, "y", "x", *[(F.col(n) / (high * wide)).alias(n) for n in cols])
 
 
+def shrunk_labels(cells: DataFrame, keys: list[str], factor: int, gw: int, gh: int, glare: float = 0.5, clean: float = 0.75) -> DataFrame:
+    """Labels on a grid ``factor`` times coarser: 1 where at least ``glare`` of the area is glare, else 0 where at least ``clean`` is clean, else null.
+
+    ``cells`` has ``label`` (1, 0 or null for unknown); what is not in the table is unknown.
+    """
+    area = shrunk(cells, keys, factor, gw, gh, _glare=(F.coalesce("label", F.lit(-1)) == 1).cast("int"), _clean=(F.coalesce("label", F.lit(-1)) == 0).cast("int"))
+    return area.withColumn("label", F.when(F.col("_glare") >= glare, 1).when(F.col("_clean") >= clean, 0)).drop("_glare", "_clean")
+
+
 def feather(mask: DataFrame, keys: list[str], reach: int, gw, gh) -> DataFrame:
     """Distance of each set cell to the nearest cell that is not set, at most ``reach``.
 

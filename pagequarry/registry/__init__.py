@@ -44,4 +44,4 @@ def load() -> dict[str, Query]:
     return QUERIES
 
 
-MODULES = ["catalog", "grid", "light", "scalars", "jobs", "evaluation", "changes"]
+MODULES = ["catalog", "grid", "light", "scalars", "jobs", "evaluation", "changes", "upkeep"]

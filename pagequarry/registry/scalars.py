@@ -131,15 +131,15 @@ def _(t: Tables):
 
 
 @query(
-    "page_sources", "B21 B22 B23 B20", "",
-    """WITH p AS (SELECT l_orderkey AS page_id, CASE WHEN l_quantity > 8 THEN 'page-scanner 1.2' ELSE 'camera' END AS software, CASE WHEN l_tax > 0.01 THEN CASE WHEN l_linenumber < 6 THEN 300.0::DOUBLE ELSE 600.0::DOUBLE END END AS res FROM lineitem),
+    "page_sources", "B21 B22 B23", "",
+    """WITH p AS (SELECT l_orderkey AS page_id, CASE WHEN l_quantity > 8 THEN 'page-scanner 1.2' ELSE 'camera' END AS software, CASE WHEN l_tax > 0.01 THEN round_even(CASE WHEN l_linenumber < 6 THEN 300.0::DOUBLE ELSE 600.0::DOUBLE END * CASE WHEN l_orderkey % 3 = 0 THEN 2.54::DOUBLE ELSE 1.0::DOUBLE END, 2) END AS res FROM lineitem),
        g AS (SELECT page_id, bool_and(software LIKE 'page-scanner %') AS scan, count(DISTINCT res) AS n, bool_or(res IS NULL) AS unknown, min(res) AS dpi FROM p GROUP BY page_id)
        SELECT page_id, CASE WHEN scan THEN 'scan' ELSE 'photo' END AS source, CASE WHEN scan AND n = 1 AND NOT unknown THEN dpi END AS dpi, CASE WHEN scan THEN 'off' ELSE 'auto' END AS curvature FROM g""",
 )
 def _(t: Tables):
     from ..plans.album_run import page_sources
 
-    photo = t.raw("lineitem").select(F.col("l_orderkey").alias("page_id"), F.when(F.col("l_quantity") > 8, "page-scanner 1.2").otherwise("camera").alias("software"), F.when(F.col("l_tax") > 0.01, F.when(F.col("l_linenumber") < 6, 300.0).otherwise(600.0)).alias("resolution"), F.lit(None).cast("int").alias("unit"))
+    photo = t.raw("lineitem").select(F.col("l_orderkey").alias("page_id"), F.when(F.col("l_quantity") > 8, "page-scanner 1.2").otherwise("camera").alias("software"), F.when(F.col("l_tax") > 0.01, F.when(F.col("l_linenumber") < 6, 300.0).otherwise(600.0)).alias("resolution"), F.when(F.col("l_orderkey") % 3 == 0, 3).when(F.col("l_orderkey") % 3 == 1, 2).alias("unit"))
     s = page_sources(photo, "page-scanner ")
     opt = PG.source_options(F.col("source"), F.lit(True), F.lit("auto"), F.lit(True))
     return s.select("page_id", "source", "dpi", opt["curvature"].alias("curvature"))
