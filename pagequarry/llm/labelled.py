@@ -57,7 +57,7 @@ class Logistic:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> Logistic:
     """Fitted by Newton steps; without rows, or with one class only, a constant of 0.5 or that class's rate."""
-    x, y = np.asarray(x, float).reshape(len(y), -1), np.asarray(y, float)
+    x, y = np.asarray(x, float), np.asarray(y, float)
     k = x.shape[1]
     if not len(y) or y.min() == y.max():
         p = 0.5 if not len(y) else 0.99 if y[0] else 0.01
