@@ -161,7 +161,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
 
     open_rows = state.where("size(branches) > 0").select("_order", "_key", "z", "branches").dropDuplicates(["_key"])
     edges = written(open_rows.mapInArrow(_branch_windows(window, anchor), "key long, doc long, at long, h1 long, h2 long"))
-    least = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last")).where("first <> last").drop("last")
+    least = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = edges.join(least, ["h1", "h2"]).where(F.struct("doc", "at") > F.col("first")).select("key", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
     spans = found.where("at is null").select("key", "from", "to").unionAll(again)
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans")).withColumnRenamed("key", "_spanned")
