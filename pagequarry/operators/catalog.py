@@ -227,6 +227,15 @@ def report_counters(page: DataFrame) -> DataFrame:
     )
 
 
+def album_report(page: DataFrame) -> DataFrame:
+    """One report an album: its counters and its page entries in order of ``position`` (at most an album's pages).
+
+    ``page`` has (album_id, position, page_id, status, has_image).
+    """
+    entries = page.groupBy("album_id").agg(F.array_sort(F.collect_list(F.struct("position", "page_id", "status", "has_image"))).alias("pages"))
+    return report_counters(page).join(entries, "album_id")
+
+
 def strided(rows: DataFrame, keys: list[str], order: list, stride: int | Column) -> DataFrame:
     """Every ``stride``-th row of each group, the first included."""
     n = numbered(rows, keys, order, "_n")

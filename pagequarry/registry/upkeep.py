@@ -102,3 +102,14 @@ def _(t: Tables):
     unwarned = rows.groupBy("detector").agg((F.sum("o") / F.sum("g")).alias("unwarned"))
     d = removed.join(unwarned, "detector")
     return d.select("detector", F.round("removed", 6).alias("removed"), F.round("unwarned", 6).alias("unwarned"), RP.gate(F.col("removed"), F.col("unwarned")).alias("pass"))
+
+
+@query(
+    "album_reports", "A8", "page",
+    """SELECT album_id, count(*) AS pages_found, count(*) FILTER (state <> 'failed') AS pages_ok, count(*) FILTER (state = 'failed') AS pages_failed, count(*) FILTER (state = 'done') AS pdf_pages,
+         string_agg(page_id || ':' || CASE WHEN state = 'failed' THEN 'failed' ELSE 'ok' END, ',' ORDER BY position, page_id) AS pages FROM page GROUP BY album_id""",
+)
+def _(t: Tables):
+    p = t.page().select("album_id", "position", "page_id", F.when(F.col("state") == "failed", "failed").otherwise("ok").alias("status"), (F.col("state") == "done").alias("has_image"))
+    entry = lambda e: F.concat(e["page_id"].cast("string"), F.lit(":"), e["status"])
+    return C.album_report(p).withColumn("pages", F.array_join(F.transform("pages", entry), ","))

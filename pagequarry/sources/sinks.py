@@ -14,11 +14,10 @@ BUCKETS = 64
 
 
 def write_album_reports(entries: DataFrame, path: str) -> None:
-    """Page entries of album reports, partitioned by a bucket of the album, and a table of one row an album with its counters."""
-    from ..operators.catalog import report_counters
+    """Album reports, one JSON row an album with its counters and page entries, partitioned by a bucket of the album."""
+    from ..operators.catalog import album_report
 
-    entries.withColumn("bucket", _bucket("album_id", BUCKETS)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(f"{path}/pages")
-    report_counters(entries).write.mode("overwrite").json(f"{path}/albums")
+    album_report(entries).withColumn("bucket", _bucket("album_id", BUCKETS)).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def write_layers(cells: DataFrame, path: str) -> None:

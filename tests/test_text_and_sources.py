@@ -146,3 +146,38 @@ def test_single_coverage_words(spark):
     assert m["a"] == "Only one photo covers the right edge (25.0% of the page). Take another shot of that part from a different angle so that glare there can be removed."
     assert m["b"].startswith("Only one photo covers the top-left corner, and glare was seen there (10.0% of the page). 1 other area is in one photo only too")
     assert m["c"].startswith("Only one photo covers the bottom (25.0%")
+
+
+def test_bucketed_sinks_keep_their_keys(spark, tmp_path):
+    cells = spark.createDataFrame([(p, l, y, 0) for p in range(40) for l in ("glare", "shadow") for y in range(3)], "page_id long, layer string, y int, x int")
+    sinks.write_layers(cells, str(tmp_path / "layers"))
+    back = spark.read.parquet(str(tmp_path / "layers"))
+    assert sorted(map(tuple, back.select(*cells.columns).collect())) == sorted(map(tuple, cells.collect()))
+    assert len(list((tmp_path / "layers" / "layer=glare").glob("bucket=*"))) <= sinks.BUCKETS
+
+
+def test_a_broken_training_folder_is_not_taken_for_a_missing_one(spark, tmp_path):
+    (tmp_path / "train").mkdir()
+    (tmp_path / "train" / "part-0.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception):  # noqa: B017 - whatever the reader raises
+        sinks.add_training_pages(spark.createDataFrame([("p", 1)], "page string, v int"), str(tmp_path / "train"))
+    assert not sinks._exists(spark, str(tmp_path / "nothing"))
+
+
+def test_no_local_checkpoints_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pagequarry.session import ensure_checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://somewhere:7077")
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
+def test_album_reports_are_one_row_an_album(spark, tmp_path):
+    e = spark.createDataFrame([("a", 2, "p2", "ok", True), ("a", 1, "p1", "failed", False), ("b", 1, "q", "ok", False)], "album_id string, position int, page_id string, status string, has_image boolean")
+    sinks.write_album_reports(e, str(tmp_path / "reports"))
+    rows = {r.album_id: r for r in spark.read.json(str(tmp_path / "reports")).collect()}
+    assert sorted(rows) == ["a", "b"] and [x.page_id for x in rows["a"].pages] == ["p1", "p2"]
+    assert (rows["a"].pages_found, rows["a"].pages_ok, rows["a"].pages_failed, rows["a"].pdf_pages) == (2, 1, 1, 1)
