@@ -22,7 +22,7 @@ TRANSITIONS = StructType([
 ])
 _PAGE = StructType([
     StructField("position", IntegerType()), StructField("state", StringType()), StructField("gen", LongType()), StructField("run_gen", LongType()),
-    StructField("changed_us", LongType()), StructField("ready_us", LongType()), StructField("shots", IntegerType()),
+    StructField("changed_us", LongType()), StructField("ready_us", LongType()), StructField("shots", IntegerType()), StructField("first_us", LongType()),
 ])
 _FIELDS = [f.name for f in _PAGE.fields]
 _ALBUM = StructType([StructField("page_size", StringType()), StructField("pdf_stale", BooleanType())])
@@ -99,9 +99,15 @@ class AlbumState(StatefulProcessor):
             self._emit(pid, "refused_pages")
             return False
         last = max((p["position"] for p in self.pages.values()), default=0)
-        self.pages[pid] = dict(position=last + 1, state="changed", gen=0, run_gen=None, changed_us=None, ready_us=None, shots=0)
+        self.pages[pid] = dict(position=last + 1, state="changed", gen=0, run_gen=None, changed_us=None, ready_us=None, shots=0, first_us=None)
         return True
 
+    def _arrive(self, pid: str) -> None:
+        p = self.pages[pid]
+        p["shots"] += 1
+        p["first_us"] = self.us if p["first_us"] is None else p["first_us"]
+        self._touch(pid)
+
     def _leave(self, pid: str) -> None:
         self.pages[pid]["shots"] -= 1
         self._touch(pid)
@@ -122,18 +128,17 @@ class AlbumState(StatefulProcessor):
             self._emit(op.page_id, "refused_shots")
             return
         self.shot_state.updateValue((op.shot_id,), (op.page_id, op.sha))
-        self.pages[op.page_id]["shots"] += 1
-        self._touch(op.page_id)
+        self._arrive(op.page_id)
         self._emit(op.page_id, "stored")
 
     def _delete_shot(self, op) -> None:
-        if not self.shot_state.containsKey((op.shot_id,)):
+        """Only from the page named: a shot that has moved on meanwhile stays."""
+        if not self.shot_state.containsKey((op.shot_id,)) or self.shot_state.getValue((op.shot_id,))[0] != op.page_id:
             return
-        pid = self.shot_state.getValue((op.shot_id,))[0]
         self.shot_state.removeKey((op.shot_id,))
-        if pid in self.pages:
-            self._leave(pid)
-            self._emit(pid, "deleted")
+        if op.page_id in self.pages:
+            self._leave(op.page_id)
+            self._emit(op.page_id, "deleted")
 
     def _delete_page(self, op) -> None:
         if self.pages.pop(op.page_id, None) is None:
@@ -151,28 +156,33 @@ class AlbumState(StatefulProcessor):
         self._emit(None, "album_deleted")
 
     def _move_shots(self, op) -> None:
-        if not self.shot_state.containsKey((op.shot_id,)):
+        """``shot_id`` lists the shots, comma-separated. All that are elsewhere in the album move, or none if the page can't hold them."""
+        if self.size is None and not self.pages or not self._ensure_page(op.page_id):
             return
-        source, sha = self.shot_state.getValue((op.shot_id,))
-        if source == op.page_id or not self._ensure_page(op.page_id):
-            return
-        if self.pages[op.page_id]["shots"] >= MAX_SHOTS_PER_PAGE:
+        there = [s for s in dict.fromkeys((op.shot_id or "").split(",")) if s and self.shot_state.containsKey((s,))]
+        moves = {s: v for s, v in ((s, self.shot_state.getValue((s,))) for s in there) if v[0] != op.page_id}
+        if self.pages[op.page_id]["shots"] + len(moves) > MAX_SHOTS_PER_PAGE:
             self._emit(op.page_id, "refused_shots")
             return
-        self.shot_state.updateValue((op.shot_id,), (op.page_id, sha))
-        self.pages[op.page_id]["shots"] += 1
-        self._touch(op.page_id)
-        if source in self.pages:
-            self._leave(source)
+        for shot, (source, sha) in moves.items():
+            self.shot_state.updateValue((shot,), (op.page_id, sha))
+            self._arrive(op.page_id)
+            if source in self.pages:
+                self._leave(source)
+        for source in sorted({v[0] for v in moves.values()} & self.pages.keys()):
             if self.pages[source]["shots"] > 0:
                 self._ready(source)
-        self._emit(op.page_id, "moved")
+        if moves:
+            self._emit(op.page_id, "moved")
 
     def _album_meta(self, op) -> None:
         listed = [p for p in (op.pages or "").split(",") if p]
+        if len(set(listed)) < len(listed):
+            self._emit(None, "refused_repeat")
+            return
         before = sorted(self.pages, key=lambda p: self.pages[p]["position"])
-        kept = [p for p in before if p not in set(listed) and self.pages[p]["shots"] > 0]
-        order = listed + kept if listed else before
+        left_out = [p for p in before if p not in set(listed) and self.pages[p]["shots"] > 0]
+        order = listed + sorted(left_out, key=lambda p: (self.pages[p]["first_us"] or 0, self.pages[p]["position"]))
         if len(order) > MAX_PAGES_PER_ALBUM:
             self._emit(None, "refused_pages")
             return
@@ -180,10 +190,11 @@ class AlbumState(StatefulProcessor):
         for p in set(before) - set(order):
             del self.pages[p]
         for at, p in enumerate(order, 1):
-            self.pages.setdefault(p, dict(position=at, state="changed", gen=0, run_gen=None, changed_us=None, ready_us=None, shots=0))["position"] = at
+            self.pages.setdefault(p, dict(position=at, state="changed", gen=0, run_gen=None, changed_us=None, ready_us=None, shots=0, first_us=None))["position"] = at
+        existed, resized = self.size is not None, self.size is not None and isinstance(op.sha, str) and op.sha != self.size
         if isinstance(op.sha, str) and op.sha != self.size:  # metadata carries the page size in place of a hash
             self.size = op.sha
-            for p in self.pages:
+            for p in self.pages if resized else ():
                 if self.pages[p]["shots"] > 0:
                     self._touch(p)
         if new:
@@ -191,7 +202,7 @@ class AlbumState(StatefulProcessor):
             for p, v in self.pages.items():
                 if v["position"] < last and v["shots"] > 0 and (v["state"] == "changed" or (v["state"] == "processing" and v["gen"] != v["run_gen"])):
                     self._ready(p)
-        self.stale = self.stale or before != order
+        self.stale = self.stale or (existed and before != order)
         self._emit(None, "meta")
 
     def _claim(self, op) -> None:
@@ -201,12 +212,13 @@ class AlbumState(StatefulProcessor):
             self._emit(op.page_id, "processing")
 
     def _run_end(self, op) -> None:
-        """``sha`` is the run's output, empty for none; a run without output failed."""
+        """``sha`` is the run's output, empty for none; a run without output failed. ``gen`` is its claim's (0: the last claim's)."""
         p = self.pages.get(op.page_id)
         if p is None or p["run_gen"] is None:
             self._emit(op.page_id, "gone")
             return
-        moved, output = p["gen"] != p["run_gen"], isinstance(op.sha, str) and op.sha != ""
+        claimed = int(op.gen) if op.gen is not None and op.gen == op.gen and op.gen > 0 else p["run_gen"]
+        moved, output = p["gen"] != claimed, isinstance(op.sha, str) and op.sha != ""
         p["state"] = ("ready" if p["ready_us"] else "changed") if moved else ("done" if output else "failed")
         p["run_gen"] = None
         self.stale = self.stale or p["shots"] > 0

@@ -62,6 +62,18 @@ def test_moves_deletes_and_limits(spark, tmp_path):
     assert events.count("emptied") == 1 and ("page_deleted", "p1", None) in got and ("album_deleted", None, None) in got
 
 
+def test_lists_move_whole_and_deletes_name_their_page(spark, tmp_path):
+    puts = [(1, "PUT_SHOT", "p1", f"a{i}", "h") for i in range(10)] + [(1, "PUT_SHOT", "p2", f"b{i}", "h") for i in range(20)]
+    got, _ = _run(spark, tmp_path, [
+        [(0, "ALBUM_META", None, None, "a4", ["p1", "p2"]), *puts],
+        [(2, "MOVE_SHOTS", "p2", ",".join(f"a{i}" for i in range(10)), None), (3, "MOVE_SHOTS", "p2", "a0,a1,a1,b3,none", None), (4, "DELETE_SHOT", "p1", "a0", None)],
+        [(5, "MOVE_SHOTS", "p3", "none", None), (6, "ALBUM_META", None, None, "a4", ["p2", "p2"]), (7, "ALBUM_META", None, None, "a4", ["p4"])],
+    ])
+    events = [e for e, *_ in got]
+    assert events.count("refused_shots") == 1 and events.count("moved") == 1 and "deleted" not in events and events.count("refused_repeat") == 1
+    assert got[-1][0] in ("meta", "ready") and ("ready", "p1", "ready") in got
+
+
 def test_throttle_and_late_feedback(spark, tmp_path):
     for n, rows in enumerate(([("t", 0), ("t", 59 * S), ("t", 60 * S), ("u", 5 * S)], [("t", 100 * S), ("t", 121 * S)])):
         spark.createDataFrame(rows, "token string, us long").coalesce(1).write.mode("append").json(str(tmp_path / "uses"))
