@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import checked_broadcast, saved
 
-SHARDS, ROUNDS = 40, 6
+SHARDS = 40
 #: Hash buckets of a shard, for quotas and for slots.
 BUCKETS = 1024
 #: A group above this share of a shard is dealt over shards as a block.
@@ -41,56 +43,124 @@ def _ends(sizes: list[int]) -> list[int]:
     return out
 
 
-def ranked(df: DataFrame, group: Column, order: list[str], name: str) -> DataFrame:
+def ranked(df: DataFrame, group: Column, order: list[str], name: str, weight: Column | None = None) -> DataFrame:
     """``df`` with the rank (from 0) of each row in its group by hash of ``order``, without one task for a group.
 
     Rows are numbered inside hash buckets, and a small table of bucket sizes gives where each bucket starts.
+    With ``weight`` the rank is the weight of the rows before; ``order`` must then tell the rows of a group apart.
     """
     cut = df.withColumn("_g", group).withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int"))
-    sizes = cut.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = cut.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n") if weight is None else F.sum(weight).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(F.col("_g").alias("_sg"), F.col("_b").alias("_sb"), F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_g", "_b").orderBy(F.xxhash64(*order), *order)) - 1
+    bucket = Window.partitionBy("_g", "_b").orderBy(F.xxhash64(*order), *order)
+    inside = F.row_number().over(bucket) - 1 if weight is None else F.coalesce(F.sum(weight).over(bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return cut.withColumn("_in", inside).join(starts, (F.col("_g") == F.col("_sg")) & (F.col("_b") == F.col("_sb"))).withColumn(name, F.col("_start") + F.col("_in")).drop("_g", "_b", "_in", "_sg", "_sb", "_start")
 
 
-def propagate(cells: DataFrame, room: list[int], shards: int, rounds: int) -> DataFrame:
-    """Moves the cells of groups towards the shard that has most of their group, within each shard's room.
+def _cycles(arcs: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+    """How much of each arc lies on cycles, taken until no cycle is left; what goes in at a node goes out there."""
+    left = dict(arcs)
+    taken: dict[tuple[int, int], int] = {}
+
+    def take(cycle: list[tuple[int, int]]) -> None:
+        least = min(left[a] for a in cycle)
+        for a in cycle:
+            taken[a] = taken.get(a, 0) + least
+            left[a] -= least
+
+    for s, t in sorted(arcs):
+        if s < t and (t, s) in left:
+            take([(s, t), (t, s)])
+    out: dict[int, list[int]] = {}
+    for s, t in sorted(arcs):
+        out.setdefault(s, []).append(t)
+    for first in sorted(out):
+        path = [first]
+        while path:
+            ways = out.get(path[-1], [])
+            while ways and not left[path[-1], ways[-1]]:
+                ways.pop()
+            if not ways:  # no cycle leads through here any more
+                path.pop()
+                if path:
+                    out[path[-1]].pop()
+            elif ways[-1] in path:
+                i = path.index(ways[-1])
+                take(list(zip(path[i:], [*path[i + 1 :], path[i]], strict=True)))
+                path = path[: i + 1]
+            else:
+                path.append(ways[-1])
+    return taken
+
+
+def granted(asked: dict[tuple[int, int, int], int], free: list[int]) -> dict[tuple[int, int, int], int]:
+    """How many of the cells that ask to move, by (from, to, size), may do so at once without overfilling a shard.
+
+    Cells of one size swap along cycles of shards, which changes no load; then free room takes further cells, and
+    what these leave becomes free room. Nothing that is left could move on its own or swap with cells of its size.
+    """
+    sizes: dict[int, dict[tuple[int, int], int]] = {}
+    for (s, t, n), k in asked.items():
+        sizes.setdefault(n, {})[s, t] = k
+    yes = {(s, t, n): k for n, arcs in sizes.items() for (s, t), k in _cycles(arcs).items() if k}
+    left = {a: k - yes.get(a, 0) for a, k in sorted(asked.items(), key=lambda x: (-x[0][2], x[0]))}
+    room, again = list(free), True
+    while again:
+        again = False
+        for (s, t, n), k in left.items():
+            some = min(k, room[t] // n)
+            if some > 0:
+                left[s, t, n] = k - some
+                yes[s, t, n] = yes.get((s, t, n), 0) + some
+                room[t] -= some * n
+                room[s] += some * n
+                again = True
+    return yes
+
+
+def propagate(cells: DataFrame, room: list[int], shards: int) -> DataFrame:
+    """Moves the cells of groups to the shard that has most of their group, until nothing moves.
 
     ``cells`` (hub, start, shard, n) says how many members of a group (a star of links around its hub) begin in
-    shard ``start`` and now lie in ``shard``; members of a cell are alike, so they move together. In a round each
-    group names the shard with most of its members among those that could hold all of it; cells elsewhere ask to
-    move there, and a shard takes the askers below the hash threshold that its room allows. A round never
-    overfills a shard. Ends after ``rounds`` rounds or when nothing moves.
+    shard ``start`` and now lie in ``shard``; members of a cell are alike, so they move together. No shard may
+    hold more than its room to begin with. In a round each group names the shard with most of its members, ties
+    by a hash of the round; cells elsewhere ask to move there. ``granted`` nets what comes in against what goes
+    out, so full shards swap, and of the cells that ask alike those of the least hashes go. Each move raises the
+    sum of squared members a shard of its group, so rounds end by themselves. The driver holds one number for
+    each (from, to, cell size) that occurs.
     """
-    for turn in range(rounds):
+    turn = 0
+    while True:
         load = _per_shard(cells, "shard", F.sum("n"), shards)
         free = [r - x for r, x in zip(room, load, strict=True)]
         votes = cells.groupBy("hub", "shard").agg(F.sum("n").alias("v"))
-        whole = votes.groupBy("hub").agg(F.sum("v").alias("m"), F.collect_list(F.struct("v", "shard")).alias("at"))  # a group has at most ``shards`` entries
-        fits = F.filter("at", lambda x: _by_shard(free, x["shard"]) >= F.col("m") - x["v"])
-        best = F.array_max(F.transform(fits, lambda x: F.struct(x["v"].alias("v"), F.xxhash64(F.col("hub"), x["shard"]).alias("tie"), x["shard"].alias("shard"))))
-        named = whole.select(F.col("hub").alias("_hub"), best["shard"].alias("target"))
-        asked = cells.join(named, F.col("hub") == F.col("_hub")).drop("_hub").withColumn("_b", F.pmod(F.xxhash64("hub", F.lit(turn)), F.lit(BUCKETS)).cast("int"))
-        asked = saved(asked)
+        best = F.max(F.struct(F.col("v"), F.xxhash64("hub", "shard", F.lit(turn)).alias("tie"), F.col("shard")))
+        named = votes.groupBy("hub").agg(best["shard"].alias("target"), F.count(F.lit(1)).alias("places")).where("places > 1").select(F.col("hub").alias("_hub"), "target")
+        asked = saved(cells.join(named, F.col("hub") == F.col("_hub"), "left").drop("_hub"))
         asking = asked.where("target is not null and target <> shard")
-        run = F.sum("n").over(Window.partitionBy("target").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-        steps = asking.groupBy("target", "_b").agg(F.sum("n").alias("n")).withColumn("run", run)
-        below = _per_shard(steps.where(F.col("run") <= _by_shard(free, F.col("target"))), "target", F.max("_b") + 1, shards)
-        if not any(below):
-            break
-        moves = F.col("target").isNotNull() & (F.col("_b") < _by_shard(below, F.coalesce("target", F.lit(0))))
-        cells = asked.select("hub", "start", F.when(moves, F.col("target")).otherwise(F.col("shard")).alias("shard"), "n")
-    return cells
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
+        counts = asking.groupBy("shard", "target", "n").agg(F.count(F.lit(1)).alias("k")).collect()
+        yes = granted({(r.shard, r.target, r.n): r.k for r in counts}, free)
+        if not yes:
+            return cells
+        listed = F.from_json(F.lit(json.dumps([[*a, k] for a, k in yes.items()])), "array<array<bigint>>")
+        rows = cells.sparkSession.range(1).select(F.explode(listed).alias("x")).select(*[F.col("x")[i].alias(c) for i, c in enumerate(("_from", "_to", "_size", "_most"))])
+        ways = (F.col("shard") == F.col("_from")) & (F.col("target") == F.col("_to")) & (F.col("n") == F.col("_size"))
+        able = asking.join(checked_broadcast(rows), ways).withColumn("_turn", F.lit(turn))
+        going = ranked(able, F.struct("shard", "target", "n"), ["hub", "start", "_turn"], "_rank").where("_rank < _most").select(F.col("hub").alias("_hub"), F.col("start").alias("_start"), F.col("target").alias("_new"))
+        here = (F.col("hub") == F.col("_hub")) & (F.col("start") == F.col("_start"))
+        cells = saved(asked.join(going, here, "left").select("hub", "start", F.coalesce("_new", "shard").alias("shard"), "n"))
+        turn += 1
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFrame:
     """Puts every document into a shard: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``rows``: the shards' row counts are at most one apart. Documents of equal text are linked. Groups
     too large for a sixteenth of a shard (at most 16 * shards of them) are laid as blocks along the shards;
-    smaller ones start spread by hash and are drawn together by ``propagate``. Documents without links, and those
-    that a full shard can't hold, fill what is left, by hash. Slots count from 0 in each shard without gaps.
+    smaller ones start spread by hash and are drawn together by ``propagate``; the few that it leaves split are
+    laid one after another along the free room, so that at most ``shards`` - 1 of all smaller groups are split.
+    Documents without links fill what is left, by hash. Slots count from 0 in each shard without gaps.
     A null text has size 16, a null CRC and no links; repeated rows are rows like others; no rows give no rows.
     ``grown_shard`` is null, as the law isn't ``key``.
     """
@@ -114,17 +184,24 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str
     laid = saved(split)
     room = [max(0, q - x) for q, x in zip(quota, _per_shard(laid, "home", F.count("home"), shards), strict=True)]
     ends = _ends(room)
-    start = _interval(F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(max(1, ends[-1]))), ends)
     small = groups.where(F.col("m") < least).select(F.col("hub").alias("_hub"))
-    linked = laid.where("home is null").join(small, F.col("hub") == F.col("_hub")).drop("_hub", "home").withColumn("start", F.least(start, F.lit(shards - 1)))
-    linked = saved(linked)
+    order = ["doc_id", "text_crc32", "size"]
+    linked = saved(ranked(laid.where("home is null").join(small, F.col("hub") == F.col("_hub")).drop("_hub", "home"), F.lit(0), order, "position"))
+    # Positions are dealt evenly over all room, so that no shard begins with more than its room.
+    step = F.expr(f"cast(position as decimal(38, 0)) * {ends[-1]} div {max(1, linked.count())}")
+    linked = saved(linked.withColumn("start", F.least(_interval(step, ends), F.lit(shards - 1))).drop("position"))
     cells = saved(linked.groupBy("hub", "start").agg(F.count(F.lit(1)).alias("n")).select("hub", "start", F.col("start").alias("shard"), "n"))
-    found = propagate(cells, room, shards, rounds).select(F.col("hub").alias("_hub"), F.col("start").alias("_start"), F.col("shard").alias("home"))
+    found = propagate(cells, room, shards)
+    whole = saved(found.groupBy("hub").agg(F.min("shard").alias("home"), F.countDistinct("shard").alias("places"), F.sum("n").alias("m")))
+    settled = whole.where("places = 1")
+    free = [r - x for r, x in zip(room, _per_shard(settled, "home", F.sum("m"), shards), strict=True)]
+    loose = ranked(whole.where("places > 1").select("hub", "m"), F.lit(0), ["hub"], "_from", F.col("m")).select(F.col("hub").alias("_hub"), "_from")
     columns = ["doc_id", "size", "text_crc32", "home"]
-    moved = linked.join(found, (F.col("hub") == F.col("_hub")) & (F.col("start") == F.col("_start"))).select(*columns)
+    member = F.row_number().over(Window.partitionBy("hub").orderBy(*order)) - 1
+    laid_last = linked.join(loose, F.col("hub") == F.col("_hub")).withColumn("home", _interval(F.col("_from") + member, _ends(free)))
+    moved = linked.join(settled.select(F.col("hub").alias("_hub"), "home"), F.col("hub") == F.col("_hub")).select(*columns).unionByName(laid_last.select(*columns))
     single = laid.where("home is null").join(small, F.col("hub") == F.col("_hub"), "left_anti").select(*columns)
     homes = laid.where("home is not null").select(*columns).unionByName(moved)
-    order = ["doc_id", "text_crc32", "size"]
     stay = saved(ranked(homes, F.col("home"), order, "slot"))
     fits = F.col("slot") < _by_shard(quota, F.col("home"))
     kept = [min(q, x) for q, x in zip(quota, _per_shard(stay, "home", F.count(F.lit(1)), shards), strict=True)]

@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -110,6 +111,32 @@ def test_shards(spark):
     assert sharding.shard(table(spark, data).where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [(2,), (2, 3, 5)])
+def test_shards_keep_copies_together_without_unlinked_rows(spark, copies):
+    data, group = [], 0
+    while len(data) < 3000:
+        data += [(len(data) + k, f"group {group}") for k in range(copies[group % len(copies)])]
+        group += 1
+    got = sharding.shard(table(spark, data), shards=10).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == len(data) and max(counts.values()) - min(counts.values()) <= 1
+    text, places = dict(data), {}
+    for r in got:
+        places.setdefault(text[r.doc_id], set()).add(r.shard)
+    assert sum(len(p) > 1 for p in places.values()) <= 9
+
+
+def test_granted_moves_fill_no_shard_beyond_its_room():
+    r = random.Random(8)
+    for _ in range(200):
+        asked = {(s, t, n): r.randint(1, 9) for s in range(6) for t in range(6) for n in (1, 2, 5) if s != t and r.random() < 0.5}
+        free = [r.choice([0, 0, 3]) for _ in range(6)]
+        yes = sharding.granted(asked, free)
+        assert all(0 < k <= asked[a] for a, k in yes.items())
+        assert all(sum(k * n * ((t == x) - (s == x)) for (s, t, n), k in yes.items()) <= free[x] for x in range(6))
+    assert sharding.granted({(0, 1, 2): 5, (1, 2, 2): 4, (2, 0, 2): 7, (0, 2, 1): 3}, [0, 0, 0]) == {(0, 1, 2): 4, (1, 2, 2): 4, (2, 0, 2): 4}
+
+
 def run_sql(sql, **tables):
     con = duckdb.connect()
     for name, t in tables.items():
