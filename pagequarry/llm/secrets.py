@@ -60,6 +60,15 @@ def entropy_windows(s: str, width: int, least: float) -> list[tuple[int, int]]:
     return spans
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
+    """Whether the spans together hold every character from ``start`` to ``end``."""
+    for s, e, _ in sorted(x for x in spans if x[0] < end and start < x[1]):
+        if s > start:
+            return False
+        start = max(start, e)
+    return start >= end
+
+
 def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The base spans and all spans of a text, as (start, end, kind) in code points, by start and kind."""
     base = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
@@ -72,7 +81,7 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
                 continue
             for start, end in entropy_windows(m[0], width, least):
                 span = (m.start() + start, m.start() + end, kind)
-                if not any(s < span[1] and span[0] < e for s, e, _ in [*base, *more]):
+                if not _covered(start + m.start(), end + m.start(), [*base, *more]):
                     more.append(span)
     order = lambda x: (x[0], KINDS.index(x[2]))
     return sorted(base, key=order), sorted([*base, *more], key=order)
@@ -87,7 +96,8 @@ def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     Base rules find assignments, access keys and hex digests. Beyond them, candidate strings of one character
     class are scanned by a sliding window; windows of high entropy are joined to spans unless an allow-list
-    pattern names the candidate or a base span overlaps. A null text counts as empty: no spans, counts 0.
+    pattern names the candidate or other spans cover it wholly; one that they cover in part is reported beside
+    them. A null text counts as empty: no spans, counts 0.
     A span ends before ``end``. Repeated rows give repeated results; only ``keep`` and the text column are read,
     so other columns of whatever name don't matter. Nothing is held but one slice of a batch.
     """
