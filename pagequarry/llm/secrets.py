@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,16 +26,40 @@ CLASSES = {
 #: Candidates that are no secrets whatever their entropy.
 ALLOWED = (
     re.compile(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"),  # UUID
-    re.compile(r"^[^0-9]*$|^[^A-Za-z]*$"),  # words, numbers, rules of signs
+    re.compile(r"^[^A-Za-z]*$"),  # numbers, rules of signs
     re.compile(r"^([a-z]+|[A-Z]+)[0-9]{0,4}$"),  # a word with a number
-    re.compile(r"^[A-Za-z]?[a-z]*([-_/=+][A-Za-z]?[a-z]*|[-_/=+][0-9]{1,4})+$"),  # slugs, paths and dates of plain words
-    re.compile(r"(?i)example|sample|placeholder|xxxx|0123456789|abcdefgh|lorem"),
 )
+#: Windows that touch one of these are no secrets.
+PLACEHOLDER = re.compile(r"(?i)example|sample|placeholder|xxxx|0123456789|abcdefgh|lorem")
+#: What stands between separators in slugs, paths and dates of plain words; windows over nothing else are no secrets.
+TOKEN = re.compile(r"[A-Za-z0-9]+")
+PLAIN = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,4}")
+#: Letters in mixed case are words if they fall into these parts, of ``WORD_LENGTH`` letters or more on average.
+WORDS, CAPITALS, WORD_LENGTH = re.compile(r"[a-z]*+(?:(?:A[st]|By|I[dfnst]|My|No|O[fnr]|To|Up)(?![a-z])|[A-Z]++[a-z]{2,}+)*+[A-Z]*+"), re.compile(r"[A-Z]+"), 4
 
 
-def entropy_windows(s: str, width: int, least: float) -> list[tuple[int, int]]:
+def _plain(token: str) -> bool:
+    if PLAIN.fullmatch(token):
+        return True
+    return bool(WORDS.fullmatch(token)) and len(token) >= WORD_LENGTH * len(CAPITALS.findall(token))
+
+
+def _counting(s: str, width: int) -> Callable[[int], bool]:
+    """Whether the window that starts at a place of the candidate may be a secret."""
+    named, odd = bytearray(len(s)), bytearray(len(s))
+    for m in PLACEHOLDER.finditer(s):
+        named[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    for m in TOKEN.finditer(s):
+        if not _plain(m[0]):
+            odd[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    return lambda i: odd.find(1, i, i + width) >= 0 and named.find(1, i, i + width) < 0
+
+
+def entropy_windows(s: str, width: int, least: float, counting: Callable[[int], bool] | None = None) -> list[tuple[int, int]]:
     """Merged spans of the windows of ``width`` characters whose Shannon entropy is at least ``least`` bits.
 
+    With ``counting`` only windows are taken for whose start it holds.
+
     The sum of n log2 n over the window's character counts is kept up to date as one character enters and one
     leaves; the entropy is log2(width) minus that sum over the width.
     """
@@ -43,16 +68,18 @@ def entropy_windows(s: str, width: int, least: float) -> list[tuple[int, int]]:
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += part[n + 1] - part[n]
         if i >= width:
             old = s[i - width]
             n = counts[old]
             counts[old] = n - 1
             total += part[n - 1] - part[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += part[n + 1] - part[n]
         if i >= width - 1 and total <= most:
             start = i - width + 1
+            if counting and not counting(start):
+                continue
             if spans and start <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -79,7 +106,9 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
         for m in candidates.finditer(text):
             if any(p.search(m[0]) for p in ALLOWED):
                 continue
-            for start, end in entropy_windows(m[0], width, least):
+            if not entropy_windows(m[0], width, least):
+                continue
+            for start, end in entropy_windows(m[0], width, least, _counting(m[0], width)):
                 span = (m.start() + start, m.start() + end, kind)
                 if not _covered(start + m.start(), end + m.start(), [*base, *more]):
                     more.append(span)
@@ -95,8 +124,8 @@ def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """Secrets in every text: counts of the base kinds, ``base`` and ``spans`` (``kind:start:end``, comma-joined).
 
     Base rules find assignments, access keys and hex digests. Beyond them, candidate strings of one character
-    class are scanned by a sliding window; windows of high entropy are joined to spans unless an allow-list
-    pattern names the candidate or other spans cover it wholly; one that they cover in part is reported beside
+    class are scanned by a sliding window; windows of high entropy are joined to spans, without those that touch a
+    placeholder or hold plain words alone, unless an allow-list pattern names the candidate or other spans cover it wholly; one that they cover in part is reported beside
     them. A null text counts as empty: no spans, counts 0.
     A span ends before ``end``. Repeated rows give repeated results; only ``keep`` and the text column are read,
     so other columns of whatever name don't matter. Nothing is held but one slice of a batch.

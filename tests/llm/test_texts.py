@@ -73,6 +73,21 @@ def test_redaction_leaves_nothing_of_a_key_beside_another_secret(spark, text):
     assert not any(KEY[i : i + 4] in out for i in range(len(KEY) - 3)) and out.startswith("see ") and out.endswith(" there")
 
 
+@pytest.mark.parametrize(
+    "text",
+    [f"deploy/sample_env/KEY={KEY}", f"EXAMPLE___{KEY}", f"lorem-ipsum/{KEY}/sample", f"{KEY}/0123456789/xxxx", "qZrLkVxTnBwYcHsPdMfJgKaWeRtUiOpS", f"some/path-of-words/{'qZrLkVxTnBwYcHsPdMfJgKaWeRtUiOpS'}"],
+)
+def test_allow_list_of_a_neighbour_hides_no_key(text):
+    out = [c for i, c in enumerate(text) if not any(s <= i < e for s, e, _ in secrets.find_secrets(text)[1])]
+    key = KEY if KEY in text else "qZrLkVxTnBwYcHsPdMfJgKaWeRtUiOpS"
+    assert not any(key[i : i + 4] in "".join(out) for i in range(len(key) - 3))
+
+
+@pytest.mark.parametrize("text", ["getElementsByClassNameFromDocumentBodyQuickly", "src/main/TheQuickBrownFoxJumps/over-lazy-dogs", "my-sample-config/with-plain-words-and_some-quick_fox", "-" * 40, "AbstractHTTPServerFactoryBuilderQuickJump", "x" * 300 + "Y", "x" * 30 + "Y1"])
+def test_words_in_mixed_case_are_no_keys(text):
+    assert secrets.find_secrets(text)[1] == []
+
+
 def test_redaction_leaves_columns_and_clean_texts(spark):
     docs = table(spark, [*awkward_texts(), *SECRETS])
     out = secrets.redacted(docs)
