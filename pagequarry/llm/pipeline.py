@@ -10,7 +10,10 @@ from .common import checked_broadcast, documents, saved, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the compression classifier, fitted on the labelled documents, scores below its threshold."""
+    """Drops what the compression classifier, fitted on the labelled documents, scores below its threshold.
+
+    Keeps all documents if no labelled rows of both classes were there to learn from.
+    """
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 

@@ -31,6 +31,8 @@ class QualityModel:
     good: bytes
     bad: bytes
     curve: Logistic | None = None
+    #: Whether the curve had rows of both classes to learn from; else it is a constant.
+    learnt: bool = True
 
     def sizes(self) -> Sizes:
         return Sizes(self.good, self.bad)
@@ -100,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> QualityModel:
     shared = Sent(spark, model)
     found = by_text(rows(learn.where(~apart), CURVE_ROWS, "curve"), _features, [T.StructField("x", T.ArrayType(T.DoubleType()))], "text", ("doc_id", "y"), lambda: shared.value.sizes()).orderBy("doc_id").collect()
     x = np.array([r.x for r in found]).reshape(len(found), FEATURES)
-    return QualityModel(*made, fit_logistic(x, np.array([r.y for r in found])))
+    return QualityModel(*made, fit_logistic(x, np.array([r.y for r in found])), len({r.y for r in found}) == 2)
 
 
 def _state(model: QualityModel) -> tuple[Sizes, Logistic]:
@@ -126,7 +128,12 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: tuple[
 
 
 def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose whole text scores at least ``threshold``; the columns stay as they are."""
+    """The rows of ``docs`` whose whole text scores at least ``threshold``; the columns stay as they are.
+
+    All rows if the model's curve had no rows of both classes to learn from, as its constant tells nothing.
+    """
+    if not model.learnt:
+        return docs
     shared, at = Sent(docs.sparkSession, model), docs.columns.index(text)
 
     def run(batches):

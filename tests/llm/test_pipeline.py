@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from pagequarry.llm import bpe, mixing, ngram_join, quality, secrets
+from pagequarry.llm import bpe, mixing, ngram_join, pipeline, quality, secrets
 
 from .helpers import awkward_texts, prose, table
 
@@ -48,6 +50,14 @@ def test_stages(spark, tmp_path):
     assert sorted((str(x.doc_id), x.n_tokens) for x in after.collect()) == sorted((str(x.doc_id), x.n_tokens) for x in bpe.encode(before).collect())
 
 
+@pytest.mark.parametrize("labelled", [[], [(i, 0, 0) for i in range(20)], [(i, None, 1) for i in range(20)]])
+def test_quality_stage_keeps_all_without_both_classes(spark, tmp_path, labelled):
+    docs = table(spark, [*awkward_texts(), *((i, prose(i, 30)) for i in range(20, 40))])
+    spark.createDataFrame(labelled, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.quality_stage(spark, docs, str(tmp_path)).exceptAll(docs).count() == 0
+    assert pipeline.quality_stage(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and out.count() > 0
