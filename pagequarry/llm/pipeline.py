@@ -18,10 +18,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least id, of each class of the n-gram join. Rows without an id, and rows that repeat one, stay."""
-    found = ngram_join.classes(docs)
-    gone = saved(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each class of the n-gram join: that of the least id, ids before none, then of the least text digest.
+
+    Rows are told apart by id and text, so neither a repeated nor a missing id drops or keeps another text; of rows
+    that are equal in both, one stays. Texts without words are in no class and stay, with each of their rows.
+    """
+    kind = docs.schema["doc_id"].dataType
+    ident = F.struct(F.col("doc_id").isNull().alias("no"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
+    found = saved(ngram_join.classes(docs.select(ident.alias("doc_id"), "text")))
+    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_ident")).distinct())
+    kept = docs.withColumn("_own", ident).join(checked_broadcast(gone), F.col("_own") == F.col("_ident"), "left_anti")
+    repeated = saved(found.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias("_ident")).count().where("count > 1").select("_ident"))
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    few, again = checked_broadcast(repeated), F.col("_own") == F.col("_ident")
+    once = kept.join(few, again, "left_semi").groupBy("_own").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(few, again, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

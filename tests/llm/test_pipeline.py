@@ -58,6 +58,21 @@ def test_quality_stage_keeps_all_without_both_classes(spark, tmp_path, labelled)
     assert pipeline.quality_stage(spark, docs, str(tmp_path)).count() == docs.count()
 
 
+def test_near_copy_stage_keeps_one_row_of_each_group(spark):
+    text = {k: prose(k, 40) for k in range(6)}
+    data = [(1, text[0]), (2, text[0]), (2, text[1]), (3, text[2]), (3, text[2]), (3, text[2] + " end")]  # 2 is a copy and a clean text
+    data += [(None, text[3])] * 3 + [(None, text[3] + " end"), (None, text[1]), (None, text[4]), (9, text[5]), (None, text[5])]
+    data += [(7, None), (7, None), (None, None), (8, "")]
+    docs = table(spark, data)
+    out = pipeline.near_copy_stage(spark, docs, "")
+    assert out.schema == docs.schema
+    got = [(x.doc_id, x.text) for x in out.collect()]
+    for k in range(6):
+        assert sum((t or "").startswith(text[k]) for _, t in got) == 1
+    assert {(1, text[0]), (2, text[1]), (9, text[5]), (None, text[4])} <= set(got)
+    assert sorted((x for x in got if not x[1]), key=str) == sorted([(7, None), (7, None), (None, None), (8, "")], key=str)
+
+
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and out.count() > 0
