@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, embeddings, merkle, mixing, ngram_join, quality, secrets, sharding, toxicity
+from . import bpe, debruijn, embeddings, merkle, mixing, ngram_join, pivots, quality, secrets, sharding, toxicity, vector_codes
 from .common import documents, table
 
 
@@ -50,6 +50,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(documents(spark, sf_dir))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.with_inertia(*pivots.clusters(table(spark, sf_dir, "embeddings")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.with_label_error(*vector_codes.encode(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -61,6 +69,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op13_vector_codes": op13_vector_codes,
 }
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {"op6_source_mix": mixing.mix_sql(), "op9_embedding_near_dedup": embeddings.cosine_sql()}
+SQL: dict[str, str] = {
+    "op6_source_mix": mixing.mix_sql(),
+    "op9_embedding_near_dedup": embeddings.cosine_sql(),
+    "op11_centroid_clusters": pivots.clusters_sql(),
+    "op13_vector_codes": vector_codes.codes_sql(),
+}
