@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, embeddings, merkle, mixing, ngram_join, pivots, quality, secrets, sharding, toxicity, vector_codes
+from . import bpe, debruijn, embeddings, merkle, mixing, ngram_join, personal, pivots, quality, secrets, sharding, toxicity, vector_codes
 from .common import documents, table
 
 
@@ -54,6 +54,10 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.with_inertia(*pivots.clusters(table(spark, sf_dir, "embeddings")))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(personal.personal_spans(documents(spark, sf_dir), personal.fit(personal.labelled_table(spark))))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_label_error(*vector_codes.encode(table(spark, sf_dir, "embeddings")))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_personal_data": op12_personal_data,
     "op13_vector_codes": op13_vector_codes,
 }
 #: DuckDB SQL for the queries that SQL can express.
