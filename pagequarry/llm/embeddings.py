@@ -44,9 +44,22 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(1, "v", pa.array(out, pa.binary()))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to between a half and one.
+
+    Squares then neither overflow nor vanish; the rounding of products and sums of ordinary vectors stays the same.
+    """
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def cosine(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Row by row, of scaled rows."""
+    return (p * q).sum(1) / (np.sqrt((p * p).sum(1)) * np.sqrt((q * q).sum(1)))
+
+
 def _unit(rows: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -84,11 +97,10 @@ def _compare(turn, threshold: float):
         y = x if same else _turned([raw[i] for i in b], turn)
         i, j = _candidates(x, y, threshold, same)
         if len(i):
-            exact = [np.frombuffer(b"".join([raw[k] for k in side_]), "<f8").reshape(len(side_), -1) for side_ in (a, b)]
+            exact = [scaled(np.frombuffer(b"".join([raw[k] for k in side_]), "<f8").reshape(len(side_), -1)) for side_ in (a, b)]
             keep = []
             for s in range(0, len(i), 1 << 16):
-                p, q = exact[0][i[s : s + (1 << 16)]], exact[1][j[s : s + (1 << 16)]]
-                keep.append((p * q).sum(1) / (np.sqrt((p * p).sum(1)) * np.sqrt((q * q).sum(1))) >= threshold)
+                keep.append(cosine(exact[0][i[s : s + (1 << 16)]], exact[1][j[s : s + (1 << 16)]]) >= threshold)
             keep = np.concatenate(keep)
             i, j = i[keep], j[keep]
         if not len(i):
@@ -144,7 +156,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Vectors link if their labels are equal and not null and their cosine is at least ``threshold`` (above 0).
     Null and zero vectors and those with null or non-finite components link with nothing, nor do vectors of
-    different length or with a null vec_id (their component is their own id). Equal vectors of a label are one
+    different length or with a null vec_id (their component is their own id). Finite components may be of any size:
+    vectors are scaled by exact powers of two before they are multiplied, so that no square overflows or vanishes. Equal vectors of a label are one
     representative while compared; each counts as a link of the others. Repeated rows count like other copies.
     Tiles are compared in tasks of two tiles; a task returns one row a vector, however many pairs link.
     """
@@ -171,10 +184,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     counts = saved(placed.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")))
     tiled = saved(placed.join(checked_broadcast(counts), where).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).drop("tiles"))
     tiles = counts.select(*where, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    left, right = tiles.alias("l"), tiles.select(*[F.col(c).alias(f"r_{c}") for c in [*where, "tile"]])
-    near = (F.col("label") == F.col("r_label")) & (F.col("dim") == F.col("r_dim")) & (F.abs(F.col("cell") - F.col("r_cell")) <= CELLS_APART)
+    left = tiles.withColumn("beside", F.explode(F.sequence(F.col("cell"), F.col("cell") + CELLS_APART)))
+    right = tiles.select(*[F.col(c).alias(f"r_{c}") for c in [*where, "tile"]])
+    near = (F.col("label") == F.col("r_label")) & (F.col("dim") == F.col("r_dim")) & (F.col("beside") == F.col("r_cell"))
     once = F.struct("cell", "tile") <= F.struct(F.col("r_cell").alias("cell"), F.col("r_tile").alias("tile"))
-    pairs = saved(left.join(right, near & once).withColumn("pair", F.xxhash64("label", "dim", "cell", "tile", "r_cell", "r_tile")))
+    pairs = saved(left.join(right, near & once).drop("beside").withColumn("pair", F.xxhash64("label", "dim", "cell", "tile", "r_cell", "r_tile")))
     own = pairs.select(*where, "tile", "pair", F.lit(0).alias("side"))
     other = pairs.where("cell <> r_cell or tile <> r_tile").select("label", "dim", F.col("r_cell").alias("cell"), F.col("r_tile").alias("tile"), "pair", F.lit(1).alias("side"))
     sent = tiled.join(own.unionAll(other), [*where, "tile"]).select("pair", "side", "rep", "copies", "v")
@@ -198,7 +212,7 @@ def _by_pair(turn, threshold: float):
 
 def cosine_sql(threshold: float = THRESHOLD) -> str:
     """Links and components in DuckDB SQL, by all pairs of a label: for small tables."""
-    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda e: e / pow(2, least(1023, floor(log2(list_max(list_transform(embedding::DOUBLE[], lambda c: abs(c)))))))) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
   WHERE list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= {threshold}),

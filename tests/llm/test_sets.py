@@ -234,3 +234,17 @@ def test_sketches_never_overstate_differences():
         a = np.unique(pool[: r.integers(1, 500)])
         b = np.unique(np.concatenate([a[r.random(len(a)) < 0.8], pool[500 : 500 + r.integers(0, 100)]]))
         assert ngram_join.least_difference(ngram_join.sketch(a), ngram_join.sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_vectors_of_every_size_link_by_direction(spark):
+    r = random.Random(3)
+    way = [r.gauss(0, 1) for _ in range(6)]
+    other = [r.gauss(0, 1) for _ in range(6)]
+    sizes = [1.0, 3.0, 1e-300, 1e-200, 1e150, 1e300, 1e-320, 7e307]
+    data = [(k, [c * s for c in way], 1) for k, s in enumerate(sizes)] + [(100 + k, [c * s for c in other], 1) for k, s in enumerate(sizes)]
+    mixed_sizes = [(200, [1e300, 1.0, 0.0, 0.0, 0.0, 0.0], 1), (201, [1e-300, 1e-305, 0.0, 0.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(data + mixed_sizes, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {k: (7, 0) for k in range(8)} | {100 + k: (7, 100) for k in range(8)} | {200: (1, 200), 201: (1, 200)}
+    want = run_sql(embeddings.cosine_sql(), embeddings=df.toPandas())
+    assert got == {int(r.vec_id): (r.n_links, r.component_id) for r in want.itertuples()}
