@@ -67,11 +67,44 @@ def look_up(big: DataFrame, small: DataFrame, on: str, salt: Column, parts: int
     return left.join(right, left[on].eqNullSafe(F.col("_on")) & (F.col("_part") == F.col("_of"))).drop("_on", "_of", "_part")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as it takes not to clash with a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def same(left: list[Column], right: list[Column]) -> Column:
     """Null-safe equality, column by column."""
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right, strict=True)])
 
 
+def give_back() -> None:
+    """Returns this process's free memory to the system: an idle Python worker would hold it beside a full JVM heap."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over the batches of a partition, giving memory back at its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def by_text(docs: DataFrame, work: Callable[[list], dict], fields: list[T.StructField], text: str = "text", keep: tuple[str, ...] = ("doc_id",), state: Callable[[], object] | None = None) -> DataFrame:
     """One output row for each row of ``docs``: the ``keep`` columns and what ``work`` makes of the texts.
 
@@ -94,7 +127,7 @@ def by_text(docs: DataFrame, work: Callable[[list], dict], fields: list[T.Struct
                     names=[*names, *[f.name for f in arrow]],
                 )
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(lean(run), schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Sent, by_text
+from .common import Sent, by_text, lean, slices
 from .labelled import Logistic, fit_logistic, held_out, sample, training_labels, with_labels
 
 #: Texts are compressed in blocks of so many bytes, each against the dictionary, so that long texts count as short ones do.
@@ -141,10 +141,11 @@ def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD,
 
         sizes, curve = _state(shared.value)
         for batch in batches:
-            x = np.array([sizes(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
-            yield batch.filter(pa.array(curve(x) >= threshold, pa.bool_()))
+            for part in slices(batch, at):
+                x = np.array([sizes(t or "") for t in part.column(at).to_pylist()]).reshape(-1, FEATURES)
+                yield part.filter(pa.array(curve(x) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:

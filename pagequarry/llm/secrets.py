@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import by_text
+from .common import by_text, lean, slices
 
 # What the base rules look for, and the least length that counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -55,10 +57,10 @@ def _counting(s: str, width: int) -> Callable[[int], bool]:
     return lambda i: odd.find(1, i, i + width) >= 0 and named.find(1, i, i + width) < 0
 
 
-def entropy_windows(s: str, width: int, least: float, counting: Callable[[int], bool] | None = None) -> list[tuple[int, int]]:
+def entropy_windows(s: str, width: int, least: float, counting: Callable[[], Callable[[int], bool]] | None = None) -> list[tuple[int, int]]:
     """Merged spans of the windows of ``width`` characters whose Shannon entropy is at least ``least`` bits.
 
-    With ``counting`` only windows are taken for whose start it holds.
+    ``counting``, called at the first such window, gives a rule: only windows are taken for whose start it holds.
 
     The sum of n log2 n over the window's character counts is kept up to date as one character enters and one
     leaves; the entropy is log2(width) minus that sum over the width.
@@ -66,7 +68,7 @@ def entropy_windows(s: str, width: int, least: float, counting: Callable[[int],
     part = [0.0, 0.0, *(n * math.log2(n) for n in range(2, width + 1))]
     most = (math.log2(width) - least) * width + 1e-9
     counts: dict[str, int] = {}
-    total, spans = 0.0, []
+    total, spans, counts_here = 0.0, [], None
     for i, c in enumerate(s):
         if i >= width:
             old = s[i - width]
@@ -78,8 +80,10 @@ def entropy_windows(s: str, width: int, least: float, counting: Callable[[int],
         total += part[n + 1] - part[n]
         if i >= width - 1 and total <= most:
             start = i - width + 1
-            if counting and not counting(start):
-                continue
+            if counting:
+                counts_here = counts_here or counting()
+                if not counts_here(start):
+                    continue
             if spans and start <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -87,13 +91,25 @@ def entropy_windows(s: str, width: int, least: float, counting: Callable[[int],
     return spans
 
 
-def _covered(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
-    """Whether the spans together hold every character from ``start`` to ``end``."""
-    for s, e, _ in sorted(x for x in spans if x[0] < end and start < x[1]):
-        if s > start:
-            return False
-        start = max(start, e)
-    return start >= end
+class _Cover:
+    """Spans in order of their starts, joined where they touch or overlap: tells whether they hold a stretch wholly."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            self.add(start, end)
+
+    def add(self, start: int, end: int) -> None:
+        lo = bisect_left(self.ends, start)
+        hi = bisect_right(self.starts, end)
+        if lo < hi:
+            start, end = min(start, self.starts[lo]), max(end, self.ends[hi - 1])
+        self.starts[lo:hi], self.ends[lo:hi] = [start], [end]
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start) - 1
+        return k >= 0 and self.ends[k] >= end
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -102,16 +118,16 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     more: list[tuple[int, int, str]] = []
+    cover = _Cover(base)
     for kind, (candidates, width, least) in CLASSES.items():
         for m in candidates.finditer(text):
             if any(p.search(m[0]) for p in ALLOWED):
                 continue
-            if not entropy_windows(m[0], width, least):
-                continue
-            for start, end in entropy_windows(m[0], width, least, _counting(m[0], width)):
-                span = (m.start() + start, m.start() + end, kind)
-                if not _covered(start + m.start(), end + m.start(), [*base, *more]):
-                    more.append(span)
+            for start, end in entropy_windows(m[0], width, least, partial(_counting, m[0], width)):
+                start, end = m.start() + start, m.start() + end
+                if not cover.holds(start, end):
+                    more.append((start, end, kind))
+                    cover.add(start, end)
     order = lambda x: (x[0], KINDS.index(x[2]))
     return sorted(base, key=order), sorted([*base, *more], key=order)
 
@@ -164,10 +180,11 @@ def redacted(docs: DataFrame, mask: str = "[secret]", text: str = "text") -> Dat
 
     def run(batches):
         for batch in batches:
-            cells = pa.array([cut(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), cells)
+            for part in slices(batch, at):
+                cells = pa.array([cut(t) for t in part.column(at).to_pylist()], part.schema.field(at).type)
+                yield part.set_column(at, part.schema.field(at), cells)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:
