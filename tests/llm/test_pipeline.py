@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagequarry.llm import bpe, mixing, ngram_join, pipeline, quality, secrets
@@ -76,3 +77,23 @@ def test_near_copy_stage_keeps_one_row_of_each_group(spark):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and out.count() > 0
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, tmp_path):
+    data = [(i, prose(i, 30)) for i in range(20)] + [(40, prose(3, 30) + " end"), (40, prose(3, 30) + " end"), (3, prose(3, 30))] + awkward_texts()
+    docs = table(spark, data)
+    clash = ["_own", "_ident", "_row", "_rank", "_n", "_text", "_key", "total", "target", "weight", "limit_1", "quality", "sid"]
+    docs = docs.withColumns({c: F.concat(F.lit("x"), F.col("doc_id").cast("string")) for c in clash})
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, rows, str(tmp_path))
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+            kept = out.drop("text", "n_chars").exceptAll(rows.drop("text", "n_chars").unionAll(rows.drop("text", "n_chars")))
+            assert kept.count() == 0, name
+        assert stage_rows(corpus_pipeline.STAGES[4][1](spark, rows, str(tmp_path))) == rows.count()
+    assert pipeline.near_copy_stage(spark, docs, "").exceptAll(docs).count() == 0
+
+
+def stage_rows(df):
+    return len(df.collect())

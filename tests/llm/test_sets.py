@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -248,3 +249,38 @@ def test_vectors_of_every_size_link_by_direction(spark):
     assert got == {k: (7, 0) for k in range(8)} | {100 + k: (7, 100) for k in range(8)} | {200: (1, 200), 201: (1, 200)}
     want = run_sql(embeddings.cosine_sql(), embeddings=df.toPandas())
     assert got == {int(r.vec_id): (r.n_links, r.component_id) for r in want.itertuples()}
+
+
+def near_group(seed: int, members: int, words: int = 120):
+    """Edits of one text, of which many pairs lie near the threshold."""
+    r, base = random.Random(seed), prose(seed, words).split()
+    out = []
+    for i in range(members):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4])):
+            w[r.randrange(words)] = f"edit{r.randrange(40)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("block", [16_384, 60])
+def test_ngram_join_in_a_large_group_near_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    data = near_group(5, 500) + [(1000 + i, t) for i, t in varied(6, 40)]
+    seen = []
+    links = ngram_join._crossing_links
+    monkeypatch.setattr(ngram_join, "_crossing_links", lambda members, texts: seen.append(links(members, texts)) or seen[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(table(spark, data).repartition(4)).collect()}
+    want = ngram_join.brute_force(dict(data))
+    assert got == want
+    assert seen[0].count() <= 4 * len(data)  # joining links only, no candidate pairs
+
+
+def test_ngram_join_without_ids_keeps_texts_apart(spark):
+    data = [(None, t) for _, t in near_group(7, 150) + varied(9, 60)]
+    start = time.time()
+    got = ngram_join.classes(table(spark, data).select("doc_id", "text")).collect()
+    assert len(got) == len(data) and time.time() - start < 60
+    assert all(r.component_id is None for r in got)
+    sizes = sorted(n for n, _ in ngram_join.brute_force({i: t for i, (_, t) in enumerate(data)}).values())
+    assert sorted(r.n_shingles for r in got) == sizes

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -160,3 +161,27 @@ def test_empty_tables(spark):
     docs = table(spark, [(1, "x")]).where("doc_id > 1")
     for f in (secrets.secret_spans, secrets.redacted, bpe.round_trip_digests, bpe.encode, merkle.fingerprints, merkle.with_next):
         assert f(docs).count() == 0
+
+
+def test_secrets_of_a_long_text_take_linear_time():
+    r = random.Random(2)
+    key = lambda: "".join(r.choice("abcdefABCDEFGHIJ0123456789+/") for _ in range(24))
+    times = []
+    for n in (8_000, 32_000):
+        text = " ".join(key() for _ in range(n))
+        start = time.time()
+        assert len(secrets.find_secrets(text)[1]) > n * 0.4
+        times.append(time.time() - start)
+    assert times[1] < 1.5 and times[1] < 10 * times[0]
+
+
+def test_cover_holds_what_its_spans_hold_together():
+    r = random.Random(3)
+    for _ in range(300):
+        spans = [(a, a + r.randint(1, 8), "hex") for a in (r.randrange(40) for _ in range(r.randint(0, 8)))]
+        cover = secrets._Cover(spans[: len(spans) // 2])
+        for a, b, _ in spans[len(spans) // 2 :]:
+            cover.add(a, b)
+        for a in range(45):
+            for b in range(a + 1, 50):
+                assert cover.holds(a, b) == all(any(s <= k < e for s, e, _ in spans) for k in range(a, b))
