@@ -9,6 +9,9 @@ PENDING_STATES = ("changed", "ready", "processing")
 
 # Stream timing.
 IDLE_SECONDS = 10
+#: Streams: how far out of order operations may come, and how much later they are still reported.
+WAIT_SECONDS = 600
+LATE_SECONDS = 86_400
 TOKEN_TOUCH_SECONDS = 60
 
 # Grids: the long side never exceeds this many cells.

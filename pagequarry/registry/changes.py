@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..limits import WAIT_SECONDS
 from ..mappings import Tables
 from ..operators import catalog as C
 from ..streaming import oplog as OL
@@ -72,28 +73,87 @@ def _event_stream(t: Tables):
     return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(t.dir)
 
 
-@query("idle_session_stream", "J5 A6", "op", _ISLANDS)
+# What a stream has given out once its watermark stands WAIT behind the newest event.
+_CLOSED = _ISLANDS + f" HAVING max(ms) + {IDLE * 1000} - 1 <= (SELECT max(ms) FROM o) - {WAIT_SECONDS * 1000}"
+
+
+@query("idle_session_stream", "J5 A6", "op", _CLOSED)
 def _(t: Tables):
-    # The same stretches from a stream, as session windows.
+    # The same stretches from a stream, as session windows that close at the watermark.
     k = F.get_json_object("props", "$.k").cast("int")
     op = _event_stream(t).select("ts", F.col("user_id").alias("album_id"), (k % 10).alias("page_no"))
     s = ST.idle_sessions(op, ["album_id", "page_no"], IDLE).select("album_id", "page_no", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("last_change").alias("end_ms"), "changes")
     root = ST.work_folder(t.spark, "idle")
-    return ST.run_to_table(s, f"{root}/table", f"{root}/checkpoint", "complete")
+    return ST.run_to_table(s, f"{root}/table", f"{root}/checkpoint")
+
+
+def _run(t: Tables, name: str, stream):
+    root = ST.work_folder(t.spark, name)
+    return ST.run_to_table(stream, f"{root}/table", f"{root}/checkpoint")
+
+
+def _us():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
-@query("album_state_stream", "J1 J2 J3 J4 J6 J7 J8 J16 J17 J19 A6", "")
+@query("album_state_stream", "J1 J2 J3 J4 J5 J6 J7 J8 J10 J16 J17 J19 A6", "")
 def _(t: Tables):
-    k = F.get_json_object("props", "$.k").cast("int")
+    # All ten kinds, with page orders; claims and run ends name pages that other operations have touched.
+    k, n, v = F.get_json_object("props", "$.k").cast("int"), F.col("event_id") % 40, F.floor("value").cast("bigint")
     kind = F.col("event_type")
+    said = F.when(n == 7, "CLAIM").when(n == 17, "RUN_END").when(n == 27, "TICK").when(F.col("event_id") % 120 == 37, "RECOVER").when(F.col("event_id") % 200 == 3, "DELETE_PAGE").when(F.col("event_id") % 1000 == 13, "DELETE_ALBUM")
+    said = F.coalesce(said, F.when(kind.isin("view", "click"), "PUT_SHOT").when(kind == "signup", "ALBUM_META").when(kind == "error", "DELETE_SHOT").otherwise("MOVE_SHOTS"))
+    pages = F.array_join(F.transform(F.sequence(F.lit(0), k % 4), lambda i: F.concat(F.lit("p"), (k + 3 * i) % 10)), ",")
     op = _event_stream(t).select(
-        F.col("user_id").alias("album_id"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-        F.when(kind.isin("view", "click"), "PUT_SHOT").when(kind == "signup", "ALBUM_META").when(kind == "error", "DELETE_SHOT").otherwise("MOVE_SHOTS").alias("kind"),
-        F.concat(F.lit("p"), k % 10).alias("page_id"), F.concat(F.lit("s"), k).alias("shot_id"),
-        F.when(kind == "signup", F.lit("letter")).otherwise((F.floor("value").cast("bigint") % 3).cast("string")).alias("sha"), F.lit(0).cast("bigint").alias("gen"), F.lit("").alias("pages"),
+        F.col("user_id").alias("album_id"), F.col("event_id").alias("seq"), _us().alias("us"), said.alias("kind"), F.concat(F.lit("p"), k % 10).alias("page_id"),
+        F.when(said == "MOVE_SHOTS", F.concat_ws(",", F.concat(F.lit("s"), k), F.concat(F.lit("s"), k + 10))).otherwise(F.concat(F.lit("s"), k)).alias("shot_id"),
+        F.when(said == "ALBUM_META", F.when(v % 10 == 0, "a4").otherwise("letter")).when((said == "RUN_END") & (v % 4 == 0), "").otherwise((v % 3).cast("string")).alias("sha"),
+        F.lit(0).cast("bigint").alias("gen"), F.when(said == "ALBUM_META", pages).otherwise("").alias("pages"),
     )
-    root = ST.work_folder(t.spark, "albums")
-    return ST.run_to_table(ST.album_transitions(op, IDLE), f"{root}/table", f"{root}/checkpoint")
+    return _run(t, "albums", ST.album_transitions(op, IDLE))
+
+
+_PUTS = f"""WITH o AS (SELECT album_id, 'p' || page_no AS page_id, epoch_us(ts) AS us, seq FROM op), s AS (SELECT *, row_number() OVER (PARTITION BY album_id, page_id ORDER BY us, seq) AS n FROM o QUALIFY n <= 25),
+       l AS (SELECT *, lead(us) OVER (PARTITION BY album_id, page_id ORDER BY us, seq) AS next FROM s)"""
+
+
+@query(
+    "idle_promotions", "J5", "op",
+    _PUTS + f""" SELECT album_id, page_id, us + {IDLE} * 1000000::BIGINT AS ready_us FROM l
+       WHERE (next IS NULL OR next - us >= {IDLE} * 1000000::BIGINT) AND (us + {IDLE} * 1000000::BIGINT) // 1000 < (SELECT max(us) FROM o) // 1000 - {WAIT_SECONDS * 1000}""",
+)
+def _(t: Tables):
+    # Uploads alone: pages become ready at their due time by timers, without a later operation of the album.
+    k = F.get_json_object("props", "$.k").cast("int")
+    put = F.struct(F.lit("PUT_SHOT").alias("kind"), F.lit("h").alias("sha"), (2 * F.col("event_id") + 1).alias("seq"))
+    meta = F.struct(F.lit("ALBUM_META").alias("kind"), F.lit("letter").alias("sha"), (2 * F.col("event_id")).alias("seq"))
+    op = _event_stream(t).withColumn("o", F.explode(F.array(meta, put))).select(
+        F.col("user_id").alias("album_id"), "o.seq", _us().alias("us"), "o.kind", F.concat(F.lit("p"), k % 10).alias("page_id"),
+        F.concat(F.lit("s"), "event_id").alias("shot_id"), "o.sha", F.lit(0).cast("bigint").alias("gen"), F.lit("").alias("pages"),
+    )
+    return _run(t, "idle", ST.album_transitions(op, IDLE)).filter("event = 'ready'").select("album_id", "page_id", F.col("us").alias("ready_us"))
+
+
+@query(
+    "run_results_stream", "J9 J10", "",
+    f"""WITH c AS (SELECT event_id // 2 AS run, ts AS claimed_at, CASE WHEN value < 20 THEN 2 ELSE 1 END AS page_gen, CAST(floor(value) AS BIGINT) % 5 <> 0 AS has_shots, CAST(floor(value) AS BIGINT) % 3 = 0 AS later FROM events WHERE event_id % 2 = 0 AND event_type <> 'error'),
+       e AS (SELECT event_id // 2 AS run, ts AS ended_at, event_type = 'view' AS bad FROM events WHERE event_id % 2 = 1 AND event_type <> 'signup'),
+       w AS (SELECT least((SELECT max(claimed_at) FROM c), (SELECT max(ended_at) FROM e)) - INTERVAL {WAIT_SECONDS} SECONDS AS w),
+       j AS (SELECT coalesce(c.run, e.run) AS run, claimed_at, ended_at, page_gen, has_shots, later, bad FROM c FULL JOIN e ON c.run = e.run AND ended_at BETWEEN claimed_at AND claimed_at + INTERVAL 600 SECONDS)
+       SELECT run, epoch_us(claimed_at) AS claimed_us, epoch_us(ended_at) AS ended_us, CASE WHEN claimed_at IS NULL THEN 'gone' WHEN ended_at IS NULL THEN 'abandoned' WHEN bad AND has_shots AND page_gen = 1 THEN 'failed' WHEN bad OR NOT has_shots THEN 'discarded' ELSE 'adopted' END AS outcome,
+         CASE WHEN claimed_at IS NULL THEN NULL WHEN ended_at IS NULL OR page_gen <> 1 THEN CASE WHEN later THEN 'ready' ELSE 'changed' END WHEN bad THEN 'failed' ELSE 'done' END AS next_state
+       FROM j, w WHERE (claimed_at IS NOT NULL AND ended_at IS NOT NULL) OR ended_at <= w OR claimed_at + INTERVAL 600 SECONDS <= w""",
+)
+def _(t: Tables):
+    v = F.floor("value").cast("bigint")
+    run = F.expr("event_id DIV 2").alias("run")
+    claims = _event_stream(t).filter("event_id % 2 = 0 AND event_type <> 'error'").select(
+        run, F.col("ts").cast("timestamp").alias("claimed_at"), F.lit(1).alias("gen"), F.when(F.col("value") < 20, 2).otherwise(1).alias("page_gen"), (v % 5 != 0).alias("has_shots"), F.when(v % 3 == 0, 1).alias("ready_at"),
+    )
+    bad = F.col("event_type") == "view"
+    ends = _event_stream(t).filter("event_id % 2 = 1 AND event_type <> 'signup'").select(run, F.col("ts").cast("timestamp").alias("ended_at"), F.when(~bad, "out").alias("output"), F.when(bad, "error").alias("error"))
+    found = _run(t, "runs", ST.run_results(claims, ends, 600))
+    return found.select("run", F.unix_micros("claimed_at").alias("claimed_us"), F.unix_micros("ended_at").alias("ended_us"), "outcome", "next_state")
 
 
 @query(
@@ -189,6 +249,50 @@ def _(t: Tables):
     return OL.newly_warned_by_poll(o.filter("kind = 'PUT_SHOT'").drop("kind").distinct(), o.select("album_id", "poll").distinct())
 
 
+_DAY = 86_400_000_000
+
+
+@query(
+    "newly_warned_stream", "J12", "op",
+    f"""WITH o AS (SELECT DISTINCT album_id, CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts)) AS BIGINT) AS poll, page_no, kind FROM op), w AS (SELECT DISTINCT album_id, poll, page_no FROM o WHERE kind = 'PUT_SHOT'), p AS (SELECT album_id, poll, lag(poll) OVER (PARTITION BY album_id ORDER BY poll) AS last FROM (SELECT DISTINCT album_id, poll FROM o)),
+       z AS (SELECT max(epoch_us(ts)) // 1000 - {WAIT_SECONDS * 1000} - epoch_us(TIMESTAMP '2024-01-01') // 1000 AS done FROM op)
+       SELECT w.album_id, w.poll, 'p' || w.page_no AS page_id FROM w JOIN p ON p.album_id = w.album_id AND p.poll = w.poll, z
+       WHERE p.poll - p.last <= 4 AND (w.poll + 1) * 86400000 <= z.done AND NOT EXISTS (SELECT 1 FROM w AS v WHERE v.album_id = w.album_id AND v.poll = p.last AND v.page_no = w.page_no)""",
+)
+def _(t: Tables):
+    # A poll a day; what was warned is forgotten four days after its poll.
+    k = F.get_json_object("props", "$.k").cast("int")
+    poll = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")
+    first = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows = _event_stream(t).select(
+        F.col("user_id").alias("album_id"), _us().alias("us"), F.col("event_id").alias("seq"), poll.alias("poll"), (first + (poll + 1) * _DAY).alias("until_us"),
+        F.when(F.col("event_type").isin("view", "click"), F.concat(F.lit("p"), k % 10)).alias("page_id"),
+    )
+    return _run(t, "warned", ST.newly_warned(rows, 4 * 86_400))
+
+
+@query(
+    "thinned_marks", "J15", "",
+    """WITH RECURSIVE u AS (SELECT DISTINCT event_type || user_id % 20 AS token, epoch_us(ts) AS us FROM events),
+       k AS (SELECT token, min(us) AS us FROM u GROUP BY token UNION ALL SELECT k.token, (SELECT min(u.us) FROM u WHERE u.token = k.token AND u.us >= k.us + 43200000000) FROM k WHERE k.us IS NOT NULL)
+       SELECT token, us FROM k WHERE us IS NOT NULL""",
+)
+def _(t: Tables):
+    uses = t.raw("events").select(F.concat("event_type", F.col("user_id") % 20).alias("token"), _us().alias("us"))
+    return OL.thinned(uses, ["token"], 43_200)
+
+
+@query(
+    "thinned_mark_stream", "J15", "",
+    """WITH RECURSIVE u AS (SELECT DISTINCT event_type || user_id % 20 AS token, epoch_us(ts) AS us FROM events),
+       k AS (SELECT token, min(us) AS us FROM u GROUP BY token UNION ALL SELECT k.token, (SELECT min(u.us) FROM u WHERE u.token = k.token AND u.us >= k.us + 43200000000) FROM k WHERE k.us IS NOT NULL)
+       SELECT token, us FROM k WHERE us IS NOT NULL""",
+)
+def _(t: Tables):
+    uses = _event_stream(t).select(F.concat("event_type", F.col("user_id") % 20).alias("token"), _us().alias("us"))
+    return _run(t, "marks", ST.touched_tokens(uses, 43_200))
+
+
 _QUEUE = """WITH RECURSIVE q AS (SELECT seq, album_id, kind, album_id || '/' || shot_no AS shot_id, value > 90 AS in_flight FROM op WHERE kind <> 'MOVE_SHOTS'), ml AS (SELECT album_id, max(seq) AS l FROM q WHERE kind = 'ALBUM_META' GROUP BY album_id),
        q2 AS (SELECT q.* FROM q LEFT JOIN ml ON ml.album_id = q.album_id WHERE kind <> 'ALBUM_META' OR in_flight OR seq = l)"""
 

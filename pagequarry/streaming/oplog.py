@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..limits import MAX_SHOTS_PER_PAGE
 from ..operators.ordered import OrderedGroups, numbered
+from ..session import ensure_checkpoint_dir
 
 
 def idempotent_puts(op: DataFrame, key: list[str], order: list[str], hot_rows: int | None = None, census: DataFrame | None = None) -> DataFrame:
@@ -146,6 +147,34 @@ def newly_warned_by_poll(warned: DataFrame, polls: DataFrame) -> DataFrame:
     return now.join(before, ["album_id", "_last", "page_id"], "left_anti").select("album_id", "poll", "page_id")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def thinned(uses: DataFrame, keys: list[str], seconds: float, hot_rows: int | None = None) -> DataFrame:
+    """Of each key's times (``us``) the first, and then always the first one at least ``seconds`` after the last kept.
+
+    Each time points to the first one far enough after it, found in one ordered pass; the chain from a key's first time
+    is followed by doubling: the pointers of a round jump twice as far as those of the round before, so the rounds
+    grow with the logarithm of the longest chain and one busy key is spread over all tasks.
+    """
+    kw = {} if hot_rows is None else {"hot_rows": hot_rows}
+    gap = int(seconds * 1_000_000)
+    times = _cut(uses.select(*keys, "us").distinct())
+    probes = times.select(*keys, (-(F.col("us") + gap)).alias("_back"), F.lit(1).alias("_probe"), "us")
+    marks = times.select(*keys, (-F.col("us")).alias("_back"), F.lit(0).alias("_probe"), "us")
+    seen = OrderedGroups(marks.unionByName(probes), keys, ["_back", "_probe", "us"], **kw).running(_next=("min", F.when(F.col("_probe") == 0, F.col("us"))))
+    jump = _cut(seen.filter("_probe = 1 AND _next IS NOT NULL").select(*keys, "us", "_next"))
+    kept = new = _cut(times.groupBy(*keys).agg(F.min("us").alias("us")))
+    while not new.isEmpty():
+        new = _cut(kept.join(jump, [*keys, "us"]).select(*keys, F.col("_next").alias("us")))
+        kept = _cut(kept.unionByName(new))
+        far = jump.select(*keys, F.col("us").alias("_next"), F.col("_next").alias("_far"))
+        jump = _cut(jump.join(far, [*keys, "_next"]).select(*keys, "us", F.col("_far").alias("_next")))
+    return kept
+
+
 def _last_metadata(queue: DataFrame) -> DataFrame:
     """The queue without metadata that newer metadata of the album replaced before it was sent."""
     last = queue.filter("kind = 'ALBUM_META'").groupBy("album_id").agg(F.max("seq").alias("_last"))
