@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import PIECE, by_text, pieces, worker_store
 
 #: Encoded chunks that a worker remembers; beyond it the store starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?|]*")
 _TAIL = b".,;:!?|"
 _FAR = 1 << 60

@@ -84,9 +84,13 @@ def same(left: list[Column], right: list[Column]) -> Column:
 
 
 def give_back() -> None:
-    """Returns this process's free memory to the system: an idle Python worker would hold it beside a full JVM heap."""
+    """Returns this process's free memory to the system: an idle Python worker would hold it beside a full JVM heap.
+
+    Tables that are quick to make again (``worker_store("tables")``) go too.
+    """
     import ctypes
 
+    worker_store("tables").clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
     if trim:

@@ -34,7 +34,7 @@ def _byte_values(seed: int) -> np.ndarray:
 
 
 def _kept_powers(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    kept = worker_store("powers")
+    kept = worker_store("tables")
     if seed not in kept:
         kept[seed] = _make_powers(seed, 2 * PIECE)
     return kept[seed]
