@@ -100,12 +100,22 @@ def disk_offsets(r: int) -> list[tuple[int, int]]:
 
 
 def local_max_disk(cells: DataFrame, keys: list[str], value: str, r: int, gw, gh, name: str) -> DataFrame:
-    """The largest value within an ellipse of radius ``r``: rows of the ellipse unrolled, then combined by ``max``."""
-    rows = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in disk_offsets(r)])
-    m = spread_groups(cells.select(*keys, "y", "x", F.col(value).alias(name)), keys).withColumn("_o", F.explode(rows))
-    m = m.withColumn("y", F.col("y") + F.col("_o.dy")).filter((F.col("y") >= 0) & (F.col("y") < _lit(gh)))
-    at = F.sequence(F.greatest(F.col("x") - F.col("_o.w"), F.lit(0)), F.least(F.col("x") + F.col("_o.w"), _lit(gw) - 1))
-    return m.withColumn("x", F.explode(at)).groupBy(*keys, "y", "x").agg(F.max(name).alias(name))
+    """The largest value within an ellipse of radius ``r``, on every grid cell some value reaches.
+
+    Rows first: a row is laid out as far as values reach, and for each half-width of the ellipse a sliding window gives
+    the largest value along it. Then each cell passes to the 2r+1 rows above and below the one that fits. So a cell
+    becomes at most 2r+1 rows at a time, not the whole ellipse.
+    """
+    offsets = disk_offsets(r)
+    widths = sorted({w for _, w in offsets})
+    at = F.sequence(F.greatest(F.col("x") - widths[-1], F.lit(0)), F.least(F.col("x") + widths[-1], _lit(gw) - 1))
+    m = spread_groups(cells.select(*keys, "y", "x", F.col(value).alias("_v")), keys).withColumn("_x", F.explode(at))
+    m = m.groupBy(*keys, "y", F.col("_x").alias("x")).agg(F.max(F.when(F.col("x") == F.col("_x"), F.col("_v"))).alias("_v"))
+    row = _line(keys, "x")
+    m = m.select(*keys, "y", "x", *[F.max("_v").over(row.rangeBetween(-w, w)).alias(f"_w{w}") for w in widths])
+    down = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), F.col(f"_w{w}").alias("v")) for dy, w in offsets]))
+    m = m.select(*keys, "x", down.alias("_o")).filter((F.col("_o.y") >= 0) & (F.col("_o.y") < _lit(gh)) & F.col("_o.v").isNotNull())
+    return m.groupBy(*keys, F.col("_o.y").alias("y"), "x").agg(F.max("_o.v").alias(name))
 
 
 def box_sums(cells: DataFrame, keys: list[str], r: int, **cols: Column) -> DataFrame:
@@ -175,6 +185,23 @@ def shrunk(cells: DataFrame, keys: list[str], factor: int, gw: int, gh: int, **c
     return sums.select(*keys, "y", "x", *[(F.col(n) / (high * wide)).alias(n) for n in cols])
 
 
+def resized(cells: DataFrame, keys: list[str], nw: int, nh: int, gw: int, gh: int, **cols: Column) -> DataFrame:
+    """Area averages on a grid of ``nw`` x ``nh`` cells, whatever the factor; a cell that is not in the table counts as 0.
+
+    A cell is shared out by the area it has in common with each coarse cell, along x and then along y. Shares are whole
+    numbers of 1/gw and 1/gh of a coarse cell.
+    """
+    m = cells.select(*keys, "y", "x", *[c.alias(n) for n, c in cols.items()])
+    for along, fine, coarse in (("x", gw, nw), ("y", gh, nh)):
+        other = "y" if along == "x" else "x"
+        low, high = F.col(along) * coarse, (F.col(along) + 1) * coarse
+        part = F.sequence(F.floor(low / fine).cast("int"), F.floor((high - 1) / fine).cast("int"))
+        m = m.withColumn("_i", F.explode(part))
+        share = F.least(high, (F.col("_i") + 1) * fine) - F.greatest(low, F.col("_i") * fine)
+        m = m.groupBy(*keys, other, F.col("_i").alias(along)).agg(*[F.sum(F.col(n) * share).alias(n) for n in cols])
+    return m.select(*keys, "y", "x", *[(F.col(n) / (gw * gh)).alias(n) for n in cols])
+
+
 def shrunk_labels(cells: DataFrame, keys: list[str], factor: int, gw: int, gh: int, glare: float = 0.5, clean: float = 0.75) -> DataFrame:
     """Labels on a grid ``factor`` times coarser: 1 where at least ``glare`` of the area is glare, else 0 where at least ``clean`` is clean, else null.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.pages import is_scan, scan_dpi
 from ..functions.text import content_key, natural_key
 from ..operators.ordered import spread_groups
+from ..session import ensure_checkpoint_dir
 
 
 def photo_lists(photos: DataFrame) -> DataFrame:
@@ -76,15 +77,72 @@ def run_pages(pages: DataFrame, runner: Callable[[pd.DataFrame], pd.DataFrame],
     return spread_groups(pages, [key]).groupBy(key).applyInPandas(isolated(runner, columns, key), f"{schema}, error string")
 
 
-def run_album(decided: DataFrame, photos: DataFrame, runner, schema: str, key: str = "page_id") -> DataFrame:
-    """Only pages that must be processed enter the heavy job; the others come back with their decision."""
-    todo = decided.filter("decision = 'process'").select(key)
+def with_problems(pages: DataFrame, folders: DataFrame, photos: DataFrame) -> DataFrame:
+    """``pages`` (album_id, folder, index) with ``problem`` where their folder is not there or holds no photos.
+
+    ``folders`` is (album_id, folder) of all that exist, ``photos`` the same once a photo.
+    """
+    key = ["album_id", "folder"]
+    there = folders.select(*key).distinct().withColumn("_there", F.lit(True))
+    filled = photos.select(*key).distinct().withColumn("_filled", F.lit(True))
+    j = pages.join(there, key, "left").join(filled, key, "left")
+    quoted = F.concat(F.lit("'"), "folder", F.lit("'"))
+    problem = F.when(F.col("_there").isNull(), F.concat(F.lit("folder "), quoted, F.lit(" not found"))).when(F.col("_filled").isNull(), F.concat(F.lit("no photos in "), quoted))
+    return j.withColumn("problem", problem).drop("_there", "_filled")
+
+
+def _before_known(decided: DataFrame) -> DataFrame:
+    """Strict mode: pages behind one whose problem is known beforehand are not run."""
+    known = decided.filter("decision = 'failed'").groupBy("album_id").agg(F.min("index").alias("_stop"))
+    return decided.join(known, "album_id", "left").filter(F.col("_stop").isNull() | (F.col("index") < F.col("_stop"))).drop("_stop")
+
+
+def run_album(decided: DataFrame, photos: DataFrame, runner, schema: str, key: str = "page_id", printer=None, print_schema: str | None = None, strict: bool = False) -> DataFrame:
+    """What becomes of each page. Only pages that must be processed enter the heavy job, and only those and ``reprint`` pages the printer.
+
+    ``printer`` (with ``print_schema``) gets one row a page, with its decision and what ``runner`` made of it; its
+    columns follow. A page that fails in either has ``error``. With ``strict``, pages behind a known problem aren't run.
+    """
+    runs = _before_known(decided) if strict else decided
+    todo = runs.filter("decision = 'process'").select(key)
     results = run_pages(photos.join(todo, key, "left_semi"), runner, schema, key)
+    if printer is not None:
+        ensure_checkpoint_dir(decided.sparkSession)
+        results = results.checkpoint()  # read by the printer and for the entries: run once
+        again = runs.filter("decision IN ('process', 'reprint')").select(key, "decision").join(results, key, "left").filter("error IS NULL").drop("error")
+        made = run_pages(again, printer, print_schema, key).withColumnRenamed("error", "_print_error")
+        results = runs.filter("decision IN ('process', 'reprint')").select(key).join(results, key, "left").join(made, key, "left")
+        results = results.withColumn("error", F.coalesce("error", "_print_error")).drop("_print_error")
     j = decided.join(results, key, "left")
-    status = F.when((F.col("decision") == "failed") | F.col("error").isNotNull(), "failed").when(F.col("decision") == "process", "ok").otherwise("reused")
+    done = F.when(F.col("decision") == "process", "ok").when((F.col("decision") == "reprint") & F.lit(printer is not None), "reprinted").otherwise("reused")
+    status = F.when((F.col("decision") == "failed") | F.col("error").isNotNull(), "failed").otherwise(done)
     return j.withColumn("status", status).withColumn("error", F.coalesce("error", "problem"))
 
 
 def first_failure(entries: DataFrame) -> DataFrame:
     """Strict mode: per album the failed page that stops it, the lowest-numbered one."""
-    return entries.filter("status = 'failed'").groupBy("album_id").agg(F.min_by("page_id", "index").alias("page_id"), F.min_by("error", "index").alias("error"))
+    return entries.filter("status = 'failed'").groupBy("album_id").agg(F.min_by("page_id", "index").alias("page_id"), F.min_by("error", "index").alias("error"), F.min("index").alias("index"))
+
+
+def recorded(entries: DataFrame, strict: bool = False, placeholder: bool = True) -> DataFrame:
+    """The report's entries: ``entries`` (album_id, folder, index, status, error) with ``image``, what the album's PDF shows.
+
+    A failed page shows a placeholder, unless placeholders are off or the run is strict. A strict run stops at an
+    album's first failed page: every later page has the entry ``stopped``, without error or image.
+    """
+    stopped = F.lit(False)
+    out = entries
+    if strict:
+        stops = first_failure(entries).select("album_id", F.col("index").alias("_stop"))
+        out = entries.join(stops, "album_id", "left")
+        stopped = F.coalesce(F.col("index") > F.col("_stop"), F.lit(False))
+    shown = F.when(stopped, None).when(F.col("status") != "failed", F.concat(F.lit("print/"), "folder")).when(F.lit(placeholder and not strict), F.concat(F.lit("placeholder/"), "folder"))
+    out = out.withColumn("image", shown).withColumn("error", F.when(~stopped, F.col("error"))).withColumn("status", F.when(stopped, "stopped").otherwise(F.col("status")))
+    return out.select(*entries.columns, "image")
+
+
+def pdf_pages(entries: DataFrame) -> DataFrame:
+    """The PDF of each album: its images in the order of the pages, and how many; albums without images have none."""
+    kept = F.array_sort(F.collect_list(F.when(F.col("image").isNotNull(), F.struct("index", "image"))))
+    g = entries.groupBy("album_id").agg(kept.alias("_l"))
+    return g.filter(F.size("_l") > 0).select("album_id", F.transform("_l", lambda s: s["image"]).alias("images"), F.size("_l").alias("pages"))

@@ -190,6 +190,30 @@ def _(t: Tables):
     return R.hysteresis(s, PAGE, "v", 95, 55, 1, W, H)
 
 
+@query(
+    "hysteresis_wide_seeds", "H7 H2", "cell",
+    f"""WITH RECURSIVE s AS (SELECT page_id, y, x, max(score) AS v FROM cell GROUP BY ALL), hot AS (SELECT page_id, y, x FROM s WHERE v >= 45), {sql_erode('core', 'hot')}, {sql_dilate('seed', 'core')},
+        weak AS (SELECT page_id, y, x FROM s WHERE v >= 40), {sql_components('comp', 'weak')} SELECT page_id, y, x FROM comp c WHERE (page_id, component) IN (SELECT (c2.page_id, c2.component) FROM comp c2 JOIN seed d ON d.page_id = c2.page_id AND d.y = c2.y AND d.x = c2.x)""",
+)
+def _(t: Tables):
+    # Seeds at least three cells wide.
+    s = t.cell().groupBy("page_id", "y", "x").agg(F.max("score").alias("v"))
+    return R.hysteresis(s, PAGE, "v", 45, 40, 3, W, H)
+
+
+@query(
+    "grid_resized", "H5", "cell",
+    f"""WITH c AS (SELECT page_id, y, x, count(*) AS shots FROM cell GROUP BY ALL), k AS (SELECT unnest(range(10)) AS i), l AS (SELECT unnest(range(8)) AS j),
+       o AS (SELECT page_id, i, j, sum(shots * (least((x + 1) * 10, (i + 1) * {W}) - greatest(x * 10, i * {W})) * (least((y + 1) * 8, (j + 1) * {H}) - greatest(y * 8, j * {H}))) AS s
+             FROM c JOIN k ON x * 10 < (i + 1) * {W} AND (x + 1) * 10 > i * {W} JOIN l ON y * 8 < (j + 1) * {H} AND (y + 1) * 8 > j * {H} GROUP BY ALL)
+       SELECT page_id, CAST(j AS INTEGER) AS y, CAST(i AS INTEGER) AS x, CAST(s AS DOUBLE) / {W * H} AS mean FROM o""",
+)
+def _(t: Tables):
+    # Two and a half cells become one, each way.
+    c = t.cell().groupBy("page_id", "y", "x").agg(F.count(F.lit(1)).alias("shots"))
+    return G.resized(c, PAGE, 10, 8, W, H, mean=F.col("shots"))
+
+
 @query(
     "uncovered_regions", "D21 E9 B11", "cell",
     f"""WITH RECURSIVE {COVER}, src AS (SELECT p.page_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM (SELECT DISTINCT page_id FROM cell) p, (SELECT unnest(range({H})) AS y), (SELECT unnest(range({W})) AS x)

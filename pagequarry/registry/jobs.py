@@ -106,6 +106,64 @@ def _(t: Tables):
     return out.select("album_id", "page_id", "status", "error", F.col("photos").cast("string"))
 
 
+# Pages in order of their place in the album: folders missing or empty, pages that fail when run or when printed, pages reprinted or reused.
+_ENTRIES = """b AS (SELECT album_id, page_id, row_number() OVER (PARTITION BY album_id ORDER BY page_id) AS index, priority = '2-HIGH' AND page_id % 3 = 0 AS missing, priority FROM page),
+       k AS (SELECT page_id, sum(bytes) AS total FROM shot GROUP BY page_id),
+       f AS (SELECT b.*, CASE WHEN missing THEN 'folder ''p-' || b.page_id || ''' not found' WHEN k.page_id IS NULL THEN 'no photos in ''p-' || b.page_id || '''' END AS problem, k.total AS bytes FROM b LEFT JOIN k ON k.page_id = b.page_id),
+       r AS (SELECT *, CASE WHEN problem IS NOT NULL THEN 'failed' WHEN priority IN ('1-URGENT', '4-NOT SPECIFIED') THEN 'process' WHEN priority = '3-MEDIUM' THEN 'reprint' ELSE 'reuse' END AS decision FROM f),
+       e AS (SELECT *, CASE WHEN problem IS NOT NULL THEN problem WHEN decision = 'process' AND bytes > 200 THEN 'page too large' WHEN decision IN ('process', 'reprint') AND page_id % 11 = 0 THEN 'ValueError: cannot print' END AS error FROM r),
+       s AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'failed' ELSE CASE decision WHEN 'process' THEN 'ok' WHEN 'reprint' THEN 'reprinted' ELSE 'reused' END END AS status FROM e)"""
+
+
+def _entries(t: Tables, strict: bool):
+    import pandas as pd
+
+    from ..operators.ordered import numbered
+
+    base = numbered(t.page_base(), ["album_id"], ["page_id"], "index").withColumn("folder", F.concat(F.lit("p-"), "page_id"))
+    shot = t.shot().join(base.select("page_id", "album_id", "folder"), "page_id")
+    gone = (F.col("priority") == "2-HIGH") & (F.col("page_id") % 3 == 0)
+    p = RUN.with_problems(base.select("album_id", "page_id", "folder", "index", "priority"), base.filter(~gone), shot)
+    decision = F.when(F.col("problem").isNotNull(), "failed").when(F.col("priority").isin("1-URGENT", "4-NOT SPECIFIED"), "process").when(F.col("priority") == "3-MEDIUM", "reprint").otherwise("reuse")
+    decided = p.select("album_id", "page_id", "folder", "index", "problem", decision.alias("decision"))
+
+    def runner(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bytes"].sum() > 200:
+            raise RuntimeError("page too large")
+        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "photos": [len(pdf)]})
+
+    def printer(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["page_id"].iloc[0] % 11 == 0:
+            raise ValueError("cannot print")
+        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "printed": [True]})
+
+    entries = RUN.run_album(decided, shot.select("page_id", "bytes"), runner, "page_id long, photos long", printer=printer, print_schema="page_id long, printed boolean", strict=strict)
+    return RUN.recorded(entries.select("album_id", "page_id", "folder", F.col("index").cast("bigint").alias("index"), "status", "error"), strict)
+
+
+@query("album_run_entries", "I1 K1 A3", "page shot", "WITH " + _ENTRIES + " SELECT album_id, page_id, index, status, error, CASE WHEN status = 'failed' THEN 'placeholder' ELSE 'print' END || '/p-' || page_id AS image FROM s")
+def _(t: Tables):
+    return _entries(t, False).drop("folder")
+
+
+@query(
+    "album_run_strict", "I1 K1", "page shot",
+    "WITH " + _ENTRIES + """, z AS (SELECT album_id, min(index) AS stop FROM s WHERE status = 'failed' GROUP BY album_id)
+       SELECT s.album_id, page_id, index, CASE WHEN index > stop THEN 'stopped' ELSE status END AS status, CASE WHEN index > stop THEN NULL ELSE error END AS error,
+         CASE WHEN index > stop OR status = 'failed' THEN NULL ELSE 'print/p-' || page_id END AS image FROM s LEFT JOIN z ON z.album_id = s.album_id""",
+)
+def _(t: Tables):
+    return _entries(t, True).drop("folder")
+
+
+@query(
+    "album_run_pdfs", "I1 D8", "page shot",
+    "WITH " + _ENTRIES + " SELECT album_id, string_agg(CASE WHEN status = 'failed' THEN 'placeholder' ELSE 'print' END || '/p-' || page_id, ',' ORDER BY index) AS images, CAST(count(*) AS INTEGER) AS pages FROM s GROUP BY album_id",
+)
+def _(t: Tables):
+    return RUN.pdf_pages(_entries(t, False)).select("album_id", F.array_join("images", ",").alias("images"), "pages")
+
+
 @query(
     "manifest_rejects", "A3 G4", "",
     """SELECT CAST(c_custkey AS VARCHAR) AS album, CASE c_custkey % 5 WHEN 0 THEN 'unknown key(s) colour' WHEN 1 THEN 'page_size: cannot be parsed' WHEN 2 THEN 'folder ''p1'' is listed twice' ELSE 'pages[1]: rotate: not a choice' END AS error
@@ -144,6 +202,39 @@ def _(t: Tables):
     return assess(c, GRID_W, GRID_H, 1000, 800, threshold=0.75, min_region=0.01).warnings
 
 
+# In 128ths and 256ths and with whole weights, so that means are exact in any order.
+_FRACTIONS = """u AS (SELECT page_id, y, x, count(DISTINCT shot) AS shots, CAST(sum((r + 1) * score) AS DOUBLE) / 128 / CAST(sum(r + 1) AS DOUBLE) AS glare, CAST(sum((r + 1) * b) AS DOUBLE) / 256 / CAST(sum(r + 1) AS DOUBLE) AS shadow FROM cell GROUP BY ALL)
+       SELECT page_id, round_even(count(*) / 500.0::DOUBLE, 4) AS covered, round_even(1 - count(*) / 500.0::DOUBLE, 4) AS uncovered, round_even(count(*) FILTER (shots = 1) / count(*), 4) AS single,
+         round_even(count(*) FILTER (glare >= 0.5) / count(*), 4) AS glare, round_even(count(*) FILTER (shadow >= 0.5) / count(*), 4) AS shadow FROM u GROUP BY page_id"""
+
+
+def _assessed(cells):
+    from ..mappings import GRID_H, GRID_W
+    from ..plans.quality import assess
+
+    c = cells.select("page_id", "shot", "y", "x", (F.col("r") + 1).cast("double").alias("weight"), (F.col("score") / 128).alias("glare"), (F.col("b") / 256).alias("shadow"))
+    return assess(c, GRID_W, GRID_H, 1000, 800, threshold=0.5, min_region=0.01)
+
+
+@query("page_quality_fractions", "I2 D16 D17", "cell", "WITH " + _FRACTIONS)
+def _(t: Tables):
+    return _assessed(t.cell()).fractions
+
+
+@query("published_fractions", "I2 A12", "cell", "WITH " + _FRACTIONS)
+def _(t: Tables):
+    # Ready pages as a stream; each trigger's pages are assessed and published as one run.
+    from ..sources.sinks import Published
+    from ..streaming.stateful import work_folder
+
+    ready = t.spark.readStream.schema(t.raw("supplier").schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "supplier.parquet").parquet(t.dir).select(F.col("s_suppkey").alias("page_id"))
+    root = work_folder(t.spark, "published")
+    shelf = Published(t.spark, f"{root}/shelf")
+    shelf.publish_stream(ready, lambda pages: _assessed(t.cell().join(pages, "page_id", "left_semi")).fractions, f"{root}/checkpoint")
+    shelf.compact()
+    return shelf.read().drop("run")
+
+
 @query(
     "page_options", "B24 B23", "",
     """SELECT o_orderkey AS page_id, coalesce(CASE o_orderkey % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'force' END, 'auto') AS curvature, coalesce(CASE WHEN o_custkey % 2 = 0 THEN 'left' END, 'auto') AS binding,

@@ -143,6 +143,29 @@ def _(t: Tables):
     return SH.comparison_shadow(t.cell(), W, H, min_seed=1).select(*AT, F.round("value", 4).alias("value"))
 
 
+# With the glare veto: the other side's score, the largest within the reach (one cell here) of each place.
+VETOED = CUES.replace("FROM zz),", "FROM zzv),").replace("WHEN cov > 1e-12 AND cov >=", "WHEN veto >= 0.3 THEN 0 WHEN cov > 1e-12 AND cov >=").replace(
+    "    mm AS (", f"""    gw AS (SELECT page_id, shot, CAST(y + dy AS INTEGER) AS y, CAST(x + dx AS INTEGER) AS x, max(score) / 100.0::DOUBLE AS wide FROM cell, (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)
+      WHERE abs(dy) + abs(dx) <= 1 AND y + dy BETWEEN 0 AND {H - 1} AND x + dx BETWEEN 0 AND {W - 1} GROUP BY ALL),
+    gc AS (SELECT *, list_sort(list(wide) OVER w) AS v FROM gw SEMI JOIN cell USING (page_id, shot, y, x) WINDOW w AS (PARTITION BY page_id, y, x)),
+    gv AS (SELECT page_id, shot, y, x, CASE WHEN len(v) = 2 THEN CASE WHEN v[1] = wide THEN v[2] ELSE v[1] END ELSE (v[1 + (len(v) - 1) // 2] + v[1 + len(v) // 2]) / 2 END AS veto FROM gc),
+    zzv AS (SELECT zz.*, coalesce(gv.veto, 0) AS veto FROM zz LEFT JOIN gv USING (page_id, shot, y, x)), mm AS (""",
+).replace("SELECT page_id, shot, y, x, depth, least(greatest((depth - 0.12) / 0.1, 0), 1) * m AS cue, least(greatest((depth - 0.04) / 0.1, 0), 1) * m AS cue_grow", "SELECT page_id, shot, y, x, depth, least(greatest((depth - 0.12) / 0.1, 0), 1) * m * (1 - least(greatest(veto, 0), 1)) AS cue, least(greatest((depth - 0.04) / 0.1, 0), 1) * m * (1 - least(greatest(veto, 0), 1)) AS cue_grow")
+
+
+@query(
+    "vetoed_shadow", "I6 H11", "cell",
+    "WITH RECURSIVE " + VETOED + f""", weak AS (SELECT DISTINCT page_id * 8 + shot AS page_id, y, x FROM cu WHERE cue_grow >= 0.3 OR cue >= 0.7), {sql_components('comp', 'weak')},
+      keep AS (SELECT c.page_id, c.component FROM comp c LEFT JOIN cu ON cu.page_id * 8 + cu.shot = c.page_id AND cu.y = c.y AND cu.x = c.x GROUP BY ALL HAVING count(*) >= 0.002 * {W * H} AND max(cu.cue) >= 0.7)
+      SELECT c.page_id // 8 AS page_id, CAST(c.page_id % 8 AS INTEGER) AS shot, c.y, c.x, round(greatest(cu.cue, cu.cue_grow), 4) AS value FROM comp c JOIN keep k ON k.page_id = c.page_id AND k.component = c.component
+      JOIN cu ON cu.page_id * 8 + cu.shot = c.page_id AND cu.y = c.y AND cu.x = c.x""",
+)
+def _(t: Tables):
+    cells = t.cell()
+    glare = cells.select(*AT, (F.col("score") / 100).alias("score"))
+    return SH.comparison_shadow(cells, W, H, glare=glare, min_seed=1).select(*AT, F.round("value", 4).alias("value"))
+
+
 @query(
     "reported_shadow", "I7", "cell",
     f"""WITH RECURSIVE n AS (SELECT page_id * 8 + shot AS page_id, y, x, score, b, count(*) OVER (PARTITION BY page_id, y, x) AS c FROM cell),

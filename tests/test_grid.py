@@ -1,5 +1,7 @@
 """Grid neighbourhoods, components and regions against array brute force and known cases."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,35 @@ def test_detection_finds_a_planted_veil(spark):
     cells = spark.createDataFrame([(1, 0, y, x, *[int(v) for v in img[y, x]]) for y in range(h) for x in range(w)], "page_id int, shot int, y int, x int, b int, g int, r int")
     hit = _array(GL.detect(cells, w, h, min_seed=3).filter("glare > 0"), (h, w))
     assert hit[20:23, 30:33].all() and hit.sum() < 60
+
+
+def test_disk_maxima_equal_the_whole_ellipse(spark):
+    r = random.Random(3)
+    w, h = 23, 17
+    cells = [(k, y, x, r.randrange(100)) for k in range(2) for y in range(h) for x in range(w) if r.random() < 0.25] + [(0, 0, 0, 7), (0, 0, 0, 3)]
+    df = spark.createDataFrame(cells, "k int, y int, x int, v int")
+    for radius in (1, 2, 5, 40):
+        want = {}
+        for k, y, x, v in cells:
+            for dy, wide in G.disk_offsets(radius):
+                for xx in range(max(0, x - wide), min(w, x + wide + 1)):
+                    if 0 <= y + dy < h:
+                        want[k, y + dy, xx] = max(v, want.get((k, y + dy, xx), -1))
+        assert {(c.k, c.y, c.x): c.top for c in G.local_max_disk(df, ["k"], "v", radius, w, h, "top").collect()} == want
+
+
+def test_area_averages_for_any_factor(spark):
+    r = random.Random(4)
+    gw, gh = 11, 7
+    cells = {(y, x): r.randrange(1, 50) for y in range(gh) for x in range(gw) if r.random() < 0.7}
+    df = spark.createDataFrame([(1, y, x, v) for (y, x), v in cells.items()], "k int, y int, x int, v int")
+    for nw, nh in ((11, 7), (4, 3), (5, 2), (1, 1), (10, 6)):
+        want = {}
+        for j in range(nh):
+            for i in range(nw):
+                area = lambda lo, hi, at: max(0.0, min(hi, at + 1) - max(lo, at))
+                terms = [(v, area(i * gw / nw, (i + 1) * gw / nw, x) * area(j * gh / nh, (j + 1) * gh / nh, y)) for (y, x), v in cells.items()]
+                if any(a > 1e-9 for _, a in terms):
+                    want[j, i] = sum(v * a for v, a in terms) / (gw / nw * gh / nh)
+        got = {(c.y, c.x): c.mean for c in G.resized(df, ["k"], nw, nh, gw, gh, mean=F.col("v")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -181,3 +181,66 @@ def test_album_reports_are_one_row_an_album(spark, tmp_path):
     rows = {r.album_id: r for r in spark.read.json(str(tmp_path / "reports")).collect()}
     assert sorted(rows) == ["a", "b"] and [x.page_id for x in rows["a"].pages] == ["p1", "p2"]
     assert (rows["a"].pages_found, rows["a"].pages_ok, rows["a"].pages_failed, rows["a"].pdf_pages) == (2, 1, 1, 1)
+
+
+def test_published_batches_again_and_compacted(spark, tmp_path):
+    pub = sinks.Published(spark, str(tmp_path / "pub"))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "page_id int")
+    make = lambda v: lambda pages: pages.withColumn("v", F.lit(v))
+    now = lambda: sorted((r.page_id, r.v, r.run) for r in pub.read().collect())
+    pub.compact()  # nothing there yet
+    pub.publish(ids(1, 2, 2), 0, make("a"))
+    pub.publish(ids(2, 3), 1, make("b"))
+    want = [(1, "a", "batch-0"), (2, "b", "batch-1"), (3, "b", "batch-1")]
+    assert now() == want
+    pub.publish(ids(2, 3), 1, make("b"))  # the batch done again
+    pub.publish(ids(), 2, make("c"))
+    assert now() == want
+    pub.compact()
+    pub.compact()
+    assert now() == want and pub._generation() == 2
+    pub.publish(ids(1), 3, make("d"))
+    assert now() == [(1, "d", "batch-3"), *want[1:]]
+    ready = tmp_path / "ready"
+    ids(3, 4).coalesce(1).write.json(str(ready))
+    stream = spark.readStream.schema("page_id int").json(str(ready))
+    fresh = sinks.Published(spark, str(tmp_path / "stream"))
+    for _ in range(2):  # a restart finds nothing new
+        fresh.publish_stream(stream, make("s"), str(tmp_path / "checkpoint"))
+    assert [(r.page_id, r.v) for r in fresh.read().orderBy("page_id").collect()] == [(3, "s"), (4, "s")]
+
+
+def test_strict_runs_stop_and_others_show_placeholders(spark):
+    import pandas as pd
+
+    rows = [("a", i, f"f{i}", i, "no photos" if i == 4 else None, "failed" if i == 4 else "reprint" if i == 2 else "process") for i in range(1, 7)] + [("b", 11, "g", 1, None, "reuse"), ("c", 12, "h", 1, "no photos", "failed")]
+    decided = spark.createDataFrame(rows, "album_id string, page_id long, folder string, index long, problem string, decision string")
+    photos = spark.createDataFrame([(i, k) for i in range(1, 13) for k in range(2)], "page_id long, k int")
+
+    def runner(pdf):
+        if pdf["page_id"].iloc[0] == 3:
+            raise RuntimeError("blurred")
+        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "n": [len(pdf)]})
+
+    def printer(pdf):
+        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "from": [pdf["decision"].iloc[0]]})
+
+    def entries(strict, placeholder=True):
+        e = RUN.run_album(decided, photos, runner, "page_id long, n long", printer=printer, print_schema="page_id long, from string", strict=strict)
+        return {r.page_id: (r.status, r.error, r.image, r["from"]) for r in RUN.recorded(e, strict, placeholder).collect()}, RUN.recorded(e, strict, placeholder)
+
+    got, table = entries(False)
+    assert got[1] == ("ok", None, "print/f1", "process") and got[2] == ("reprinted", None, "print/f2", "reprint") and got[3] == ("failed", "blurred", "placeholder/f3", None)
+    assert got[4] == ("failed", "no photos", "placeholder/f4", None) and got[11] == ("reused", None, "print/g", None)
+    assert {r.album_id: (r.images, r.pages) for r in RUN.pdf_pages(table).collect()}["a"] == (["print/f1", "print/f2", "placeholder/f3", "placeholder/f4", "print/f5", "print/f6"], 6)
+    strict, table = entries(True)
+    assert strict[2][0] == "reprinted" and strict[3] == ("failed", "blurred", None, None) and all(strict[i] == ("stopped", None, None, None) for i in (4, 5, 6))
+    assert {r.album_id for r in RUN.pdf_pages(table).collect()} == {"a", "b"}
+    assert {r.album_id: (r.page_id, r.error) for r in RUN.first_failure(spark.createDataFrame([("a", 3, 3, "failed", "x"), ("a", 4, 4, "failed", "y")], "album_id string, page_id long, index long, status string, error string")).collect()} == {"a": (3, "x")}
+    assert entries(False, placeholder=False)[0][3] == ("failed", "blurred", None, None)
+
+
+def test_missing_and_empty_folders_are_problems(spark):
+    pages = spark.createDataFrame([("a", "p1"), ("a", "p2"), ("a", "p3")], "album_id string, folder string")
+    found = RUN.with_problems(pages, pages.limit(2), pages.limit(1).unionAll(pages.limit(1)))
+    assert {r.folder: r.problem for r in found.collect()} == {"p1": None, "p2": "no photos in 'p2'", "p3": "folder 'p3' not found"}
