@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import PIECE, by_text, pieces, worker_store
+from .common import PIECE, by_text, pieces
 
 #: Encoded chunks that a worker remembers; beyond it the store starts anew.
 REMEMBERED = 300_000
@@ -256,11 +256,8 @@ class Encoder:
 
 def _encoder(path: str | None) -> Callable[[], Encoder]:
     def make() -> Encoder:
-        kept = worker_store("bpe")
-        name = path or default_vocabulary()
-        if name not in kept:
-            kept[name] = Encoder(WordBPE(name))
-        return kept[name]
+        """Made anew in each task (a third of a second), so that an idle worker holds none."""
+        return Encoder(WordBPE(path or default_vocabulary()))
 
     return make
 
