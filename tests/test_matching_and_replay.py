@@ -1,5 +1,8 @@
 """Match trees, replays and their summaries on known cases."""
 
+import math
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -81,3 +84,16 @@ def test_bent_chain_is_pieced_together(spark):
     seg = spark.createDataFrame([(1, 0, 0.0, 0.0, 50.0, 0.0), (1, 1, 52.0, 0.0, 100.0, 2.0), (1, 2, 0.0, 30.0, 100.0, 30.0), (1, 3, 100.0, 31.0, 0.0, 31.0)], "page_id int, seg int, x1 double, y1 double, x2 double, y2 double")
     ch = {r.seg: r.chain for r in MA.chains(seg, 6, 4.0, 1.5).collect()}
     assert ch == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_nearest_in_plane_is_exact(spark):
+    r = random.Random(5)
+    rows = [("a", i, r.random(), r.random()) for i in range(150)] + [("a", 150 + i, 5 + r.random() / 100, 5 + r.random() / 100) for i in range(60)] + [("a", 300 + i, 0.5, 0.5) for i in range(12)]
+    rows += [("b", i, float(i), 0.0) for i in range(30)] + [("c", i, 1.0, 1.0) for i in range(5)] + [("d", 0, 2.0, 3.0), ("e", 0, 0.0, 0.0), ("e", 1, 1e6, 1e6), ("e", 2, 1e-6, 0.0)]
+    df = spark.createDataFrame(rows, "page string, point long, x double, y double")
+    for k in (1, 4, 9):
+        want = {}
+        for page, p, x, y in rows:
+            want[page, p] = sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), q) for g, q, u, v in rows if g == page)[:k]
+        got = {(n.page, n.point): [(m.d, m.other) for m in n.near] for n in MA.nearest_in_plane(df, ["page"], k).collect()}
+        assert got == want
