@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pages import shot_box, shot_box_points
 from ..limits import GLARE_SEEN, MIN_REGION_AREA, MIN_SINGLE_AREA, RESIDUAL_THRESHOLD
 from ..operators import fusion as FU
 from ..operators import regions as R
@@ -77,3 +78,47 @@ def assess(
         part = df.select(*KEY, F.lit(at).alias("ord"), F.lit(code).alias("code"), "message")
         warnings = part if warnings is None else warnings.unionByName(part)
     return Quality(fractions, per_shot, regions, warnings)
+
+
+def with_shot_boxes(regions: DataFrame, mappers: DataFrame) -> DataFrame:
+    """``regions`` with ``shot_boxes``: for each shot of the page into which a region's box falls, the box there in pixels.
+
+    ``mappers`` is (page_id, shot, h, width, height): the homography from the page to a used shot (nine numbers, row
+    by row) and the shot's size. A page has at most a few dozen shots.
+    """
+    at = [*KEY, "kind", "ord"]
+    h = [F.get("h", F.lit(i)) for i in range(9)]
+    j = regions.select(*at, "px0", "py0", "px1", "py1").join(mappers, KEY)
+    j = j.withColumn("_p", shot_box_points(F.col("px0"), F.col("py0"), F.col("px1"), F.col("py1"), h)).withColumn("_box", shot_box(F.col("_p"), F.col("width"), F.col("height")))
+    boxes = j.filter("_box IS NOT NULL").groupBy(*at).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("shot", "_box")))).alias("shot_boxes"))
+    return regions.join(boxes, at, "left").withColumn("shot_boxes", F.coalesce("shot_boxes", F.create_map().cast("map<int,array<int>>")))
+
+
+def payloads(q: Quality, mappers: DataFrame | None = None, glare_seen: float = GLARE_SEEN) -> DataFrame:
+    """The page's warnings with all they carry, one row a warning: code, message, fraction, counts, locations and regions.
+
+    ``single_shot`` counts the regions that one photo alone saw, ``all_shots`` the others (glare and shadow only);
+    ``location`` is the largest region's, ``locations`` lists all of them, largest first (coverage only). A region has
+    its box in page fractions and pixels, its place, shots, cause, edges, its box in each shot, and the glare seen in
+    it; what a region doesn't know is null. ``glare_seen_regions`` counts those with enough of it, if anyone looked.
+    """
+    regions = q.regions.withColumn("shot_boxes", F.lit(None).cast("map<int,array<int>>")) if mappers is None else with_shot_boxes(q.regions, mappers)
+    one = F.struct(
+        "ord", F.array("fx0", "fy0", "fx1", "fy1").alias("bbox"), F.array("px0", "py0", "px1", "py1").alias("bbox_px"), "location", "shots", "cause", "edges", "shot_boxes", "glare_seen"
+    )
+    seen = F.col("glare_seen") >= glare_seen
+    g = regions.withColumn("_r", one).withColumn("_o", F.col("ord")).groupBy(*KEY, "kind").agg(
+        F.count_if(F.col("cause") == "single_shot").alias("_single"), F.count(F.lit(1)).alias("_n"), F.min_by("location", "ord").alias("_largest"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("_o"), F.col("_r")))).alias("_by"), F.array_sort(F.collect_list("_o")).alias("_ords"),
+        F.count("glare_seen").alias("_looked"), F.count_if(F.coalesce(seen, F.lit(False))).alias("_seen"),
+    )
+    kinds = {"glare": "glare", "shadow": "shadow", "incomplete_coverage": "uncovered", "single_coverage": "single"}
+    share = F.coalesce(*[F.when(F.col("kind") == k, F.col(c)) for k, c in kinds.items()])
+    lit = F.col("kind").isin("glare", "shadow")
+    rows = F.transform("_ords", lambda o: F.col("_by")[o])
+    body = g.join(q.fractions, KEY).select(
+        *KEY, F.col("kind").alias("code"), share.alias("fraction"), F.when(lit, F.col("_single")).alias("single_shot"), F.when(lit, F.col("_n") - F.col("_single")).alias("all_shots"),
+        F.when(lit, F.col("_largest")).alias("location"), F.when(~lit, F.transform(rows, lambda r: r["location"])).alias("locations"), rows.alias("regions"),
+        F.when((F.col("kind") == "single_coverage") & (F.col("_looked") > 0), F.col("_seen")).alias("glare_seen_regions"),
+    )
+    return q.warnings.join(body, [*KEY, "code"], "left")

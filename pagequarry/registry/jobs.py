@@ -10,6 +10,7 @@ from ..plans import album_run as RUN
 from ..plans import upkeep as UP
 from ..sources.inventory import roles
 from . import query
+from .grid import sql_regions
 
 
 def _files(t: Tables):
@@ -221,6 +222,37 @@ def _(t: Tables):
     return _assessed(t.cell()).fractions
 
 
+@query(
+    "glare_payloads", "I2 B13 B17 D22", "cell",
+    f"""WITH RECURSIVE u AS (SELECT page_id, y, x, count(DISTINCT shot) AS shots, CAST(sum((r + 1) * score) AS DOUBLE) / 128 / CAST(sum(r + 1) AS DOUBLE) AS glare FROM cell GROUP BY ALL),
+        src AS (SELECT page_id, y, x FROM u WHERE glare >= 0.5), {sql_regions('src', 0.01)},
+        why AS (SELECT rc.page_id, rc.component, count(*) FILTER (shots = 1) > 0.5 * count(*) AS single FROM rc LEFT JOIN u ON u.page_id = rc.page_id AND u.y = rc.y AND u.x = rc.x GROUP BY ALL),
+        who AS (SELECT page_id, component, string_agg(CAST(shot AS VARCHAR), ',' ORDER BY shot) AS seen_by FROM (SELECT DISTINCT rc.page_id, rc.component, c.shot FROM rc JOIN cell c ON c.page_id = rc.page_id AND c.y = rc.y AND c.x = rc.x) GROUP BY ALL),
+        px AS (SELECT page_id, component, x0 * 40 AS a, y0 * 40 AS b, x1 * 40 AS c, y1 * 40 AS d FROM rs), k AS (SELECT unnest(range(9)) / 8.0::DOUBLE AS v),
+        o AS (SELECT page_id, component, a + v * (c - a) AS x, b::DOUBLE AS y FROM px, k UNION ALL SELECT page_id, component, a + v * (c - a), d FROM px, k UNION ALL SELECT page_id, component, a, b + v * (d - b) FROM px, k UNION ALL SELECT page_id, component, c, b + v * (d - b) FROM px, k),
+        m AS (SELECT o.page_id, component, shot, (x - 20.0::DOUBLE * shot) / (0.0001::DOUBLE * shot * x + 1) AS mx, (y - 10.0::DOUBLE * shot) / (0.0001::DOUBLE * shot * x + 1) AS my FROM o JOIN (SELECT DISTINCT page_id, shot FROM cell) s ON s.page_id = o.page_id),
+        g AS (SELECT page_id, component, shot, CAST(greatest(floor(min(mx)), 0) AS INTEGER) AS a, CAST(greatest(floor(min(my)), 0) AS INTEGER) AS b, CAST(least(ceil(max(mx)), 699) AS INTEGER) AS c, CAST(least(ceil(max(my)), 499) AS INTEGER) AS d FROM m GROUP BY ALL),
+        bx AS (SELECT page_id, component, string_agg(concat(shot, ':', a, ',', b, ',', c, ',', d), ' ' ORDER BY shot) AS boxes FROM g WHERE c > a AND d > b GROUP BY ALL),
+        one AS (SELECT rs.page_id, row_number() OVER (PARTITION BY rs.page_id ORDER BY pixels DESC, y0, x0, rs.component) AS ord, single, location,
+          concat_ws('/', concat_ws(',', px.a, px.b, px.c, px.d), location, CASE WHEN single THEN 'single_shot' ELSE 'all_shots_glared' END, coalesce(seen_by, ''), coalesce(boxes, '')) AS t
+          FROM rs JOIN px ON px.page_id = rs.page_id AND px.component = rs.component JOIN why ON why.page_id = rs.page_id AND why.component = rs.component LEFT JOIN who ON who.page_id = rs.page_id AND who.component = rs.component LEFT JOIN bx ON bx.page_id = rs.page_id AND bx.component = rs.component)
+        SELECT one.page_id, min(f.fraction) AS fraction, count(*) FILTER (single) AS single_shot, count(*) FILTER (NOT single) AS all_shots, min_by(location, ord) AS location, string_agg(t, '|' ORDER BY ord) AS regions
+        FROM one JOIN (SELECT page_id, round_even(count(*) FILTER (glare >= 0.5) / count(*), 4) AS fraction FROM u GROUP BY page_id) f ON f.page_id = one.page_id GROUP BY one.page_id""",
+)
+def _(t: Tables):
+    # Shots lie a little off the page's frame and are seen at a slant.
+    from ..plans.quality import payloads
+
+    n = F.col("shot").cast("double")
+    h = F.array(F.lit(1.0), F.lit(0.0), -20.0 * n, F.lit(0.0), F.lit(1.0), -10.0 * n, 0.0001 * n, F.lit(0.0), F.lit(1.0))
+    mappers = t.cell().select("page_id", "shot").distinct().select("page_id", "shot", h.alias("h"), F.lit(700).alias("width"), F.lit(500).alias("height"))
+    text = lambda c: F.transform(c, lambda v: v.cast("string"))
+    boxes = lambda r: F.array_join(F.transform(F.array_sort(F.map_keys(r["shot_boxes"])), lambda s: F.concat(s.cast("string"), F.lit(":"), F.array_join(text(r["shot_boxes"][s]), ","))), " ")
+    region = lambda r: F.concat_ws("/", F.array_join(text(r["bbox_px"]), ","), r["location"], r["cause"], F.array_join(text(r["shots"]), ","), boxes(r))
+    p = payloads(_assessed(t.cell()), mappers).filter("code = 'glare'")
+    return p.select("page_id", "fraction", "single_shot", "all_shots", "location", F.array_join(F.transform("regions", region), "|").alias("regions"))
+
+
 @query("published_fractions", "I2 A12", "cell", "WITH " + _FRACTIONS)
 def _(t: Tables):
     # Ready pages as a stream; each trigger's pages are assessed and published as one run.

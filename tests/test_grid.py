@@ -184,3 +184,26 @@ def test_area_averages_for_any_factor(spark):
                     want[j, i] = sum(v * a for v, a in terms) / (gw / nw * gh / nh)
         got = {(c.y, c.x): c.mean for c in G.resized(df, ["k"], nw, nh, gw, gh, mean=F.col("v")).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_payloads_carry_regions_and_boxes(spark):
+    from pagequarry.plans.quality import assess, payloads
+
+    w, h = 20, 16
+    cells = [(1, s, y, x, 1.0, 0.9 if y < 6 and x < 6 and s == 1 else 0.0, 0.0) for s in (1, 2) for y in range(h) for x in range(w) if not (x >= 14 and s == 2) and y < 12 and not (s == 2 and y < 6 and x < 6)]
+    df = spark.createDataFrame(cells, "page_id int, shot int, y int, x int, weight double, glare double, shadow double")
+    mappers = spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], 200, 160), (1, 2, [1.0, 0.0, -500.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], 200, 160)], "page_id int, shot int, h array<double>, width int, height int")
+    dropped = spark.createDataFrame([(1, 3)], "page_id int, photo int")
+    q = assess(df, w, h, 200, 160, dropped=dropped, threshold=0.5, min_region=0.01, min_single=0.01)
+    got = {r.code: r for r in payloads(q, mappers).collect()}
+    assert set(got) == {"glare", "incomplete_coverage", "single_coverage", "photos_dropped"}
+    glare = got["glare"]
+    assert (glare.single_shot, glare.all_shots, glare.location, glare.locations) == (1, 0, "top-left", None)
+    box = glare.regions[0]
+    assert box.bbox_px[:2] == [0, 0] and set(box.shot_boxes) == {1} and box.shot_boxes[1] == box.bbox_px and box.cause == "single_shot" and list(box.shots) == [1]
+    gap = got["incomplete_coverage"]
+    assert gap.locations == ["bottom"] and gap.fraction == 0.25 and gap.single_shot is None and gap.regions[0].edges == ["right", "bottom", "left"]
+    one = got["single_coverage"]
+    assert len(one.regions) == 2 and one.glare_seen_regions == 1 and [r.location for r in one.regions] == one.locations
+    assert got["photos_dropped"].regions is None and got["photos_dropped"].message.startswith("Photo 3")
+    assert all(r.shot_boxes is None for p in payloads(q).collect() for r in p.regions or [])
