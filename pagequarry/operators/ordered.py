@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ..session import ensure_checkpoint_dir
 
@@ -30,12 +31,22 @@ def _hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | No
     return None if hot.isEmpty() else hot
 
 
+def _with_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` in which nulls are equal; the keys stay those of ``left``."""
+    named = right.select(*[F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(F.col(f"_key_{k}"))
+    return left.join(named, on, how).drop(*[f"_key_{k}" for k in keys])
+
+
 class OrderedGroups:
     """Rows of ``df`` ordered by ``order`` inside the groups given by ``keys``.
 
     ``order`` must be total inside a group (end it with a unique column) for
-    results to be reproducible. Keys must not be null in hot groups. Groups are
-    counted on ``census`` where given: a cheaper table with at least as many
+    results to be reproducible. A null key is a group like others, hot or not.
+    Sums are of whole numbers or decimals only, so they don't depend on where a
+    group is cut. Groups are counted on ``census`` where given: a cheaper table with at least as many
     rows of every key, such as the base table before joins.
     """
 
@@ -45,12 +56,12 @@ class OrderedGroups:
         self.split = hot is not None
         if self.split:
             ensure_checkpoint_dir(df.sparkSession)
-            rows = df.join(hot, keys, "left_semi").sort(*[F.col(k) for k in keys], *self.order)
+            rows = _with_keys(df, hot, keys, "left_semi").sort(*[F.col(k) for k in keys], *self.order)
             rows = rows.withColumn(_POS, F.monotonically_increasing_id()).checkpoint()
             # The upper bits of the position are the sort partition it was written from.
             rows = rows.withColumn(_CHUNK, F.shiftright(_POS, 33))
             self._hot = rows
-            self._cold = df.join(hot, keys, "left_anti")
+            self._cold = _with_keys(df, hot, keys, "left_anti")
         else:
             self._cold = df
 
@@ -73,13 +84,16 @@ class OrderedGroups:
             return cold
         sizes = self._hot.groupBy(*self.keys, _CHUNK).agg(F.count(F.lit(1)).alias("_size"))
         carry = sizes.select(*self.keys, _CHUNK, F.coalesce(F.sum("_size").over(self._carry_window()), F.lit(0)).alias("_before"))
-        hot = self._hot.join(carry, [*self.keys, _CHUNK])
+        hot = _with_keys(self._hot, carry, [*self.keys, _CHUNK])
         hot = hot.withColumn(name, F.row_number().over(self._chunk_window()) + F.col("_before"))
         return self._merge(cold, hot)
 
     def running(self, **specs: tuple[str, Column]) -> DataFrame:
         """Running ``sum``, ``max`` or ``min`` up to and including each row: ``name=("sum", column)``."""
         fns = {"sum": F.sum, "max": F.max, "min": F.min}
+        for name, (how, col) in specs.items():
+            if how == "sum" and isinstance(self._cold.select(col).schema[0].dataType, (DoubleType, FloatType)):
+                raise ValueError(f"{name}: sums of doubles depend on their order; use whole numbers or decimals")
         w = self._cold_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cold = self._cold
         for name, (how, col) in specs.items():
@@ -91,7 +105,7 @@ class OrderedGroups:
             hot = hot.withColumn(f"_in_{name}", col)
         totals = hot.groupBy(*self.keys, _CHUNK).agg(*[fns[how](f"_in_{name}").alias(f"_tot_{name}") for name, (how, _) in specs.items()])
         carry = totals.select(*self.keys, _CHUNK, *[fns[how](f"_tot_{name}").over(self._carry_window()).alias(f"_tot_{name}") for name, (how, _) in specs.items()])
-        hot = hot.join(carry, [*self.keys, _CHUNK])
+        hot = _with_keys(hot, carry, [*self.keys, _CHUNK])
         cw = self._chunk_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         for name, (how, _) in specs.items():
             here, before = fns[how](f"_in_{name}").over(cw), F.col(f"_tot_{name}")
@@ -119,7 +133,7 @@ class OrderedGroups:
         ends = hot.groupBy(*self.keys, _CHUNK).agg((F.max_by if by < 0 else F.min_by)(edge, F.col(_POS)).alias("_edge"))
         near = Window.partitionBy(*self.keys).orderBy(_CHUNK)
         ends = ends.select(*self.keys, _CHUNK, step("_edge").over(near).alias("_edge"))
-        hot = hot.join(ends, [*self.keys, _CHUNK])
+        hot = _with_keys(hot, ends, [*self.keys, _CHUNK])
         cw = self._chunk_window()
         at_end = step(F.lit(1)).over(cw).isNull()
         for name in cols:

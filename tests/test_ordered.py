@@ -1,7 +1,9 @@
 """The split path for huge groups gives what a plain window gives."""
 
 import random
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.operators.ordered import OrderedGroups, quantile_by_index
@@ -52,3 +54,16 @@ def test_quantile_by_index_with_a_hot_group(spark):
     for k, o, *_ in rows:
         by.setdefault(k, []).append(o)
     assert got == {k: sorted(v)[(len(v) - 1) // 2] for k, v in by.items()}
+
+
+def test_null_keys_and_decimals_in_hot_groups(spark):
+    rows = [(None if i % 2 else i % 5, None if i % 3 else "x", i, Decimal(i % 17) / 8) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, j string, u int, v decimal(10,3)").repartition(4)
+    plain, split = (OrderedGroups(df, ["k", "j"], ["u"], limit) for limit in (10_000, 30))
+    assert split.split and not plain.split
+    key = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
+    assert key(plain.number("n")) == key(split.number("n"))
+    assert key(plain.running(s=("sum", F.col("v")), m=("min", F.col("v")))) == key(split.running(s=("sum", F.col("v")), m=("min", F.col("v"))))
+    assert key(plain.shifted(-1, p=F.col("u"))) == key(split.shifted(-1, p=F.col("u")))
+    with pytest.raises(ValueError):
+        plain.running(s=("sum", F.col("v").cast("double")))
