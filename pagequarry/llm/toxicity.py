@@ -1,8 +1,9 @@
 """Operator 4: toxicity by class-conditional Kneser-Ney models over shared backoff counts.
 
-Texts are read as strings over 32 symbols: white space, the 26 letters (accents off), digits, marks, and three
-classes for other scripts. So there are at most 2**25 five-grams, whatever the corpus: the counts, gathered by
-Spark over every labelled row to learn from, have a proven bound and may be sent to all executors.
+Texts are read as strings over 32 symbols: white space, the 26 letters (accents off; letters of other scripts are
+dealt to them by a hash of the character), digits and marks. So there are at most 2**25 five-grams, whatever the
+corpus. Beside them stand whole words of any script, by their true characters, in 2**20 buckets. The counts, gathered
+by Spark over every labelled row to learn from, have a proven bound and may be sent to all executors.
 """
 
 from __future__ import annotations
@@ -17,16 +18,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Sent, by_text, slices, worker_store
+from .common import PIECE, Sent, by_text, slices, worker_store
 from .labelled import Logistic, fit_logistic, held_out, sample, training_labels, with_labels
+from .words import mixed, run_hashes
 
 ORDER, BITS = 5, 5
 SYMBOLS, GRAMS, CONTEXTS = 1 << BITS, 1 << ORDER * BITS, 1 << (ORDER - 1) * BITS
-SPACE, DIGIT, MARK, OTHER = 0, 27, 28, 29
+SPACE, DIGIT, MARK = 0, 27, 28
+#: Buckets of whole words; in the table of counts they follow the five-grams.
+WORDS = 1 << 20
+#: What each word's count in a class gives up to the shared model: words seen less often say nothing of the class.
+WORD_DISCOUNT = 2.0
 #: The bound of the calibration's fit: labelled rows of each class.
 CURVE_ROWS, ASIDE = 6000, 5
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-FEATURES = 5
+FEATURES = 8
+
+
+def _dealt(code):
+    """A letter for a letter of another script."""
+    return (code * 2654435761 & 0xFFFFFFFF) // 65536 % 26 + 1
 
 
 def _symbol(c: str) -> int:
@@ -35,24 +46,45 @@ def _symbol(c: str) -> int:
     base = unicodedata.normalize("NFKD", c.lower())[:1]
     if "a" <= base <= "z":
         return ord(base) - 96
-    return DIGIT if c.isdigit() else OTHER + ord(c) % 3 if c.isalpha() else MARK
+    return DIGIT if c.isdigit() else _dealt(ord(c)) if c.isalpha() else MARK
 
 
 class Reader:
-    """Texts as five-gram numbers."""
+    """Texts as five-gram numbers, and as buckets of words (runs of letters)."""
 
     def __init__(self):
-        self.low = np.array([_symbol(chr(i)) for i in range(0x250)], np.uint32)
-
-    def symbols(self, text: str) -> np.ndarray:
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        return np.where(code < 0x250, self.low[np.minimum(code, 0x24F)], OTHER + code % 3)
+        self.low = np.array([_symbol(chr(i)) if not 0xD800 <= i < 0xE000 else MARK for i in range(0x10000)], np.uint32)
+
+    def symbols(self, code: np.ndarray) -> np.ndarray:
+        beyond = np.where((code >= 0x1F000) & (code < 0x20000), MARK, _dealt(code.astype(np.int64)))  # pictures, else letters
+        return np.where(code < 0x10000, self.low[np.minimum(code, 0xFFFF)], beyond).astype(np.uint32)
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of all words, and how many each text has."""
+        codes = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+        found, counts = [], np.zeros(len(texts), np.int64)
+        start = 0
+        while start < len(texts):  # a few texts at a time: positions within one run of sums stay small
+            stop, size = start + 1, len(codes[start])
+            while stop < len(texts) and size + len(codes[stop]) < PIECE // 4:
+                size, stop = size + len(codes[stop]) + 1, stop + 1
+            gap = np.zeros(1, np.uint32)
+            code = np.concatenate([x for c in codes[start:stop] for x in (c, gap)])
+            symbol = self.symbols(code)
+            letter = np.concatenate([[False], (symbol >= 1) & (symbol <= 26) & (code > 0), [False]])
+            edge = np.flatnonzero(letter[1:] != letter[:-1])
+            first, last = edge[::2], edge[1::2]
+            found.append(run_hashes(mixed(code.astype(np.uint64)), first, last) % np.uint64(WORDS))
+            ends = np.cumsum([len(c) + 1 for c in codes[start:stop]])
+            counts[start:stop] = np.diff(np.concatenate([[0], np.searchsorted(first, ends)]))
+            start = stop
+        return (np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)), counts
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The five-grams that end in each symbol of each text and in the space after it; last symbols; text starts."""
         pad, parts, ends = np.zeros(ORDER - 1, np.uint32), [], []
         for t in texts:
-            s = self.symbols(t)
+            s = self.symbols(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4"))
             parts += [pad, s, pad[:1]]
             ends.append(len(s) + 1)
         if not parts:
@@ -70,7 +102,8 @@ class Reader:
 
 
 def gram_counts(learn: DataFrame) -> DataFrame:
-    """(gram, toxic, ordinary, toxic_rest, ordinary_rest): how often each five-gram stands in the texts of either class.
+    """(gram, toxic, ordinary, toxic_rest, ordinary_rest): how often each five-gram stands in the texts of either class,
+    and each bucket of words (numbers from ``GRAMS`` on).
 
     Over all of ``learn`` (text, y, aside), and over its rows that aren't put aside for the curve.
     """
@@ -83,8 +116,8 @@ def gram_counts(learn: DataFrame) -> DataFrame:
                 texts, y, aside = (c.to_pylist() for c in part.columns)
                 counts = []
                 for label, rest in ((1, False), (0, False), (1, True), (0, True)):
-                    grams, _, _ = read([t for t, k, a in zip(texts, y, aside, strict=True) if t and k == label and not (rest and a)])
-                    counts.append(np.unique(grams, return_counts=True))
+                    own = [t for t, k, a in zip(texts, y, aside, strict=True) if t and k == label and not (rest and a)]
+                    counts.append(np.unique(np.concatenate([read(own)[0].astype(np.int64), read.words(own)[0] + GRAMS]), return_counts=True))
                 seen = np.unique(np.concatenate([g for g, _ in counts]))
                 columns = []
                 for grams, n in counts:
@@ -102,11 +135,14 @@ def _discount(counts: np.ndarray) -> float:
     return float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one else 0.5
 
 
-def _smoothed(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probabilities of (contexts, symbols) counts over a lower distribution of the same shape."""
-    d, total, kinds = _discount(counts), counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+def _smoothed(counts: np.ndarray, lower: np.ndarray, d: float | None = None) -> np.ndarray:
+    """Kneser-Ney probabilities of (contexts, symbols) counts over a lower distribution of the same shape.
+
+    Each count gives up ``d`` (as estimated from rare counts if none is given), all of it if it is less.
+    """
+    d, total = _discount(counts) if d is None else d, counts.sum(1, keepdims=True)
     safe = np.maximum(total, 1)
-    return np.where(total > 0, np.maximum(counts - d, 0) / safe + d * kinds / safe * lower, lower)
+    return np.where(total > 0, np.maximum(counts - d, 0) / safe + np.minimum(counts, d).sum(1, keepdims=True) / safe * lower, lower)
 
 
 @dataclass(frozen=True)
@@ -125,21 +161,23 @@ class ToxicityModel:
         different symbols that stand before each shorter gram.
         """
         lower = np.full((1, SYMBOLS), 1 / SYMBOLS)
-        kinds, levels = self.grams, []
+        end = np.searchsorted(self.grams, GRAMS)
+        grams, toxic, ordinary = self.grams[:end], self.toxic[:end], self.ordinary[:end]
+        kinds, levels = grams, []
         for k in range(ORDER - 1, 0, -1):  # distinct grams of k symbols after any symbol
             ends = kinds & ((1 << BITS * k) - 1)
             levels.append(np.bincount(ends, minlength=1 << BITS * k).astype(float).reshape(-1, SYMBOLS))
             kinds = np.unique(ends)
         for counts in reversed(levels):  # contexts of k symbols extend those of k - 1 to the left
             lower = _smoothed(counts, np.tile(lower, (counts.shape[0] // lower.shape[0], 1)))
-        context = np.unique(self.grams >> BITS)
-        at = np.searchsorted(context, self.grams >> BITS) * SYMBOLS + (self.grams & (SYMBOLS - 1))
+        context = np.unique(grams >> BITS)
+        at = np.searchsorted(context, grams >> BITS) * SYMBOLS + (grams & (SYMBOLS - 1))
         table = np.zeros(GRAMS, np.float16)
         for block in range(0, len(context), 1 << 15):
             here = context[block : block + (1 << 15)]
             low, high = np.searchsorted(at, [block * SYMBOLS, (block + len(here)) * SYMBOLS])
             both = []
-            for c in (self.toxic, self.ordinary):
+            for c in (toxic, ordinary):
                 counts = np.zeros(len(here) * SYMBOLS)
                 counts[at[low:high] - block * SYMBOLS] = c[low:high]
                 both.append(counts.reshape(-1, SYMBOLS))
@@ -149,14 +187,38 @@ class ToxicityModel:
         return table
 
 
+    def word_ratios(self) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) by bucket; both classes back off to the words of either class."""
+        at = np.searchsorted(self.grams, GRAMS)
+        both = np.zeros((2, 1, WORDS))
+        for counts, c in zip(both, (self.toxic, self.ordinary), strict=True):
+            counts[0, self.grams[at:] - GRAMS] = c[at:]
+        shared = _smoothed(both.sum(0), np.full((1, WORDS), 1 / WORDS))
+        toxic, ordinary = (np.log(_smoothed(c, shared, WORD_DISCOUNT))[0] for c in both)
+        return (toxic - ordinary).astype(np.float32)
+
+
 class Ratios:
-    """Features of texts from the log-likelihood ratios of their symbols."""
+    """Features of texts from the log-likelihood ratios of their symbols and words."""
 
     def __init__(self, model: ToxicityModel):
-        self.table, self.read = model.ratios(), Reader()
+        self.table, self.word_table, self.read = model.ratios(), model.word_ratios(), Reader()
+
+    def of_words(self, texts: list[str]) -> np.ndarray:
+        """For each text: the greatest ratio of a word; the sum of positive parts beyond that of a rare word; the mean ratio."""
+        bucket, n = self.read.words(texts)
+        ratio = self.word_table[bucket]
+        some = np.flatnonzero(n)
+        out = np.zeros((len(texts), 3))
+        if len(some):
+            start = (np.cumsum(n) - n)[some]
+            out[some, 0] = np.maximum.reduceat(ratio, start)
+            out[some, 1] = np.log1p(np.add.reduceat(np.maximum(ratio - 2, 0), start))
+            out[some, 2] = np.add.reduceat(ratio, start) / n[some]
+        return out
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        """For each text: mean ratio a symbol; the greatest of a word; that of all words, positive parts only, by length and in all; length."""
+        """For each text: mean ratio a symbol; the greatest of a word; that of all words, positive parts only, by length and in all; length; and those of whole words."""
         if not texts:
             return np.zeros((0, FEATURES))
         grams, last, start = self.read(texts)
@@ -171,7 +233,7 @@ class Ratios:
         high = np.maximum(word - 3, 0)
         over = np.add.reduceat(high, of)
         words = np.diff(np.append(of, len(word)))
-        return np.c_[total / n, np.maximum.reduceat(word, of), over / words, np.log1p(over), np.log(n)].astype(float)
+        return np.c_[total / n, np.maximum.reduceat(word, of), over / words, np.log1p(over), np.log(n), self.of_words(texts)].astype(float)
 
 
 def _worker_ratios(shared) -> Ratios:

@@ -84,3 +84,42 @@ def test_shared_backoff_is_neutral():
     grams = np.arange(64, 96)
     model = toxicity.ToxicityModel(grams, np.full(32, 5), np.full(32, 5))
     assert np.abs(model.ratios()).max() == 0
+
+
+def test_words_of_other_scripts_are_told_apart(spark):
+    r = random.Random(4)
+    letters = {"cyrillic": "абвгдежзиклмнопрст", "greek": "αβγδεζηθικλμνοπρσ", "kana": "かきくけこさしすせそたちつ"}
+    bad = {k: ["".join(r.choice(a) for _ in range(6)) for _ in range(2)] for k, a in letters.items()}
+    docs, labels = [], []
+    for i in range(600):
+        k, a = list(letters.items())[i % 3]
+        w = ["".join(r.choice(a) for _ in range(r.randint(2, 7))) for _ in range(r.randint(20, 80))]
+        toxic = i % 4 == 0
+        for _ in range(3 if toxic else 0):
+            w.insert(r.randrange(len(w)), r.choice(bad[k]).upper() if r.random() < 0.3 else r.choice(bad[k]))
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    got = [(r.predicted, labels[r.doc_id][2]) for r in toxicity.scored(table(spark, docs), known(spark, labels)).collect() if r.held_out]
+    assert sum(a == b for a, b in got) / len(got) > 0.95
+
+
+def test_word_buckets_do_not_depend_on_what_stands_beside():
+    import numpy as np
+
+    read = toxicity.Reader()
+    texts = ["naïve ÉTÉ, слово!", "", "слово", "x" * 400_000 + " слово", "12 ... 😀", "été"]
+    bucket, n = read.words(texts)
+    by = np.split(bucket, np.cumsum(n)[:-1])
+    assert n.tolist() == [3, 0, 1, 2, 0, 1]
+    assert by[0][2] == by[2][0] == by[3][1] and by[0][1] == by[5][0] and len({int(x) for x in bucket}) == 4
+    assert [len(read.words([t])[0]) for t in texts] == n.tolist()
+
+
+def test_rare_words_say_nothing():
+    import numpy as np
+
+    grams = np.array([toxicity.GRAMS + k for k in range(40)])
+    toxic, ordinary = np.full(40, 1), np.full(40, 50)
+    toxic[0], ordinary[0] = 30, 0
+    ratio = toxicity.ToxicityModel(grams, toxic, ordinary).word_ratios()
+    assert ratio[0] > 2 and (ratio[1:40] < 0).all() and ratio[50] == ratio[51]
