@@ -117,6 +117,34 @@ def _(t: Tables):
     return lines.select("page_id", "chain", "pieces", F.round("span", 4).alias("span"), F.round("deviation", 4).alias("deviation"))
 
 
+_CHAINED = _LINKS + """, e AS (SELECT page_id, a, b FROM lk UNION SELECT page_id, b, a FROM lk), r AS (SELECT page_id, seg, seg AS chain FROM s3 UNION SELECT e.page_id, e.b, r.chain FROM r JOIN e ON e.page_id = r.page_id AND e.a = r.seg AND r.chain < e.b),
+       ch AS (SELECT page_id, seg, min(chain) AS chain FROM r GROUP BY page_id, seg), cs AS (SELECT s2.*, ch.chain, CAST(greatest(2, floor(len / 2)) AS INTEGER) AS n FROM s2 JOIN ch ON ch.page_id = s2.page_id AND ch.seg = s2.seg),
+       p AS (SELECT page_id, chain, seg, x1 + k / (n - 1) * (x2 - x1) AS px, y1 + k / (n - 1) * (y2 - y1) AS py FROM (SELECT *, unnest(range(n)) AS k FROM cs)),
+       m AS (SELECT page_id, chain, avg(px) AS mx, avg(py) AS my, 0.5 * atan2(2 * covar_pop(px, py), var_pop(px) - var_pop(py)) AS an, count(DISTINCT seg) AS pieces FROM p GROUP BY ALL),
+       li AS (SELECT page_id, chain, pieces, max((px - mx) * cos(an) + (py - my) * sin(an)) - min((px - mx) * cos(an) + (py - my) * sin(an)) AS span, max(abs((py - my) * cos(an) - (px - mx) * sin(an))) AS deviation FROM p JOIN m USING (page_id, chain) GROUP BY page_id, chain, pieces)"""
+
+
+def _chained(t: Tables, min_span: float):
+    s = _segments(t)
+    return MA.straightness(s, MA.chains(s, 6, 6.0, 2.0), min_span)
+
+
+@query("chain_straightness", "D33 C15", "", f"WITH RECURSIVE {_CHAINED} SELECT page_id, chain, pieces, round(span, 4) AS span, round(deviation, 4) AS deviation FROM li WHERE pieces > 1")
+def _(t: Tables):
+    # The pieces of a line, linked end to end.
+    lines = _chained(t, 0.0).filter("pieces > 1")
+    return lines.select("page_id", "chain", "pieces", F.round("span", 4).alias("span"), F.round("deviation", 4).alias("deviation"))
+
+
+@query(
+    "page_straightness", "D33", "",
+    f"WITH RECURSIVE {_CHAINED} SELECT page_id, count(*) AS lines, round(max(deviation), 4) AS worst, round(coalesce(median(deviation) FILTER (pieces > 1), 0), 4) AS median FROM li WHERE span >= 14 GROUP BY page_id",
+)
+def _(t: Tables):
+    p = MA.page_straightness(_chained(t, 14.0))
+    return p.select("page_id", "lines", F.round("worst", 4).alias("worst"), F.round("median", 4).alias("median"))
+
+
 @query(
     "geometry_error", "D35", "",
     """WITH m AS (SELECT vec_id // 100 AS page_id, vec_id AS point, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE / 100 AS ex, embedding[4]::DOUBLE / 100 AS ey FROM embeddings),
@@ -144,7 +172,7 @@ def _(t: Tables):
 
 
 @query(
-    "pooled_rates", "D25 E16", "",
+    "pooled_rates", "D25", "",
     """WITH r AS (SELECT source, toxic = 1 AS p, quality AS l FROM labels JOIN documents USING (doc_id))
        SELECT coalesce(source, 'all') AS page, round(count(*) FILTER (p AND l = 1) / greatest(count(*) FILTER (l = 1), 1), 6) AS recall, round(count(*) FILTER (p AND l = 0) / greatest(count(*) FILTER (l = 0), 1), 6) AS false_alarms,
          round(count(*) FILTER (l = 1) / greatest(count(*) FILTER (l IN (0, 1)), 1), 6) AS glare_share FROM r GROUP BY GROUPING SETS ((source), ())""",
@@ -263,9 +291,7 @@ def _(t: Tables):
     pairs = RP.stitch_pairs(RP.pair_shares(cells), limit=6, min_union=0.3, min_own=0.1)
     rules = F.explode(F.array(F.lit("best"), F.lit("worst")))
     stitched = pairs.select("page_id", F.concat_ws("-", "a", "b").alias("start"), F.explode(F.array("a", "b")).alias("shot"))
-    covered = cells.groupBy("page_id", "shot").agg(F.count(F.lit(1)).alias("n"))
-    largest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "shot"))), 1, 4)  # of the shots of one page, the four that cover most
-    whole = covered.groupBy("page_id").agg(largest.alias("s")).select("page_id", F.explode("s.shot").alias("shot")).select("page_id", F.col("shot").cast("string").alias("start"), "shot")
+    whole = RP.whole_shots(cells, min_cover=0.15).select("page_id", F.col("shot").cast("string").alias("start"), "shot")
     starts = stitched.unionByName(whole).withColumn("rule", rules).withColumn("rid", F.concat_ws("/", "start", "rule")).drop("start")
     r = RP.replays(starts, cells, W, H, RP.darkest_composer(cells, 0.08), min_area=0.004)
     return r.withColumn("shots", F.array_join(F.transform("shots", lambda s: s.cast("string")), ","))
@@ -311,6 +337,26 @@ def _(t: Tables):
     return s.select("detector", "glare_in_warned", "single_glare_unwarned", "single_glare_flagged", "regions_flagged", RP.gate(F.lit(1.0), F.col("single_glare_unwarned")).alias("pass"))
 
 
+@query(
+    "gated_detectors", "D29 D28", "",
+    """WITH re AS (SELECT l_suppkey AS rule, CAST(floor(l_quantity) AS BIGINT) AS g, CAST(floor(l_quantity / 2) AS BIGINT) AS s, CAST(floor(l_quantity / 2 * (1 - l_tax * 3)) AS BIGINT) AS r2, CAST(floor(l_quantity * l_discount * 2) AS BIGINT) AS o FROM lineitem),
+       d AS (SELECT rule AS detector, round_even(sum(r2) / sum(s), 4) AS removed_2, round_even(sum(o) / sum(g), 4) AS single_glare_unwarned FROM re GROUP BY rule)
+       SELECT *, removed_2 >= 0.8 AND single_glare_unwarned <= 0.1 AS pass FROM d""",
+)
+def _(t: Tables):
+    # Both gate inputs are the summaries' own shares.
+    q = F.col("l_quantity")
+    out = F.floor(q * F.col("l_discount") * 2)
+    rows = t.raw("lineitem").select(
+        F.col("l_suppkey").alias("rule"), F.lit("all").alias("kind"), F.lit(1000).alias("page_px"), F.floor(q).alias("glare_px"), F.floor(q / 2).alias("single_glare_px"), F.lit(0).alias("removed_1"),
+        F.floor(q / 2 * (1 - F.col("l_tax") * 3)).alias("removed_2"), out.alias("single_glare_unwarned_px"), (F.floor(q) - out).alias("glare_in_warned_px"), F.lit(0).alias("overlap_glare_unwarned_px"),
+        F.lit(0).alias("single_glare_flagged_px"), F.lit(0).alias("regions_flagged"), F.lit(0).alias("regions_flagged_clean"),
+    )
+    removed = RP.summarised(rows).filter("kind IS NULL").select(F.col("rule").alias("detector"), "removed_2")
+    warned = RP.detector_summary(rows.withColumnRenamed("rule", "detector"), ["detector"]).select("detector", "single_glare_unwarned")
+    return removed.join(warned, "detector").withColumn("pass", RP.gate(F.col("removed_2"), F.col("single_glare_unwarned")))
+
+
 @query(
     "warned_measures", "D27", "cell",
     """WITH gl AS (SELECT DISTINCT page_id, y, x FROM cell WHERE b >= 200), si AS (SELECT page_id, y, x FROM cell GROUP BY ALL HAVING count(*) = 1), wa AS (SELECT DISTINCT page_id, y, x FROM cell WHERE score >= 50),
