@@ -105,7 +105,7 @@ def _(t: Tables):
     said = F.coalesce(said, F.when(kind.isin("view", "click"), "PUT_SHOT").when(kind == "signup", "ALBUM_META").when(kind == "error", "DELETE_SHOT").otherwise("MOVE_SHOTS"))
     pages = F.array_join(F.transform(F.sequence(F.lit(0), k % 4), lambda i: F.concat(F.lit("p"), (k + 3 * i) % 10)), ",")
     op = _event_stream(t).select(
-        F.col("user_id").alias("album_id"), F.col("event_id").alias("seq"), _us().alias("us"), said.alias("kind"), F.concat(F.lit("p"), k % 10).alias("page_id"),
+        F.col("user_id").alias("album_id"), F.col("event_id").alias("seq"), _us().alias("us"), said.alias("kind"), F.concat(F.lit("p"), F.when(said == "MOVE_SHOTS", k + F.col("event_id")).otherwise(k) % 10).alias("page_id"),
         F.when(said == "MOVE_SHOTS", F.concat_ws(",", F.concat(F.lit("s"), k), F.concat(F.lit("s"), k + 10))).otherwise(F.concat(F.lit("s"), k)).alias("shot_id"),
         F.when(said == "ALBUM_META", F.when(v % 10 == 0, "a4").otherwise("letter")).when((said == "RUN_END") & (v % 4 == 0), "").otherwise((v % 3).cast("string")).alias("sha"),
         F.lit(0).cast("bigint").alias("gen"), F.when(said == "ALBUM_META", pages).otherwise("").alias("pages"),
