@@ -2,7 +2,7 @@
 
 Texts are read as strings over 32 symbols: white space, the 26 letters (accents off; letters of other scripts are
 dealt to them by a hash of the character), digits and marks. So there are at most 2**25 five-grams, whatever the
-corpus. Beside them stand whole words of any script, by their true characters, in 2**20 buckets. The counts, gathered
+corpus. Beside them stand whole words of any script, by their true characters, in 2**18 buckets. The counts, gathered
 by Spark over every labelled row to learn from, have a proven bound and may be sent to all executors.
 """
 
@@ -26,7 +26,7 @@ ORDER, BITS = 5, 5
 SYMBOLS, GRAMS, CONTEXTS = 1 << BITS, 1 << ORDER * BITS, 1 << (ORDER - 1) * BITS
 SPACE, DIGIT, MARK = 0, 27, 28
 #: Buckets of whole words; in the table of counts they follow the five-grams.
-WORDS = 1 << 20
+WORDS = 1 << 18
 #: What each word's count in a class gives up to the shared model: words seen less often say nothing of the class.
 WORD_DISCOUNT = 2.0
 #: The bound of the calibration's fit: labelled rows of each class.
@@ -127,7 +127,8 @@ def gram_counts(learn: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), *map(pa.array, columns)], names=names)
 
     found = learn.select("text", "y", "aside").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    return found.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    # Narrow, as the driver takes them: four bytes a number.
+    return found.groupBy("gram").agg(*[F.sum(n).cast("float").alias(n) for n in names[1:]]).withColumn("gram", F.col("gram").cast("int"))
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -162,7 +163,7 @@ class ToxicityModel:
         """
         lower = np.full((1, SYMBOLS), 1 / SYMBOLS)
         end = np.searchsorted(self.grams, GRAMS)
-        grams, toxic, ordinary = self.grams[:end], self.toxic[:end], self.ordinary[:end]
+        grams, toxic, ordinary = self.grams[:end].astype(np.int64), self.toxic[:end], self.ordinary[:end]
         kinds, levels = grams, []
         for k in range(ORDER - 1, 0, -1):  # distinct grams of k symbols after any symbol
             ends = kinds & ((1 << BITS * k) - 1)
@@ -251,8 +252,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel
     counts without them; after that the model takes the counts of all rows. Reruns agree.
     """
     learn = training_labels(labels, "toxic", FOLDS, HELD_OUT).withColumn("aside", F.xxhash64("doc_id", F.lit("part")) % ASIDE == 0)
-    counts = gram_counts(with_labels(docs, learn, text)).toPandas().sort_values("gram")
-    grams, *by = (counts[c].to_numpy(np.int64) for c in counts.columns)
+    counts = gram_counts(with_labels(docs, learn, text)).toArrow()
+    order = np.argsort(counts.column("gram").to_numpy())
+    grams, *by = (c.to_numpy()[order] for c in counts.columns)
+    del counts, order
     known = by[2] + by[3] > 0
     rest = Sent(docs.sparkSession, ToxicityModel(grams[known], by[2][known], by[3][known]))
     some = sample(learn.where("aside"), 0, CURVE_ROWS, "curve").unionAll(sample(learn.where("aside"), 1, CURVE_ROWS, "curve"))
