@@ -2,7 +2,7 @@
 
 Texts are read as strings over 32 symbols: white space, the 26 letters (accents off; letters of other scripts are
 dealt to them by a hash of the character), digits and marks. So there are at most 2**25 five-grams, whatever the
-corpus. Beside them stand whole words of any script, by their true characters, in 2**18 buckets. The counts, gathered
+corpus. Beside them stand whole words of any script, by their true characters, in 2**19 buckets. The counts, gathered
 by Spark over every labelled row to learn from, have a proven bound and may be sent to all executors.
 """
 
@@ -26,7 +26,7 @@ ORDER, BITS = 5, 5
 SYMBOLS, GRAMS, CONTEXTS = 1 << BITS, 1 << ORDER * BITS, 1 << (ORDER - 1) * BITS
 SPACE, DIGIT, MARK = 0, 27, 28
 #: Buckets of whole words; in the table of counts they follow the five-grams.
-WORDS = 1 << 18
+WORDS = 1 << 19
 #: What each word's count in a class gives up to the shared model: words seen less often say nothing of the class.
 WORD_DISCOUNT = 2.0
 #: The bound of the calibration's fit: labelled rows of each class.
