@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_text, written
+from .common import PIECE, by_text, lean, slices, written
 
 #: Code points at the head of a text whose leaves are single words.
 HEAD = 200
@@ -168,9 +168,9 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     partition are saved with the results and paired afterwards.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = docs.select("doc_id", F.xxhash64(F.col(text)).alias("_h"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(_pack, f"doc_id {kind}, _h long, _z binary")
+    packed = docs.select("doc_id", F.xxhash64(F.col(text)).alias("_h"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(lean(_pack), f"doc_id {kind}, _h long, _z binary")
     laid = packed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
-    made = written(laid.mapInArrow(_walk, f"doc_id {kind}, _h long, _part int, _kind int, _z binary, {_TYPES}"))
+    made = written(laid.mapInArrow(lean(_walk), f"doc_id {kind}, _h long, _part int, _kind int, _z binary, {_TYPES}"))
     heads = made.where("_kind = 1")
     # One narrow row a partition; the order of partitions is that of their first rows.
     by_id = Window.orderBy("doc_id", "_h", "_part")
@@ -178,15 +178,16 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     after = heads.select("doc_id", "_h", "_part").select(F.col("_part").alias("_p"), F.coalesce(F.lead("_part").over(by_id), first).alias("_next"))
     next_head = heads.select(F.col("_part").alias("_np"), F.col("_z").alias("_next_z"))
     open_rows = made.where("_kind = 2").join(after, F.col("_part") == F.col("_p")).join(next_head, F.col("_next") == F.col("_np"))
-    closed = open_rows.select("doc_id", "_z", "_next_z").mapInArrow(_close, f"doc_id {kind}, {_TYPES}")
+    closed = open_rows.select("doc_id", "_z", "_next_z").mapInArrow(lean(_close), f"doc_id {kind}, {_TYPES}")
     return made.where("_kind = 0").select("doc_id", *_RESULT).unionByName(closed)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        z = [press.compress(t.encode()) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["doc_id", "_h", "_z"])
+    for batch in batches:
+        for b in slices(batch, 2):
+            z = [press.compress(t.encode()) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["doc_id", "_h", "_z"])
 
 
 def _unpack(z: bytes) -> str:
@@ -194,7 +195,7 @@ def _unpack(z: bytes) -> str:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, before, out = TaskContext.get().partitionId(), None, []
+    part, before, out, size = TaskContext.get().partitionId(), None, [], 0
     none = (None,) * len(_RESULT)
     schema = None
     for b in batches:
@@ -208,9 +209,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 out.append((*before[:2], part, 0, None, *_row(*before[3:], text, own)))
             before = (doc_id, h, z, text, known, own)
-            if len(out) >= 200:
+            size += len(own)
+            if size >= PIECE:
                 yield _batch(out, schema)
-                out = []
+                out, size = [], 0
     if before is not None:
         out.append((*before[:2], part, 2, before[2], *none))
         yield _batch(out, schema)
