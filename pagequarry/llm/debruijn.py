@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_text, saved, slices, written
+from .common import by_text, give_back, lean, slices, written
 from .words import mixed, ngrams, run_hashes, word_hashes
 
 WINDOW, ANCHOR = 20, 6
@@ -84,7 +84,7 @@ def _segments(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataFr
                     ids.append(order[used].tobytes() + key[used].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int32)), pa.array(data, pa.binary()), pa.array(ids, pa.binary())], names=["bucket", "data", "ids"])
 
-    return docs.mapInArrow(run, "bucket int, data binary, ids binary")
+    return docs.mapInArrow(lean(run), "bucket int, data binary, ids binary")
 
 
 def _compact(window: int):
@@ -116,6 +116,7 @@ def _compact(window: int):
         span, branch = whole & later, ~whole
         pick = np.concatenate([np.flatnonzero(span), np.flatnonzero(branch)])
         is_branch = np.arange(len(pick)) >= span.sum()
+        give_back()
         return pa.table({
             "key": doc[pick], "at": pa.array(p[pick].astype(np.int64), mask=~is_branch),
             "from": lo[pick], "to": (lo + count)[pick] + window - 1,
@@ -157,10 +158,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
     pressed = by_text(source, _press, [T.StructField("z", T.BinaryType())], "_text", ("doc_id", "_order", "_key"))
     laid = pressed.join(touched, F.col("_key") == F.col("_touched"), "left").select("doc_id", "_order", "_key", "z", "branches")
     name = kind.simpleString()
-    state = written(laid.mapInArrow(_first_look(texts), f"doc_id {name}, _order long, _key long, z binary, branches array<bigint>, n_words long, kept_sha256 string, kept string"))
+    state = written(laid.mapInArrow(lean(_first_look(texts)), f"doc_id {name}, _order long, _key long, z binary, branches array<bigint>, n_words long, kept_sha256 string, kept string"))
 
     open_rows = state.where("size(branches) > 0").select("_order", "_key", "z", "branches").dropDuplicates(["_key"])
-    edges = written(open_rows.mapInArrow(_branch_windows(window, anchor), "key long, doc long, at long, h1 long, h2 long"))
+    edges = written(open_rows.mapInArrow(lean(_branch_windows(window, anchor)), "key long, doc long, at long, h1 long, h2 long"))
     least = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = edges.join(least, ["h1", "h2"]).where(F.struct("doc", "at") > F.col("first")).select("key", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
     spans = found.where("at is null").select("key", "from", "to").unionAll(again)
@@ -168,7 +169,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
 
     done = state.where("branches is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "kept")
     rest = state.where("branches is not null").select("doc_id", "_key", "z").join(listed, F.col("_key") == F.col("_spanned"), "left").select("doc_id", "z", "spans")
-    cut = rest.mapInArrow(_cut(texts), f"doc_id {name}, n_words long, n_removed long, kept_sha256 string, kept string")
+    cut = rest.mapInArrow(lean(_cut(texts)), f"doc_id {name}, n_words long, n_removed long, kept_sha256 string, kept string")
     out = done.unionAll(cut)
     return out if texts else out.drop("kept")
 
