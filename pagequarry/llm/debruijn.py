@@ -5,7 +5,7 @@ anchor (the 6-word gram of least hash among the window's 15) form a segment; equ
 they lie in segments of the same anchor. If all segments of an anchor are equal, none of their edges branches: the
 path compacts to one row for each place where it stands, and the first place is the least (doc_id, position).
 Where segments of an anchor differ, paths branch inside them: only there windows are compared one by one, by two
-64-bit hashes. Removed spans are then laid on the words of each document by its coordinates.
+hashes of 96 bits together. Removed spans are then laid on the words of each document by its coordinates.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ GRAMS = WINDOW - ANCHOR + 1
 #: Segments in a bucket of anchors (about one for every 50 bytes of text).
 BUCKET_SEGMENTS, LEAST_BUCKETS, SEGMENT_BYTES = 300_000, 96, 50
 _FIRST = -(1 << 63)
+#: Of the pressed texts, which are shuffled twice.
+LEVEL = 9
 
 
 def anchors(words: np.ndarray, window: int, anchor: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,9 +163,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
     state = written(laid.mapInArrow(lean(_first_look(texts)), f"doc_id {name}, _order long, _key long, z binary, branches array<bigint>, n_words long, kept_sha256 string, kept string"))
 
     open_rows = state.where("size(branches) > 0").select("_order", "_key", "z", "branches").dropDuplicates(["_key"])
-    edges = written(open_rows.mapInArrow(lean(_branch_windows(window, anchor)), "key long, doc long, at long, h1 long, h2 long"))
+    edges = written(open_rows.mapInArrow(lean(_branch_windows(window, anchor)), "key long, doc long, at int, h1 long, h2 int"))
     least = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = edges.join(least, ["h1", "h2"]).where(F.struct("doc", "at") > F.col("first")).select("key", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
+    again = edges.join(least, ["h1", "h2"]).where(F.struct("doc", "at") > F.col("first")).select("key", F.col("at").cast("long").alias("from"), (F.col("at") + window).cast("long").alias("to"))
     spans = found.where("at is null").select("key", "from", "to").unionAll(again)
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans")).withColumnRenamed("key", "_spanned")
 
@@ -175,7 +177,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
 
 
 def _press(texts: list[str]) -> dict:
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=LEVEL)
     return {"z": [press.compress(t.encode()) for t in texts]}
 
 
@@ -199,7 +201,7 @@ def _first_look(texts: bool):
 
 def _branch_windows(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows of segments in which paths branch, with two hashes of their words."""
+        """The windows of segments in which paths branch, with two hashes of their words (96 bits)."""
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for order, key, z, branches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -209,7 +211,7 @@ def _branch_windows(window: int, anchor: int):
                 chosen = np.isin(p, np.array(branches, np.int64))
                 at = np.concatenate([np.arange(a, b) for a, b in zip(lo[chosen], hi[chosen], strict=True)] or [np.zeros(0, np.int64)])
                 h1, h2 = ngrams(words, window, 1)[at], ngrams(word_hashes(data, 2)[0], window, 2)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int64)), pa.array(np.full(len(at), order, np.int64)), pa.array(at.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["key", "doc", "at", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int64)), pa.array(np.full(len(at), order, np.int64)), pa.array(at.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["key", "doc", "at", "h1", "h2"])
 
     return run
 
