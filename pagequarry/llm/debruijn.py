@@ -28,6 +28,8 @@ GRAMS = WINDOW - ANCHOR + 1
 #: Segments in a bucket of anchors (about one for every 50 bytes of text).
 BUCKET_SEGMENTS, LEAST_BUCKETS, SEGMENT_BYTES = 300_000, 96, 50
 _FIRST = -(1 << 63)
+#: Places from which on a window counts as hot, at least; and how many hot windows there may be.
+HOT, MOST_HOT = 1_000, 50_000
 #: Of the pressed texts, which are shuffled twice.
 LEVEL = 9
 
@@ -164,8 +166,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
 
     open_rows = state.where("size(branches) > 0").select("_order", "_key", "z", "branches").dropDuplicates(["_key"])
     edges = written(open_rows.mapInArrow(lean(_branch_windows(window, anchor)), "key long, doc long, at int, h1 long, h2 int"))
-    least = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = edges.join(least, ["h1", "h2"]).where(F.struct("doc", "at") > F.col("first")).select("key", F.col("at").cast("long").alias("from"), (F.col("at") + window).cast("long").alias("to"))
+    least = written(edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # Windows that stand in very many places are looked up where these lie: no more than MOST_HOT can stand in so many.
+    bar = max(HOT, edges.count() // MOST_HOT)
+    hot = F.broadcast(least.where(F.col("n") > bar).drop("n"))
+    rare = edges.join(hot, ["h1", "h2"], "left_anti").join(least.where(F.col("n") <= bar).drop("n"), ["h1", "h2"])
+    later = edges.join(hot, ["h1", "h2"]).unionByName(rare).where(F.struct("doc", "at") > F.col("first"))
+    again = later.select("key", F.col("at").cast("long").alias("from"), (F.col("at") + window).cast("long").alias("to"))
     spans = found.where("at is null").select("key", "from", "to").unionAll(again)
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans")).withColumnRenamed("key", "_spanned")
 

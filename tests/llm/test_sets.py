@@ -284,3 +284,10 @@ def test_ngram_join_without_ids_keeps_texts_apart(spark):
     assert all(r.component_id is None for r in got)
     sizes = sorted(n for n, _ in ngram_join.brute_force({i: t for i, (_, t) in enumerate(data)}).values())
     assert sorted(r.n_shingles for r in got) == sizes
+
+
+def test_substring_dedup_with_hot_windows(spark, monkeypatch):
+    monkeypatch.setattr(debruijn, "HOT", 5)
+    data = varied(12, 80) + [(500 + i, f"w{i} x{i} " + prose(99, 40) + f" y{i}") for i in range(30)]
+    got = sorted(tuple(r) for r in debruijn.deduplicated(table(spark, data).repartition(4)).collect())
+    assert got == sorted(debruijn.brute_force(data))
